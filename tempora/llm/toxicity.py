@@ -1,6 +1,7 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A term is a lower-case word without its punctuation, present or absent, hashed into buckets.
+A term is a lower-case word without its punctuation, or the beginning of a longer one (so that
+inflected and compounded forms share it), present or absent, hashed into buckets.
 Buckets that tell the classes apart (chi-square on the sample) are kept as features.  The
 score is sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so a pair of terms can count for
 more, or less, than its parts.
@@ -21,6 +22,7 @@ from .common import id_remainder
 from .labelled import training_rows
 
 BUCKET_BITS = 20
+STEMS = (4, 5, 6, 7)  # bytes
 FEATURES = 1024
 FACTORS = 8
 SAMPLE_ROWS = 16_000
@@ -30,8 +32,10 @@ _FOLD = bytes(b if b > 127 else (ord(chr(b).lower()) if chr(b).isalnum() else 32
 
 
 def buckets(text: str | None, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Sorted distinct buckets of the whole text's terms."""
+    """Sorted distinct buckets of the whole text's terms: words and the beginnings of words."""
     terms = set((text or "").encode().translate(_FOLD).split())
+    for n in STEMS:
+        terms |= {w[:n] + b"-" for w in terms if len(w) > n and w[-1:] != b"-"}
     return np.unique(np.fromiter(map(zlib.crc32, terms), np.uint32, len(terms)) & np.uint32((1 << bits) - 1)).astype(np.int32)
 
 
@@ -57,7 +61,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(bucket_lists), -30, 30)))
 
 
-def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATURES, rank: int = FACTORS, bits: int = BUCKET_BITS, epochs: int = 30, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATURES, rank: int = FACTORS, bits: int = BUCKET_BITS, epochs: int = 30, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
     """Adagrad on logistic loss; deterministic for given rows in a given order."""
     size, n = 1 << bits, len(label)
     feature_of = np.full(size, -1, np.int32)
