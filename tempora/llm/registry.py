@@ -29,6 +29,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -54,7 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_packing, op5_toxicity, op7_quality_model, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_rules, op4_packing, op5_toxicity, op7_quality_model, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
