@@ -47,12 +47,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -60,7 +72,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_rules, op4_packing, op5_toxicity, op7_quality_model, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_rules, op4_packing, op5_toxicity, op6_warc, op7_quality_model, op9_licenses, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
