@@ -70,9 +70,9 @@ def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATU
         share = (n1 + 0.5) / (n + 1)
         return FactorizationMachine(feature_of, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
     flat = np.concatenate(bucket_lists)
-    row = np.repeat(np.arange(n), [len(b) for b in bucket_lists])
+    sizes = [len(b) for b in bucket_lists]
     seen = np.bincount(flat, minlength=size).astype(float)
-    pos = np.bincount(flat[label[row] == 1], minlength=size).astype(float)
+    pos = np.bincount(flat[np.repeat(label == 1, sizes)], minlength=size).astype(float)
     expected = seen * n1 / n
     chi = (pos - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * (1 - seen / (n + 1)), 1e-9)
     chi[seen < 4] = 0
@@ -80,8 +80,9 @@ def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATU
     chosen = chosen[chi[chosen] > 10.8]  # the 0.001 level
     feature_of[chosen] = np.arange(len(chosen), dtype=np.int32)
     f = feature_of[flat]
-    x = np.zeros((n, len(chosen)), np.float32)
-    x[row[f >= 0], f[f >= 0]] = 1
+    x, kept = np.zeros((n, len(chosen)), np.float32), f >= 0
+    x[np.repeat(np.arange(n, dtype=np.int32), sizes)[kept], f[kept]] = 1
+    del flat, f, kept
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(n1 / (n - n1))), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), rank))
     g0, gw, gv = 1e-6, np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6)
