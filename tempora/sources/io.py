@@ -76,11 +76,11 @@ def to_meds(patients: DataFrame, concepts: DataFrame, background: list[str]) ->
     """Wide clinical tables to events.
 
     ``patients(PID, BIRTHDATE, DEATHDATE, ...)``; ``concepts(PID, TIMESTAMP, CONCEPT[, RESULT])``.
-    String ids become dense numbers in id order.
+    String ids become dense numbers, in the order of a hash.
     """
-    from ..operators.splits import exact_rank
+    from ..operators.splits import exact_rank, hash_order
 
-    ids = exact_rank(patients.select("PID").distinct(), "PID", [F.col("PID")]).select("PID", F.col("rank").alias("subject_id"))
+    ids = exact_rank(patients.select("PID").distinct(), "PID", hash_order("PID", 0)).select("PID", F.col("rank").alias("subject_id"))
     row = lambda time, code: F.struct(time.cast("timestamp_ntz").alias("time"), code.alias("code"))
     facts = [row(F.col("BIRTHDATE"), F.lit("DOB"))] + [row(F.lit(None), F.concat(F.lit(f"{c}//"), F.col(c).cast("string"))) for c in background]
     facts.append(F.when(F.col("DEATHDATE").isNotNull(), row(F.col("DEATHDATE"), F.lit("DOD"))))

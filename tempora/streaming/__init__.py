@@ -1,0 +1 @@
+"""Reserved: the event model is a batch model and has no streaming operator."""
