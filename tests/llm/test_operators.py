@@ -1,0 +1,336 @@
+"""Corpus operators against brute force on small fixtures."""
+
+import base64
+import collections
+import gzip
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tempora.llm import components, decontaminate, licenses, packing, quality_rules, secrets, simhash, substrings, toxicity, warc
+from tempora.llm import quality_model as qm
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key long, component string"
+WORDS = [a + b for a in "ba ke lo mu ti".split() for b in "ra se po dun li ven".split()]
+
+
+def frame(spark, texts, ids=None, langs=None):
+    """With columns whose names clash with the operators' own."""
+    ids = list(range(len(texts))) if ids is None else ids
+    rows = [(i, t, (langs or ["en"] * len(texts))[k], "s", len(t or ""), "x", 7, "c") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def corpus(seed=1, n=40):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(1, 160))) for _ in range(n)]
+    for k in range(0, n, 4):
+        words = texts[k].split()
+        words[len(words) // 2] = "changed"
+        texts.append(" ".join(words))
+    return [*texts, texts[0], texts[0].upper(), "", None, "one", " \n\t", "é ü\nñ", texts[1] * 20]
+
+
+def brute_fingerprint(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ") if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_equals_brute_force(spark):
+    texts = corpus()
+    got = {r["doc_id"]: r for r in simhash.simhash_components(frame(spark, texts), tile_rows=8).collect()}
+    prints = [brute_fingerprint(t) for t in texts]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if bin(a ^ b).count("1") <= 4:
+                    group[i] = group[j] = min(group[i], group[j])
+    assert [got[k]["fingerprint"] for k in range(len(texts))] == [f"{p:016x}" for p in prints]
+    assert [got[k]["component_id"] for k in range(len(texts))] == group
+
+
+def test_simhash_edges(spark):
+    assert simhash.simhash_components(frame(spark, ["a"]).limit(0)).count() == 0
+    rows = simhash.simhash_components(frame(spark, ["a b", "a b", None], [5, 5, None])).collect()
+    assert sorted((r["doc_id"] is None, r["component_id"]) for r in rows if r["doc_id"]) == [(False, 5), (False, 5)] and len(rows) == 3
+    kept = simhash.keep_one_per_group(frame(spark, ["a b c", "a b c", "x y z q"]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2] and kept.columns == frame(spark, ["a"]).columns
+
+
+def test_tile_links_keep_components_of_a_dense_group():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    values = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 12)]]))
+    half = len(values) // 2
+    links = simhash.tile_links(values[:half], values[half:], 4) + simhash.tile_links(values[:half], None, 4) + [(a + half, b + half) for a, b in simhash.tile_links(values[half:], None, 4)]
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    other = list(range(len(values)))
+    for _ in range(8):
+        for i in range(len(values)):
+            near = np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 4)
+            low = min(other[j] for j in near)
+            for j in near:
+                other[j] = low
+    pairs = lambda r: {(i, j) for i in range(len(values)) for j in range(i) if r[i] == r[j]}
+    assert pairs([find(i) for i in range(len(values))]) == pairs(other)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
+    found = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def edits(p, t):
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p):
+        new = [i + 1]
+        for j, b in enumerate(t):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(5)
+    items = [" ".join(rng.choices(WORDS, k=18)) for _ in range(6)] + [None, "", items_dup := "ba ke lo mu ti ra se po dun"]
+    texts = []
+    for k in range(30):
+        body = rng.choices(WORDS, k=60)
+        item = list(items[k % 6])
+        for _ in range(k % 9):
+            at = rng.randrange(len(item))
+            item[at : at + 1] = rng.choice([[], ["q"], [item[at], "z"]])
+        texts.append(" ".join(body[:30]) + " " + "".join(item).upper().replace(" ", "\n", 2) + " " + " ".join(body[30:]))
+    texts += [None, "", items_dup, " ".join(rng.choices(WORDS, k=50))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            p = decontaminate.normalise(x)
+            if p and (e := edits(p, decontaminate.normalise(t))) <= int(len(p) * decontaminate.ERROR_RATE) and t:
+                want[d, i] = e
+    assert {k: r["edits"] for k, r in got.items()} == want and want
+    for (d, i), r in got.items():
+        if r["edits"] == 0:
+            assert decontaminate.normalise(texts[d][r["start"] : r["end"]]) == decontaminate.normalise(items[i])
+    assert decontaminate.decontaminate(frame(spark, texts), bench).count() == len(texts) - len({d for d, _ in want})
+    assert decontaminate.contaminated(frame(spark, texts), bench, block_chars=50).count() == len(want)
+    assert decontaminate.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_quality_rules_equal_brute_force(spark):
+    texts = corpus(2) + ["a b c d e f g h i j " * 3, "x\ny\nx\n \nx", "w%% |#* <a> & $"]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        text = text or ""
+        words = text.split()
+        at = collections.defaultdict(list)
+        for i in range(len(words) - 4):
+            at[tuple(words[i : i + 5])].append(i)
+        covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if x.split()]
+        row = got[k]
+        assert (row["n_words"], row["word_chars"], row["n_dup_lines"], row["n_repeat_words"]) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(covered)), k
+        assert row["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        assert row["base_failed"] == failed and not (failed and row["kept"])
+    assert quality_rules.quality_rules(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_divergent_text_is_rejected_and_short_text_is_not(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=120)).capitalize() + "." for _ in range(30)]
+    odd = " ".join(f"{rng.randrange(10**9)}{rng.choice('#%&')}" for _ in range(120))
+    rows = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(frame(spark, [*texts, odd, " ".join("12345678 9# 7% 6 5 4 3 2 1 0 11".split())])).collect()}
+    assert all(rows[k] for k in range(30)) and not rows[30] and rows[31]
+
+
+PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    texts = [t for t in corpus(4)] + ["don't  stop\n\n it's 12%. ", "a <|endoftext|> b", "x" * 30, *["ba ke lo " * k for k in (900, 1500, 2100)], "...' 'tis \u00a0 x"]
+    rows = packing.pack(frame(spark, texts), str(PATH)).toPandas()
+    reference = Tokenizer.from_file(str(PATH))
+    for k, t in enumerate(texts):
+        ids = reference.encode(t or "", add_special_tokens=False).ids + [0]
+        mine = rows[rows.doc_id == k].sort_values("piece")
+        assert mine.piece.tolist() == list(range(len(mine))) and mine.length.sum() == len(ids)
+        for r in mine.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        assert (mine.length.iloc[1:] == 2048).all()
+    for _, s in rows.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]] and s.length.sum() <= 2048
+    assert rows.sequence_id.nunique() <= -(-rows.length.sum() // 2048) + 1
+    assert packing.pack(frame(spark, ["a"]).limit(0), str(PATH)).count() == 0
+
+
+def test_plan_fills_sequences_as_document_wise_best_fit_does():
+    rng = random.Random(8)
+    lengths = [rng.choice([rng.randint(1, 2048), 700, 1024, 3]) for _ in range(3000)]
+    spaces = []
+    for n in sorted(lengths, reverse=True):
+        fit = [k for k, s in enumerate(spaces) if s >= n]
+        if fit:
+            spaces[min(fit, key=lambda k: spaces[k])] -= n
+        else:
+            spaces.append(2048 - n)
+    counts = collections.Counter(lengths)
+    plan = packing.plan_slots(counts)
+    sizes = collections.Counter()
+    plan.sort()
+    for (n, rank, first, _), after in zip(plan, [*plan[1:], (None, 0, 0, 0)], strict=True):
+        for s in range(first, first + (after[1] if after[0] == n else counts[n]) - rank):
+            sizes[s] += n
+    assert max(sizes.values()) <= 2048 and sum(sizes.values()) == sum(lengths) and len(sizes) == len(spaces)
+
+
+def test_toxicity_learns_pairs_and_is_defined_everywhere(spark):
+    rng = random.Random(6)
+    texts, marks = [], []
+    for k in range(900):
+        words = rng.choices(WORDS, k=30)
+        a, b = k % 2, (k // 2) % 2
+        words += ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        marks.append(int(a and b))
+    docs = frame(spark, [*texts, "", None])
+    labels = spark.createDataFrame(list(enumerate([1] * 900, 0)), "doc_id long, quality int").withColumn("toxic", F.element_at(F.array(*map(F.lit, marks)), (F.col("doc_id") + 1).cast("int")))
+    rows = toxicity.toxicity(docs, labels).toPandas().sort_values("doc_id")
+    held = rows[rows.held_out & (rows.doc_id < 900)]
+    assert (held.predicted.to_numpy() == np.array(marks)[held.doc_id.to_numpy(int)]).mean() > 0.97
+    assert rows.score.between(0, 1).all() and len(rows) == 902
+    assert [bool(h) for h in rows.held_out] == [zlib.crc32(str(k).encode()) % 5 == 0 for k in rows.doc_id]
+    assert toxicity.toxicity(docs, labels.limit(0)).where("score = 0.5").count() == 902
+
+
+def test_quality_model_held_out(spark):
+    rng = random.Random(7)
+    texts, marks = [], []
+    for k in range(600):
+        good = k % 3 > 0
+        texts.append(" ".join(rng.choices(WORDS, k=40)) if good else "%%% ".join(rng.choices(WORDS, k=20)) if k % 2 else " ".join([rng.choice(WORDS)] * 40))
+        marks.append(int(good))
+    labels = spark.createDataFrame([(k, m, 0) for k, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    rows = qm.quality(frame(spark, [*texts, None]), labels).toPandas().sort_values("doc_id")
+    held = rows[rows.held_out & (rows.doc_id < 600)]
+    assert (held.predicted.to_numpy() == np.array(marks)[held.doc_id.to_numpy(int)]).mean() > 0.97 and len(rows) == 601
+    assert qm.quality(frame(spark, ["a"]), labels.limit(0)).first()["score"] == 0.5
+
+
+def test_warc_rejects_magic_inside_payloads(spark):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "u", "x WARC/1.1\r\nfoo"), (2, None, None), (3, "v", ""), (4, "w", "x WARC/1.1\r\nfoo"), (5, "é\r\n", "ééWARC/1.1\r\n" + inner + inner), (6, "z", "\r\n\r\n"), (7, "z", inner)]
+    rows += [(k, "a", f"p{k % 40} ü") for k in range(10, 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = {r["page_id"]: r for r in warc.archive_pages(pages, records_per_file=7).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    first = {}
+    for k, _, html in rows:
+        first.setdefault(html or "", k)
+    assert len(got) == len(rows)
+    for k, _, html in rows:
+        raw, own = (html or "").encode(), first[html or ""]
+        want = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if own == k else "revisit", None if own == k else own, True)
+        assert tuple(got[k][c] for c in ("payload_bytes", "payload_digest", "record_type", "refers_to", "payload_ok")) == want
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_repeats_equal_brute_force(spark):
+    rng = random.Random(9)
+    shared = " ".join(rng.choices(WORDS, k=40))
+    texts = []
+    for k in range(24):
+        body = " ".join(rng.choices(WORDS, k=rng.randint(5, 60)))
+        texts.append(body + shared[k : 130 + 4 * k] + " é" * (k % 3) + body[: 5 * k])
+    texts += [texts[3], texts[3], "ab" * 200, None, "", "short", shared * 2]
+    length = 100
+    raws = [(t or "").encode() for t in texts]
+    seen = collections.Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(frame(spark, texts), length=length, block_rows=7).collect()}
+    for k, raw in enumerate(raws):
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], bytes(got[k]["kept"])) == (len(raw), sum(gone), spans, kept), k
+        assert got[k]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+    assert any(r["n_removed"] not in (0, r["n_bytes"]) for r in got.values())
+    assert substrings.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_repeated_rows_and_null_ids_go(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = substrings.remove_repeats(frame(spark, [long, long, long + "x"], [1, 1, None])).collect()
+    assert sorted(r["n_bytes"] - r["n_removed"] for r in rows) == [0, 0, 1]
+
+
+def test_licenses(spark):
+    text = "é intro. Licensed under the  Apache\nLicense, Version 2.0. Then Released under the MIT License. tail"
+    rows = licenses.scan_licenses(frame(spark, [text, None, "", "nothing here"])).collect()
+    found = {r["license"]: text[r["start"] : r["end"]] for r in rows}
+    assert set(found) == {"Apache-2.0", "MIT-notice"} and all(r["doc_id"] == 0 for r in rows)
+    assert found["MIT-notice"] == "Released under the MIT License" and found["Apache-2.0"].startswith("Licensed under") and found["Apache-2.0"].endswith("2.0")
+
+
+def test_secrets_in_nested_layers(spark):
+    packed = base64.b64encode(gzip.compress(b"password = hunter2hunter2")).decode()
+    nested = base64.b64encode(base64.b64encode(b"secret: abcdefgh12345678")).decode()
+    text = f"é {packed} y %70assword%3Dabcdefgh1 z \\u0041KIAABCDEFGHIJKLMNOP {nested} API-key= no token: short TOKEN='longenough1' {'ab12' * 9} AKIA12345"
+    row = secrets.scan_secrets(frame(spark, [text, None])).orderBy("doc_id").first()
+    spans = [s.split(":") for s in row["spans"].split(",")]
+    assert [s[0] for s in spans] == ["assign", "assign", "access", "assign", "assign", "hex"]
+    assert [text[int(a) : int(b)] for _, a, b in spans][0] == packed
+    assert (row["n_assign"], row["n_access"], row["n_hex"]) == (1, 0, 1)
+    base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans[-2:])
+    assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    masked = secrets.mask_secrets(frame(spark, [text, None]), length_col="n_chars").orderBy("doc_id").collect()
+    assert "hunter" not in masked[0]["text"] and packed not in masked[0]["text"] and masked[0]["n_chars"] == len(masked[0]["text"]) and masked[1]["text"] is None
+
+
+def test_pipeline_keeps_columns_and_drops_what_it_should(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    item = " ".join(rng.choices(WORDS, k=20))
+    clean = [" ".join(rng.choices(WORDS, k=60)) for _ in range(300)]
+    texts = [c + (" vile" if k % 3 == 0 else "") for k, c in enumerate(clean)] + [clean[1], clean[2] + " " + item]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+    ids = {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert 300 not in ids and 301 not in ids and not any(k % 3 == 0 for k in ids) and len(ids) == 200
