@@ -83,21 +83,30 @@ def _offsets(pieces: DataFrame) -> DataFrame:
 def reachable(candidates: DataFrame) -> DataFrame:
     """``(file, offset)`` of the candidates reached from offset 0 by successors.
 
-    ``candidates(file, offset, successor)``; a round doubles the length of every jump, so the
-    number of rounds is the logarithm of the longest chain.
+    ``candidates(file, offset, successor)``.  Neighbours of which each is the other's successor
+    are contracted to runs first, cut wherever another successor enters; a run is reached as a
+    whole or not at all.  Pointer jumping then goes from run to run: a round doubles the length
+    of every jump, so their number is the logarithm of the longest chain of runs.
     """
-    jumps = candidates.select("file", "offset", F.col("successor").alias("jump"), (F.col("offset") == 0).alias("reached"))
-    jumps, known = materialize(jumps, "jumps"), -1
+    order = Window.partitionBy("file").orderBy("offset")
+    rows = candidates.select("file", "offset", "successor")
+    leaves = ~F.coalesce(F.lead("offset").over(order) == F.col("successor"), F.lit(False))
+    entered = rows.withColumn("leaves", leaves).where("leaves").select("file", F.col("successor").alias("offset"), F.lit(True).alias("entered")).distinct()
+    follows = F.coalesce(F.lag("successor").over(order) == F.col("offset"), F.lit(False))
+    rows = rows.join(entered, ["file", "offset"], "left").withColumn("head", ~follows | F.col("entered").isNotNull())
+    rows = materialize(rows.withColumn("run", F.sum(F.col("head").cast("long")).over(order)).select("file", "offset", "successor", "run"), "runs")
+    runs = rows.groupBy("file", "run").agg(F.min("offset").alias("offset"), F.max_by("successor", "offset").alias("jump"))
+    jumps, known = materialize(runs.select("file", "run", "offset", "jump", (F.col("offset") == 0).alias("reached")), "jumps"), -1
     while True:
         count = jumps.where("reached").count()
         if count == known:
-            return jumps.where("reached").select("file", "offset")
+            return rows.join(jumps.where("reached").select("file", "run"), ["file", "run"], "left_semi").select("file", "offset")
         known, step = count, jumps
         for _ in range(2):
             targets = step.where("reached").select("file", F.col("jump").alias("offset"), F.lit(True).alias("hit")).distinct()
             beyond = step.select("file", F.col("offset").alias("jump"), F.col("jump").alias("next"))
-            step = step.join(beyond, ["file", "jump"], "left").select("file", "offset", F.coalesce("next", F.lit(-1)).alias("jump"), "reached")
-            step = step.join(targets, ["file", "offset"], "left").select("file", "offset", "jump", (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"))
+            step = step.join(beyond, ["file", "jump"], "left").select("file", "run", "offset", F.coalesce("next", F.lit(-1)).alias("jump"), "reached")
+            step = step.join(targets, ["file", "offset"], "left").select("file", "run", "offset", "jump", (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"))
         step = materialize(step, "jumps")
         discard(jumps)
         jumps = step
