@@ -19,11 +19,12 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 4096
+BROADCAST_ROWS = 200_000
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 SHA-1: every five hex digits are four letters."""
-    digest, out = F.sha1(payload), []
+def base32_sha1(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: every five hex digits are four letters."""
+    out = []
     for k in range(0, 40, 5):
         group = F.conv(F.substring(digest, k + 1, 5), 16, 10).cast("int")
         out += [F.substring(F.lit(BASE32), F.shiftright(group, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
@@ -35,10 +36,13 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     least id of an equal payload of at least ``min_bytes`` bytes, null for that record itself."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.encode("payload", "UTF-8")))
-    least = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(least, "payload_digest", "left")
-    return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1(F.encode("payload", "UTF-8")))
+    equal = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    repeated = materialize(equal.where("n > 1").select("sha1", "first"), "repeated")
+    if repeated.count() <= BROADCAST_ROWS:  # else the payloads are shuffled by digest
+        repeated = F.broadcast(repeated)
+    rows = rows.join(repeated, "sha1", "left").withColumn("payload_digest", base32_sha1(F.col("sha1")))
+    return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first", "sha1")
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -168,7 +172,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
         F.regexp_replace(_field(F.col("head"), "WARC-Payload-Digest"), "^sha1:", "").alias("stated_digest"),
         number("WARC-Payload-Length").alias("stated_bytes"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
-        base32_sha1(F.encode(payload, "UTF-8")).alias("payload_digest"),
+        base32_sha1(F.sha1(F.encode(payload, "UTF-8"))).alias("payload_digest"),
     )
 
 
