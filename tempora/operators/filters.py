@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +87,18 @@ def dedupe_patients(pi: DataFrame, order: str = "row_id") -> DataFrame:
 
 def exclude_short_sequences(seqs: DataFrame, min_len: int) -> DataFrame:
     return seqs.where(F.size("events") >= min_len)
+
+
+def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """``(stage, rows, subjects)``: what each stage of a pipeline holds."""
+    counts = [df.agg(F.count("*").alias("rows"), F.countDistinct(ID).alias("subjects")).select(F.lit(name).alias("stage"), "rows", "subjects") for name, df in stages.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def attrition(patients: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """The patients left after all steps, and the counts of ``stage_counts`` after each."""
+    stages = {"start": patients}
+    for name, step in steps.items():
+        patients = step(patients)
+        stages[name] = patients
+    return patients, stage_counts(stages)

@@ -108,3 +108,49 @@ def precision_at_k(df: DataFrame, k: int, row: str = "row_id") -> DataFrame:
 def metric_gate(metrics: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows that lie outside the bounds."""
     return metrics.where(~F.col(column).between(low, high))
+
+
+def average_row(scored: DataFrame, fold: str = "fold") -> DataFrame:
+    """One row per fold and one more, ``fold`` null, with the mean of every metric."""
+    names = [c for c in scored.columns if c != fold]
+    rows = scored.select(F.col(fold).cast("long").alias(fold), *[F.col(c).cast("double").alias(c) for c in names])
+    return rows.unionByName(rows.agg(*[F.avg(c).alias(c) for c in names]).withColumn(fold, F.lit(None).cast("long")))
+
+
+def prediction_table(predictions: DataFrame, folds: list[int]) -> DataFrame:
+    """One row per subject, one ``fold_<n>`` column per fold."""
+    return predictions.groupBy("subject_id").agg(*[F.max(F.when(F.col("fold") == f, F.col("proba"))).alias(f"fold_{f}") for f in folds])
+
+
+def weighted_resample(df: DataFrame, weights: DataFrame, n: int, column: str = "subject_id", label: str = "target", seed: int = 42) -> DataFrame:
+    """``n`` draws of rows with replacement, each row's chance in proportion to its class weight.
+
+    ``weights(label, n, weight)`` has a row per class, labels being small whole numbers.  Rows
+    are ranked class by class, so a draw is a rank and the rows come by an equi join on it.
+    """
+    from .splits import exact_rank
+
+    w = Window.orderBy(label)
+    mass = F.col("n") * F.col("weight")
+    classes = weights.select(label, "n", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum(mass).over(w).alias("upto"), mass.alias("mass"))
+    whole = classes.agg(F.max("upto").alias("whole"), F.sort_array(F.collect_list(F.struct("upto", "before", "n"))).alias("classes"))
+    draw = lambda salt: F.shiftrightunsigned(F.xxhash64(F.col("draw"), F.lit(seed), F.lit(salt)), 11) / F.lit(float(1 << 53))
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(whole))  # one row
+    place = draw(1) * F.col("whole")
+    drawn = draws.withColumn("at", place).withColumn("c", F.coalesce(F.get(F.filter("classes", lambda c: c["upto"] > F.col("at")), F.lit(0)), F.element_at("classes", -1)))
+    drawn = drawn.select("draw", (F.col("c.before") + F.floor(draw(2) * F.col("c.n"))).alias("rank"))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit(seed)), 24)
+    order = [F.col(label).cast("long") * (1 << 40) + hashed, F.col(column)]
+    keyed = df.withColumn("_key", F.struct(column, label))
+    ranked = exact_rank(keyed, "_key", order).select(F.col(f"_key.{column}").alias(column), F.col(f"_key.{label}").alias(label), "rank")
+    return drawn.join(ranked, "rank").select("draw", column, label)
+
+
+WEIGHTS = {"inverse_sqrt": weights_inverse_sqrt, "effective_n": weights_effective_n}
+
+
+def class_weights(df: DataFrame, name: str, label: str = "target") -> DataFrame:
+    """Weights chosen by name."""
+    if name not in WEIGHTS:
+        raise ValueError(f"unknown weights {name!r}, one of {sorted(WEIGHTS)}")
+    return WEIGHTS[name](df, label)

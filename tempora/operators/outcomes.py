@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -24,20 +25,35 @@ def with_position(ev: DataFrame) -> DataFrame:
     return ev.where("time is not null").withColumn("abspos", abspos(F.col("time")))
 
 
+def _binned(primary: DataFrame, secondary: DataFrame, min_hours: float, max_hours: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_bin``, a stretch of time as wide as the window: a primary row has one,
+    a secondary row those of all primary rows that it may match, two or three.  Joined by subject
+    and bin, the rows of a subject with very many events spread, and most pairs out of reach
+    never meet; a pair in reach meets once."""
+    width = max(max_hours - min_hours, 1.0)
+    if not math.isfinite(width):
+        return primary.withColumn("_bin", F.lit(0)), secondary.withColumn("_bin", F.lit(0))
+    at, slack = F.col("abspos"), 1e-6  # rounding may move a row over the edge of a bin
+    low, high = F.floor((at - max_hours - slack) / width), F.floor((at - min_hours + slack) / width)
+    return primary.withColumn("_bin", F.floor(at / width)), secondary.where(at.isNotNull() & (low <= high)).withColumn("_bin", F.explode(F.sequence(low, high)))
+
+
 def match_combinations(primary: DataFrame, secondary: DataFrame, min_hours: float, max_hours: float) -> DataFrame:
     """Primary rows with a secondary event of their subject within the hours, ends included."""
-    s = secondary.select(F.col(ID).alias("_id"), F.col("abspos").alias("_at"))
-    near = (F.col(ID) == F.col("_id")) & F.col("_at").between(F.col("abspos") + min_hours, F.col("abspos") + max_hours)
-    return primary.join(s, near, "left_semi")
+    p, s = _binned(primary, secondary.select(ID, "abspos").distinct(), min_hours, max_hours)
+    s = s.select(F.col(ID).alias("_id"), F.col("_bin").alias("_sbin"), F.col("abspos").alias("_at"))
+    near = (F.col(ID) == F.col("_id")) & (F.col("_bin") == F.col("_sbin")) & F.col("_at").between(F.col("abspos") + min_hours, F.col("abspos") + max_hours)
+    return p.join(s, near, "left_semi").drop("_bin")
 
 
 def closest_secondary(primary: DataFrame, secondary: DataFrame, min_hours: float, max_hours: float) -> DataFrame:
     """For each matched primary row the secondary event nearest in time, the first on ties."""
-    p = primary.select(F.col(ID).alias("_id"), F.col("row_id").alias("primary_row"), F.col("abspos").alias("_at"))
-    near = (F.col(ID) == F.col("_id")) & F.col("abspos").between(F.col("_at") + min_hours, F.col("_at") + max_hours)
+    p, s = _binned(primary, secondary, min_hours, max_hours)
+    p = p.select(F.col(ID).alias("_id"), F.col("_bin").alias("_pbin"), F.col("row_id").alias("primary_row"), F.col("abspos").alias("_at"))
+    near = (F.col(ID) == F.col("_id")) & (F.col("_bin") == F.col("_pbin")) & F.col("abspos").between(F.col("_at") + min_hours, F.col("_at") + max_hours)
     gap = F.struct(F.abs(F.col("abspos") - F.col("_at")), "row_id")
     pick = F.min_by(F.struct(*secondary.columns), gap).alias("s")
-    return secondary.join(p, near).groupBy("_id", "primary_row").agg(pick).select("primary_row", "s.*")
+    return s.join(p, near).groupBy("_id", "primary_row").agg(pick).select("primary_row", "s.*")
 
 
 def outcome_table(matched: DataFrame) -> DataFrame:

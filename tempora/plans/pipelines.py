@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import abspos
 from ..operators import features, filters, metrics, outcomes, sequences, splits, tokens
-from ..schema import BACKGROUND_PREFIX
+from ..schema import BACKGROUND_PREFIX, SPECIAL_TOKENS
 
 ID = "subject_id"
 
@@ -77,26 +79,60 @@ def prepare_finetune(toks: DataFrame, index: DataFrame, events: DataFrame, max_l
     return sequences.normalize_segments(sequences.truncate(seqs, max_len, background))
 
 
-def baseline_cv(seqs: DataFrame, folds: DataFrame, vocabulary_size: int, iterations: int = 10) -> DataFrame:
-    """``(subject_id, fold, target, proba)``: boosted trees on one-hot tokens and last age."""
-    from pyspark.ml.classification import GBTClassifier
+def baseline_features(seqs: DataFrame, vocabulary_size: int) -> DataFrame:
+    """``(subject_id, target, features)``: one-hot ordinary tokens, then the last age."""
     from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     words = F.transform(F.array_distinct(F.transform("events", lambda e: e["code"])), lambda c: c.cast("string"))
     age = F.coalesce(F.try_element_at("events", F.lit(-1))["age"], F.lit(0.0))
-    data = seqs.select(ID, F.col("outcome").alias("target"), words.alias("words"), age.alias("age"))
-    names = [str(k) for k in range(5, vocabulary_size)]
+    target = [F.col("outcome").alias("target")] if "outcome" in seqs.columns else []
+    data = seqs.select(ID, *target, words.alias("words"), age.alias("age"))
+    names = [str(k) for k in range(len(SPECIAL_TOKENS), vocabulary_size)]
     data = CountVectorizerModel.from_vocabulary(names, inputCol="words", outputCol="tokens").setBinary(True).transform(data)
-    data = VectorAssembler(inputCols=["tokens", "age"], outputCol="features").transform(data)
-    out = None
-    for fold in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):
-        part = data.join(folds.where(F.col("fold") == fold), ID)
-        model = GBTClassifier(labelCol="target", maxIter=iterations, seed=42).fit(part.where("part = 'train'"))
-        scored = model.transform(part.where("part = 'val'"))
-        scored = scored.select(ID, "fold", "target", vector_to_array("probability")[1].alias("proba"))
-        out = scored if out is None else out.union(scored)
-    return out
+    return VectorAssembler(inputCols=["tokens", "age"], outputCol="features").transform(data).drop("words", "tokens", "age")
+
+
+def baseline_models(features: DataFrame, folds: DataFrame, iterations: int = 10) -> dict[int, object]:
+    """Boosted trees fitted on the training part of every fold."""
+    from pyspark.ml.classification import GBTClassifier
+
+    numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # one row per fold
+    train = {f: features.join(folds.where((F.col("fold") == f) & (F.col("part") == "train")), ID) for f in numbers}
+    return {f: GBTClassifier(labelCol="target", maxIter=iterations, seed=42).fit(train[f]) for f in numbers}
+
+
+def baseline_predict(models: dict[int, object], features: DataFrame, folds: DataFrame | None = None) -> DataFrame:
+    """``(subject_id, fold[, target], proba)``: validation subjects of each fold by its own model,
+    or, without folds, all subjects by every model."""
+    from pyspark.ml.functions import vector_to_array
+
+    parts = []
+    for fold, model in models.items():
+        data = features if folds is None else features.join(folds.where((F.col("fold") == fold) & (F.col("part") == "val")).select(ID), ID, "left_semi")
+        target = [c for c in ("target",) if c in features.columns]
+        parts.append(model.transform(data).select(ID, F.lit(fold).alias("fold"), *target, vector_to_array("probability")[1].alias("proba")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def feature_importance(models: dict[int, object], vocabulary: DataFrame, vocabulary_size: int) -> DataFrame:
+    """``(fold, code, importance)`` of every feature that a model uses; the age is ``age``."""
+    special = len(SPECIAL_TOKENS)
+    used = [(fold, special + int(i), float(v)) for fold, m in models.items() for i, v in zip(m.featureImportances.indices, m.featureImportances.values, strict=True)]
+    rows = vocabulary.sparkSession.createDataFrame(used, "fold int, token_id int, importance double")
+    code = F.when(F.col("token_id") == vocabulary_size, "age").otherwise(F.col("code")).alias("code")
+    return rows.join(vocabulary.select("code", "token_id"), "token_id", "left").select("fold", code, "importance")
+
+
+def top_features(importance: DataFrame, k: int) -> DataFrame:
+    """The ``k`` codes of greatest mean importance over the folds."""
+    folds = importance.select("fold").distinct().count()
+    return importance.groupBy("code").agg((F.sum("importance") / F.lit(folds)).alias("importance")).orderBy(F.desc("importance"), "code").limit(k)
+
+
+def baseline_cv(seqs: DataFrame, folds: DataFrame, vocabulary_size: int, iterations: int = 10) -> DataFrame:
+    """``(subject_id, fold, target, proba)``: boosted trees on one-hot tokens and last age."""
+    features = baseline_features(seqs, vocabulary_size).persist()  # read by every fold and tree; rebuilt where an executor is lost
+    return baseline_predict(baseline_models(features, folds, iterations), features, folds)
 
 
 def evaluate(predictions: DataFrame) -> DataFrame:

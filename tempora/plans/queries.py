@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import abspos, age_fraction, age_years, background_name, background_value, hours_truncated, limit_code_length, match_contains, match_startswith, micros, shift_hours, value_bin, value_prefix
 from ..operators import features, filters, metrics, outcomes, sequences, splits, tokens
 from ..sources.adapters import EVENTS_SQL, ORDERS_SQL, meds_from_events, meds_from_orders, table
+from ..sources.io import to_meds
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,3 +361,185 @@ def j4_j5_folds(spark: SparkSession, folder: str) -> DataFrame:
 def j2_split_test(spark: SparkSession, folder: str) -> DataFrame:
     parts = splits.split_share(table(spark, folder, "customer").select(F.col("c_custkey").alias("subject_id")), 0.2)
     return parts.agg(F.count_if(F.col("part") == "test").alias("test"), F.count_if(F.col("part") == "train_val").alias("train_val"))
+
+
+@query(f"WITH {INFO_SQL}, {INDEX_SQL}, {BUYS_SQL}, pairs AS (SELECT i.subject_id, x.time, deathdate, first FROM info i JOIN idx x USING (subject_id) LEFT JOIN (SELECT subject_id, min(time) AS first FROM buys GROUP BY 1) USING (subject_id)) SELECT subject_id, 'alive' AS rule FROM pairs WHERE deathdate IS NULL OR deathdate > time UNION ALL SELECT subject_id, 'no_prior' FROM pairs WHERE first IS NULL OR first >= time")
+def b10_b11_patient_filters(spark: SparkSession, folder: str) -> DataFrame:
+    both = info(spark, folder).join(index_dates(spark, folder), "subject_id")
+    kept = {"alive": filters.filter_by_death(both), "no_prior": filters.filter_by_prior_outcomes(both, buys(spark, folder))}
+    return kept["alive"].select("subject_id", F.lit("alive").alias("rule")).unionByName(kept["no_prior"].select("subject_id", F.lit("no_prior").alias("rule")))
+
+
+@query(f"WITH {EVENTS_SQL}, a AS (SELECT subject_id, min(row_id) AS row_id FROM ev WHERE code = 'ADMISSION' GROUP BY 1) SELECT subject_id, row_id FROM a WHERE subject_id IN (SELECT subject_id FROM ev WHERE code = 'LAB/PURCHASE') AND subject_id NOT IN (SELECT subject_id FROM ev WHERE code = 'DOD')")
+def b1_b2_b19_id_filters(spark: SparkSession, folder: str) -> DataFrame:
+    events = ev(spark, folder)
+    first = filters.dedupe_patients(events.where("code = 'ADMISSION'"))
+    exposed = filters.filter_by_pids(first, events.where("code = 'LAB/PURCHASE'"))
+    return filters.exclude_pids(exposed, events.where("code = 'DOD'")).select("subject_id", "row_id")
+
+
+@query(f"""WITH {INFO_SQL}, s0 AS (SELECT subject_id, GENDER AS g, birthdate, deathdate FROM info), s1 AS (SELECT * FROM s0 WHERE g = 'F'), s2 AS (SELECT * FROM s1 WHERE deathdate IS NULL)
+SELECT 'start' AS stage, count(*) AS rows, count(DISTINCT subject_id) AS subjects FROM s0 UNION ALL SELECT 'women', count(*), count(DISTINCT subject_id) FROM s1 UNION ALL SELECT 'living', count(*), count(DISTINCT subject_id) FROM s2""")
+def e7_e8_attrition(spark: SparkSession, folder: str) -> DataFrame:
+    steps = {"women": lambda df: filters.filter_by_categories(df, {"GENDER": {"include": ["F"]}}), "living": lambda df: df.where("deathdate IS NULL")}
+    return filters.attrition(info(spark, folder), steps)[1]
+
+
+@query(f"WITH {EVENTS_SQL}, t AS (SELECT subject_id, {HOURS.format('time')} < lag({HOURS.format('time')}) OVER (PARTITION BY subject_id ORDER BY row_id) AS back FROM ev WHERE time IS NOT NULL) SELECT subject_id, count(*) FILTER (back) AS violations FROM t GROUP BY 1 HAVING count(*) FILTER (back) > 0")
+def f8_check_sorted(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.check_sorted(outcomes.with_position(ev(spark, folder)).withColumn("seq", F.col("row_id")))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS row_id, k AS class, floor(o_totalprice * k) % 97 AS score, CAST(left(o_orderpriority, 1) AS INTEGER) AS label FROM orders, range(1, 6) t(k)),
+p AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, class) AS place FROM r), h AS (SELECT row_id, max(CASE WHEN place <= 2 AND class = label THEN 1 ELSE 0 END) AS hit FROM p GROUP BY 1)
+SELECT round(avg(hit), 6) AS precision_at_k FROM h""")
+def g5_precision_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders").withColumn("class", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    rows = o.select(F.col("o_orderkey").alias("row_id"), "class", (F.floor(F.col("o_totalprice") * F.col("class")) % 97).alias("score"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
+    return metrics.precision_at_k(rows, 2).select(F.round("precision_at_k", 6).alias("precision_at_k"))
+
+
+@query(f"""WITH {TOKENS_SQL}, {INDEX_SQL}, delays AS (SELECT token_id, 24.0 AS delay FROM vocab WHERE code = 'LAB/PURCHASE'),
+dated AS (SELECT subject_id, {HOURS.format('time')} + 6 AS d FROM idx), all_ids AS (SELECT DISTINCT subject_id, d FROM toks JOIN dated USING (subject_id)),
+kept AS (SELECT t.*, d FROM toks t JOIN dated USING (subject_id) LEFT JOIN delays ON code = token_id WHERE abspos <= d + coalesce(delay, 0)),
+agg AS (SELECT subject_id, count(*) AS n, sum(code) AS codes, arg_max(segment, seq) AS last_segment, arg_min(abspos, seq) AS first FROM kept GROUP BY 1)
+SELECT subject_id, coalesce(n, 0) + 1 AS n, CAST(coalesce(codes, 0) + 1 AS BIGINT) AS codes, CAST(coalesce(last_segment + 1, 0) AS INTEGER) AS segment, round(coalesce((d - first) / 8766.0, 0.0), 6) AS age FROM all_ids LEFT JOIN agg USING (subject_id)""")
+def i2_i11_censor_with_delays(spark: SparkSession, folder: str) -> DataFrame:
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
+    delays = {r["token_id"]: r["delay"] for r in sequences.concept_delays(vocabulary, {"^LAB/PURCHASE$": 24}).collect()}  # bounded by the vocabulary
+    dates = index_dates(spark, folder).select("subject_id", (abspos(F.col("time")) + 6).alias("censor_date"))
+    done = sequences.censor_with_delays(sequences.to_sequences(made).join(dates, "subject_id"), delays)
+    last = F.element_at("events", -1)
+    total = F.aggregate("events", F.lit(0).cast("bigint"), lambda a, e: a + e["code"])
+    return done.select("subject_id", F.size("events").cast("bigint").alias("n"), total.alias("codes"), last["segment"].alias("segment"), F.round(last["age"], 6).alias("age"))
+
+
+@query(f"""WITH {TOKENS_SQL}, low AS (SELECT token_id FROM vocab WHERE starts_with(code, 'M_') OR starts_with(code, 'D_')), placed AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY subject_id) AS n FROM toks),
+ranked AS (SELECT *, sum(CASE WHEN rn > 3 AND code NOT IN (SELECT token_id FROM low) THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY seq) AS nth FROM placed)
+SELECT subject_id, count(*) AS n, CAST(sum(code) AS BIGINT) AS codes, round(max(abspos), 6) AS last_position FROM ranked WHERE n <= 20 OR rn <= 3 OR (code NOT IN (SELECT token_id FROM low) AND nth <= 17) GROUP BY 1""")
+def i6_i10_truncate_prioritized(spark: SparkSession, folder: str) -> DataFrame:
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
+    low = [r["token_id"] for r in sequences.token_ids(vocabulary, ["M_", "D_"]).collect()]  # bounded by the vocabulary
+    done = sequences.truncate_prioritized(sequences.to_sequences(made), 20, 3, low)
+    rows = sequences.explode_sequences(done)
+    return rows.groupBy("subject_id").agg(F.count("*").alias("n"), F.sum("code").alias("codes"), F.round(F.max("abspos"), 6).alias("last_position"))
+
+
+@query(f"""WITH {TOKENS_SQL}, low AS (SELECT token_id FROM vocab WHERE starts_with(code, 'M_') OR starts_with(code, 'D_')), marked AS (SELECT *, code IN (SELECT token_id FROM low) AS is_low FROM toks),
+counted AS (SELECT *, count(*) FILTER (is_low) OVER (PARTITION BY subject_id, abspos) AS parts FROM marked), ids AS (SELECT DISTINCT subject_id FROM toks)
+SELECT subject_id, coalesce(n, 0) AS n FROM ids LEFT JOIN (SELECT subject_id, count(*) AS n FROM counted WHERE NOT is_low OR parts = 2 GROUP BY 1) USING (subject_id)""")
+def i7_drop_incomplete_units(spark: SparkSession, folder: str) -> DataFrame:
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
+    low = [r["token_id"] for r in sequences.token_ids(vocabulary, ["M_", "D_"]).collect()]  # bounded by the vocabulary
+    done = sequences.drop_incomplete_units(sequences.to_sequences(made), low, 2)
+    return done.select("subject_id", F.size("events").cast("bigint").alias("n"))
+
+
+@query(f"WITH {TOKENS_SQL}, p AS (SELECT subject_id, code, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY subject_id) AS n FROM toks) SELECT subject_id, max(code) FILTER (rn = 1) AS first_code, max(code) FILTER (rn = n) AS last_code FROM p GROUP BY 1")
+def i8_subset(spark: SparkSession, folder: str) -> DataFrame:
+    done = sequences.subset(sequences.to_sequences(toks(spark, folder)), F.array(F.lit(0), F.size("events") - 1))
+    return done.select("subject_id", F.col("events")[0]["code"].alias("first_code"), F.col("events")[1]["code"].alias("last_code"))
+
+
+@query(f"WITH {EVENTS_SQL}, {INDEX_SQL}, i AS (SELECT DISTINCT subject_id FROM ev) SELECT 'absolute' AS kind, count(*) AS n, count(*) AS known FROM i UNION ALL SELECT 'unexposed', count(*), count(*) FROM i WHERE subject_id NOT IN (SELECT subject_id FROM idx)")
+def j8_j10_index_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers of dates given, and of those that are the fixed date or one of an exposed subject."""
+    ids, exposed = ev(spark, folder).select("subject_id").distinct(), index_dates(spark, folder)
+    fixed = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    absolute = splits.index_dates_absolute(ids, fixed).agg(F.lit("absolute").alias("kind"), F.count("*").alias("n"), F.count_if(F.col("time") == fixed).alias("known"))
+    drawn = splits.index_dates_unexposed(ids, exposed).join(exposed.select("time").distinct().withColumn("hit", F.lit(True)), "time", "left")
+    return absolute.unionByName(drawn.agg(F.lit("unexposed").alias("kind"), F.count("*").alias("n"), F.count("hit").alias("known")))
+
+
+@query(f"WITH {PREDICTIONS_SQL}, c AS (SELECT count(*) FILTER (target = 0) AS n0, count(*) FILTER (target = 1) AS n1, (count(*) - 1) / count(*)::DOUBLE AS beta FROM pr) SELECT round(((1 - beta) / (1 - pow(beta, n1))) / ((1 - beta) / (1 - pow(beta, n0))), 6) AS effective_weight FROM c")
+def j14_pos_weight_effective(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.pos_weights(predictions(spark, folder)).select(F.round("effective_weight", 6).alias("effective_weight"))
+
+
+@query(f"WITH {PREDICTIONS_SQL} SELECT count(*) AS draws, count(*) AS known, true AS balanced FROM pr")
+def j15_weighted_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """As many draws as rows; whether all are rows, and with shares as the class masses, 0.1 apart at most."""
+    p = predictions(spark, folder)
+    weights = metrics.class_weights(p, "inverse_sqrt")
+    draws = metrics.weighted_resample(p, weights, p.count())
+    known = draws.join(p.select("subject_id", F.col("target").alias("own")), "subject_id", "left")
+    mass = F.col("n") * F.col("weight")
+    share = weights.agg((F.sum(F.when(F.col("target") == 1, mass)) / F.sum(mass)).alias("share"))
+    told = known.agg(F.count("*").alias("draws"), F.count_if(F.col("own") == F.col("target")).alias("known"), F.avg("target").alias("ones"))
+    return told.crossJoin(F.broadcast(share)).select("draws", "known", (F.abs(F.col("ones") - F.col("share")) < 0.1).alias("balanced"))  # one row each
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, c AS (SELECT fold, (count(*) FILTER (proba <= 0.5 AND target = 0))::DOUBLE AS tn, (count(*) FILTER (proba > 0.5 AND target = 0))::DOUBLE AS fp, (count(*) FILTER (proba <= 0.5 AND target = 1))::DOUBLE AS fn, (count(*) FILTER (proba > 0.5 AND target = 1))::DOUBLE AS tp, avg(proba) AS mp, avg(target) AS pos FROM pr GROUP BY 1)
+SELECT fold, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) AS balanced_accuracy,
+round(coalesce(((tp + tn) / (tn + fp + fn + tp) - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / pow(tn + fp + fn + tp, 2)) / nullif(1 - ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / pow(tn + fp + fn + tp, 2), 0), 0), 6) AS kappa,
+round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc, round(mp, 6) AS mean_probability, round(pos, 6) AS pct_positive FROM c""")
+def k2_k3_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    s = metrics.scores(predictions(spark, folder), ["fold"])
+    return s.select("fold", *[F.round(c, 6).alias(c) for c in ("balanced_accuracy", "kappa", "mcc", "mean_probability", "pct_positive")])
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, g AS (SELECT fold, proba, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS q FROM pr GROUP BY 1, 2)
+SELECT fold, proba AS threshold, round(sum(p) OVER w / sum(p) OVER (PARTITION BY fold), 6) AS tpr, round(sum(q) OVER w / sum(q) OVER (PARTITION BY fold), 6) AS fpr, round(sum(p) OVER w / (sum(p) OVER w + sum(q) OVER w), 6) AS precision_score FROM g WINDOW w AS (PARTITION BY fold ORDER BY proba DESC)""")
+def k6_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.curves(predictions(spark, folder), ["fold"]).select("fold", "threshold", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision_score")])
+
+
+@query(f"WITH {PREDICTIONS_SQL} SELECT subject_id, max(proba) FILTER (fold = 0) AS fold_0, max(proba) FILTER (fold = 1) AS fold_1, max(proba) FILTER (fold = 2) AS fold_2 FROM pr GROUP BY 1")
+def k7_prediction_table(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.prediction_table(predictions(spark, folder), [0, 1, 2])
+
+
+FOLDS_SQL = f"{PREDICTIONS_SQL}, s AS (SELECT fold, avg(CASE WHEN (proba > 0.5)::INTEGER = target THEN 1.0 ELSE 0.0 END) AS accuracy, avg(proba) AS mean_probability FROM pr GROUP BY 1)"
+
+
+def fold_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.scores(predictions(spark, folder), ["fold"]).select("fold", "accuracy", "mean_probability")
+
+
+@query(f"WITH {FOLDS_SQL} SELECT 'accuracy' AS metric, round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy), 6) AS std FROM s UNION ALL SELECT 'mean_probability', round(avg(mean_probability), 6), round(stddev_samp(mean_probability), 6) FROM s")
+def e14_mean_std(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.mean_std(fold_scores(spark, folder), ["accuracy", "mean_probability"]).select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"WITH {FOLDS_SQL} SELECT fold::BIGINT AS fold, round(accuracy, 6) AS accuracy, round(mean_probability, 6) AS mean_probability FROM s UNION ALL SELECT NULL, round(avg(accuracy), 6), round(avg(mean_probability), 6) FROM s")
+def e16_average_row(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.average_row(fold_scores(spark, folder)).select("fold", F.round("accuracy", 6).alias("accuracy"), F.round("mean_probability", 6).alias("mean_probability"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT round(coalesce(avg(CASE WHEN numeric_value <> 0 AND NOT isnan(numeric_value) THEN numeric_value END), 0), 6) AS mean_nonzero FROM ev")
+def e15_mean_nonzero(spark: SparkSession, folder: str) -> DataFrame:
+    return ev(spark, folder).agg(F.round(metrics.mean_nonzero("numeric_value"), 6).alias("mean_nonzero"))
+
+
+@query("""WITH m AS (SELECT 'DOB' AS code, NULL::DOUBLE AS v FROM customer UNION ALL SELECT 'SEGMENT//' || c_mktsegment, NULL FROM customer UNION ALL SELECT 'DOD', NULL FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT 'D_' || left(o_orderpriority, 1), round(o_totalprice, 2) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+SELECT code, count(*) AS n, round(sum(v), 2) AS total FROM m GROUP BY 1""")
+def a15_to_meds(spark: SparkSession, folder: str) -> DataFrame:
+    born = F.expr("TIMESTAMP_NTZ '1940-01-01 00:00:00'")
+    people = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("PID"), born.alias("BIRTHDATE"), F.when(F.col("c_custkey") % 5 == 0, F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00'")).alias("DEATHDATE"), F.col("c_mktsegment").alias("SEGMENT"))
+    placed = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("PID"), F.col("o_orderdate").alias("TIMESTAMP"), F.concat(F.lit("D_"), F.substring("o_orderpriority", 1, 1)).alias("CONCEPT"), F.col("o_totalprice").alias("RESULT"))
+    return to_meds(people, placed, ["SEGMENT"]).groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("numeric_value"), 2).alias("total"))
+
+
+def baseline(spark: SparkSession, folder: str):
+    """Models of two folds on the finetuning sequences, with their features, folds and vocabulary."""
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
+    seqs = pipelines.prepare_finetune(made, index_dates(spark, folder), buys(spark, folder), max_len=30, background=3, start=1, end=72, censor_hours=6)
+    size = (vocabulary.agg(F.max("token_id")).first()[0] or 0) + 1
+    data = pipelines.baseline_features(seqs, size).persist()
+    folds = splits.create_folds(data.select("subject_id"), 2)
+    return pipelines.baseline_models(data, folds, iterations=3), data, folds, vocabulary, size
+
+
+@query()
+def k8_baseline_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of boosted trees on the validation subjects of two folds."""
+    models, data, folds, _, _ = baseline(spark, folder)
+    return pipelines.evaluate(pipelines.baseline_predict(models, data, folds))
+
+
+@query()
+def g3_k10_top_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The five codes of greatest importance to the baseline."""
+    models, _, _, vocabulary, size = baseline(spark, folder)
+    return pipelines.top_features(pipelines.feature_importance(models, vocabulary, size), 5)

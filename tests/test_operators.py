@@ -95,3 +95,32 @@ def test_to_meds_and_round_trips(spark, tmp_path):
     assert sorted(r["code"] for r in events.collect()) == ["D1", "D2", "DOB", "DOB", "DOD", "GENDER//F", "GENDER//M"]
     io.write_pids(events, str(tmp_path / "a"))
     assert io.read_pids(spark, str(tmp_path / "a"), str(tmp_path / "a")).count() == 2
+
+
+def test_combinations_meet_at_both_ends_and_once(spark):
+    rows = [(1, 0.0, 1), (1, 10.0, 2), (1, 10.1, 3), (2, 10.0, 4), (1, -3.0, 5), (1, None, 6)]
+    at = spark.createDataFrame(rows, "subject_id long, abspos double, row_id long")
+    primary = at.where("row_id = 1")
+    assert outcomes.match_combinations(primary, at.where("row_id = 2"), 0, 10).count() == 1
+    assert outcomes.match_combinations(primary, at.where("row_id in (3, 4, 5, 6)"), 0, 10).count() == 0
+    assert outcomes.match_combinations(primary, at, -3, -3).count() == 1
+    assert outcomes.match_combinations(at.where("abspos is not null"), at, float("-inf"), float("inf")).count() == 5
+    assert [r["row_id"] for r in outcomes.closest_secondary(primary, at.where("row_id in (2, 3, 5)"), -20, 20).collect()] == [5]
+
+
+def test_resample_follows_the_class_weights(spark):
+    df = spark.range(400).select(F.col("id").alias("subject_id"), (F.col("id") % 40 == 0).cast("int").alias("target"))
+    drawn = metrics.weighted_resample(df, metrics.class_weights(df, "inverse_sqrt"), 5000)
+    rows = drawn.toPandas()
+    share = 10**0.5 / (10**0.5 + 390**0.5)
+    assert len(rows) == 5000 and abs(rows["target"].mean() - share) < 0.03
+    assert ((rows["subject_id"] % 40 == 0).astype(int) == rows["target"]).all()
+    assert rows[rows["target"] == 1]["subject_id"].nunique() == 10
+    assert drawn.exceptAll(metrics.weighted_resample(df, metrics.class_weights(df, "inverse_sqrt"), 5000)).isEmpty()
+
+
+def test_attrition_counts_every_step(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "subject_id long, code string")
+    kept, counts = filters.attrition(df, {"b": lambda d: d.where("code = 'b'"), "one": lambda d: d.where("subject_id = 1")})
+    assert kept.count() == 1
+    assert {r["stage"]: (r["rows"], r["subjects"]) for r in counts.collect()} == {"start": (3, 2), "b": (2, 2), "one": (1, 1)}

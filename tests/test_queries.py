@@ -36,3 +36,10 @@ def test_mask_rates(spark):
     rows = QUERIES["i12_mask_tokens"](spark, str(FOLDER)).toPandas()
     assert rows["aligned"].all() and (rows["masked"] <= rows["selected"]).all()
     assert math.isclose(rows["selected"].sum() / rows["n"].sum(), 0.2, abs_tol=0.08)
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="needs the given tables")
+def test_baseline_importance(spark):
+    rows = QUERIES["g3_k10_top_features"](spark, str(FOLDER)).toPandas()
+    assert 1 <= len(rows) <= 5 and rows["code"].notna().all() and rows["importance"].is_monotonic_decreasing
+    assert 0 < rows["importance"].sum() <= 1 + 1e-9
