@@ -136,12 +136,16 @@ def mask_tokens(seqs: DataFrame, vocabulary_size: int, select: float = 0.2, mask
 
 
 def pad(seqs: DataFrame, group: str) -> DataFrame:
-    """Codes padded with 0 to the longest of each ``group``, and the attention mask."""
-    longest = F.max(F.size("events")).over(Window.partitionBy(group))
-    seqs = seqs.withColumn("_n", longest)
-    fill = F.array_repeat(F.lit(0), F.col("_n") - F.size("events"))
-    codes = F.concat(F.transform("events", lambda e: e["code"]), fill)
-    return seqs.withColumn("codes", codes).withColumn("attention", F.concat(F.transform("events", lambda e: F.lit(1)), fill)).drop("_n")
+    """Codes, positions, segments and ages padded with 0 to the longest of each ``group``, the
+    attention mask, and ``target``, where there is one, padded with the ignored value."""
+    seqs = seqs.withColumn("_n", F.max(F.size("events")).over(Window.partitionBy(group)))
+    missing = F.col("_n") - F.size("events")
+    fill = lambda values, x, kind: F.concat(values, F.array_repeat(F.lit(x).cast(kind), missing))
+    field = lambda name: F.transform("events", lambda e: e[name])
+    made = {"codes": fill(field("code"), 0, "int"), "positions": fill(field("abspos"), 0, "double"), "segments": fill(field("segment"), 0, "int"), "ages": fill(field("age"), 0, "double"), "attention": fill(F.transform("events", lambda e: F.lit(1)), 0, "int")}
+    if "target" in seqs.columns:
+        made["target"] = fill(F.col("target"), IGNORED, "int")
+    return seqs.withColumns(made).drop("_n")
 
 
 def one_hot(seqs: DataFrame) -> DataFrame:

@@ -124,3 +124,11 @@ def test_attrition_counts_every_step(spark):
     kept, counts = filters.attrition(df, {"b": lambda d: d.where("code = 'b'"), "one": lambda d: d.where("subject_id = 1")})
     assert kept.count() == 1
     assert {r["stage"]: (r["rows"], r["subjects"]) for r in counts.collect()} == {"start": (3, 2), "b": (2, 2), "one": (1, 1)}
+
+
+def test_pad_fills_every_field(spark):
+    kind = "subject_id long, grp int, events array<struct<code:int,abspos:double,segment:int,age:double>>, target array<int>"
+    df = spark.createDataFrame([(1, 0, [(5, 1.0, 1, 30.0)], [5]), (2, 0, [(6, 1.0, 1, 3.0), (7, 2.0, 2, 3.0)], [-100, 7])], kind)
+    row = sequences.pad(df, "grp").where("subject_id = 1").first()
+    assert (row["codes"], row["positions"], row["segments"], row["ages"]) == ([5, 0], [1.0, 0.0], [1, 0], [30.0, 0.0])
+    assert (row["attention"], row["target"]) == ([1, 0], [5, -100])
