@@ -2,8 +2,9 @@
 
 A text is scanned as it stands; every URL-escaped, Unicode-escaped, base64 or compressed
 stretch is unwrapped into a further layer, which is scanned and unwrapped in turn until no
-layer gives a new one.  Layers seen before are not entered again, so encodings that unwrap to
-themselves end.  Each layer maps its characters to the stretch of the text they come from.
+layer gives a new one.  Each layer maps its characters to the stretch of the text they come from.
+A layer is entered once per place: the same text at the same places is not entered again, so
+encodings that unwrap to themselves end, while a repeated encoding is scanned wherever it stands.
 """
 
 from __future__ import annotations
@@ -129,14 +130,15 @@ def secret_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
     text = text or ""
     rank = KINDS.index
     base = sorted(base_spans(text), key=lambda s: (s[1], rank(s[0]), s[2]))
-    spans, work, seen = set(base), [(text, None)], {text}
+    spans, work, seen = set(base), [(text, None)], set()
     while work:
         layer, where = work.pop()
         for inner, local in unwrap(layer):
-            if inner in seen:
-                continue
-            seen.add(inner)
             placed = local if where is None else [(where[a][0], where[b - 1][1]) for a, b in local]
+            # all characters of a decompressed layer have one place, so a cycle meets its own key
+            if (key := (inner, tuple(placed))) in seen:
+                continue
+            seen.add(key)
             spans.update((kind, placed[a][0], placed[b - 1][1]) for kind, a, b in base_spans(inner))
             work.append((inner, placed))
     return base, sorted(spans, key=lambda s: (s[1], rank(s[0]), s[2]))

@@ -319,6 +319,14 @@ def test_secrets_in_nested_layers(spark):
     assert "hunter" not in masked[0]["text"] and packed not in masked[0]["text"] and masked[0]["n_chars"] == len(masked[0]["text"]) and masked[1]["text"] is None
 
 
+def test_a_repeated_encoding_is_found_at_every_place(spark):
+    blob = base64.b64encode(b"password = hunter2hunter2").decode()
+    text = f"a {blob} b\n{blob} c password%20%3D%20hunter2hunter2 d {base64.b64encode(zlib.compress(b'password = hunter2hunter2')).decode()}"
+    row = secrets.scan_secrets(frame(spark, [text])).first()
+    assert len(row["spans"].split(",")) == 4
+    assert secrets.mask(text).count("[SECRET]") == 4 and blob[12:] not in secrets.mask(text)
+
+
 def test_pipeline_keeps_columns_and_drops_what_it_should(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)
