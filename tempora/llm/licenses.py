@@ -1,14 +1,15 @@
-"""License scan: winnowed template fingerprints pick candidates, banded alignment decides.
+"""License scan: counted shared grams pick candidates, banded alignment decides.
 
 Templates and documents are compared as bytes, in lower case and with every white space a blank.
-Of each ``WINDOW`` consecutive hashes of ``GRAM`` bytes the least is a fingerprint, so a shared
-stretch of ``GRAM + WINDOW - 1`` bytes shares one.  An inverted index leads from a fingerprint to
-places in templates; each place fixes a diagonal, along which the template is aligned in a band.
+An edit destroys at most three of a template's grams of three bytes, so a place with at most
+``k = (1 - min_coverage) * bytes`` edits keeps all but ``3 k`` of them.  Every stretch of a
+document that holds as many of a template's grams and is within ``k`` edits by Myers' distance is
+aligned, along diagonals ``k`` apart.  A shared stretch of ``LONG`` bytes is aligned as well, so
+that a place with longer insertions is found too.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW, BAND, MIN_COVERAGE = 16, 8, 24, 0.8
+from .decontaminate import myers_end
+
+GRAM, LONG, BAND, MIN_COVERAGE = 3, 16, 24, 0.8
 # Short notices by which texts state their license.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -28,82 +31,98 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MIT-notice": "Released under the MIT License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "all-rights-reserved": "All rights reserved",
     "proprietary": "All rights reserved. No part of this document may be reproduced without permission",
 }
 _FOLD = bytes(32 if b in b"\t\n\x0b\x0c\r " else ord(chr(b).lower()) if b < 128 else b for b in range(256))
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fold(text: str | None) -> bytes:
     return (text or "").encode().translate(_FOLD)
 
 
-def gram_hashes(raw: bytes) -> np.ndarray:
-    """Hash of the 16 bytes at each place."""
-    h = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    if len(h) < GRAM:
-        return h[:0]
-    for n in (1, 2, 4):
-        h = h[:-n] << np.uint64(8 * n) | h[n:]
-    h = h[:-8] * _C1 ^ (h[8:] * _C2 >> np.uint64(7))
-    return h * _C1 ^ h >> np.uint64(29)
-
-
-def window_least(h: np.ndarray) -> np.ndarray:
-    """Least hash of each window of WINDOW places; of all places when there are fewer."""
-    if len(h) < WINDOW:
-        return h[:0] if not len(h) else np.array([h.min()])
-    for n in (1, 2, 4):
-        h = np.minimum(h[:-n], h[n:])
-    return h
+def grams(raw: bytes) -> np.ndarray:
+    """The three bytes at each place as one number."""
+    h = np.frombuffer(raw, np.uint8).astype(np.int32)
+    return h[:-2] << 16 | h[1:-1] << 8 | h[2:] if len(h) >= GRAM else h[:0]
 
 
 class TemplateIndex:
-    """Fingerprint -> places in templates, for a fixed, small set of templates."""
+    """Gram -> templates that hold it, as bits, for a fixed, small set of templates."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = list(templates)
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE):
+        self.names = [n for n in templates if fold(templates[n])]
         self.bodies = [fold(templates[n]) for n in self.names]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.faults = [int(len(b) * (1 - min_coverage) + 1e-9) for b in self.bodies]
+        self.needed = [len(b) - GRAM + 1 - GRAM * k for b, k in zip(self.bodies, self.faults, strict=True)]
+        self.owners = [np.zeros(1 << 24, np.uint16) for _ in range(0, len(self.bodies), 16)]
         for t, body in enumerate(self.bodies):
-            h = gram_hashes(body)
-            for value in np.unique(window_least(h)):
-                self.places[int(value)] += [(t, int(q)) for q in np.flatnonzero(h == value)]
-        self.low = np.zeros(1 << 16, bool)
-        self.low[[v & 0xFFFF for v in self.places]] = True
-
-    def candidates(self, raw: bytes) -> dict[int, list[int]]:
-        """Template -> sorted diagonals at which fingerprints agree."""
-        h = gram_hashes(raw)
-        least = window_least(h)
-        out: dict[int, set[int]] = defaultdict(set)
-        for p in np.flatnonzero(self.low[(h & np.uint64(0xFFFF)).astype(np.uint16)]):
-            owners = self.places.get(int(h[p]))
-            if owners and (least[max(0, p - WINDOW + 1) : p + 1] == h[p]).any():
-                for t, q in owners:
-                    out[t].add(int(p) - q)
-        return {t: sorted(d) for t, d in out.items()}
+            self.owners[t // 16][grams(body)] |= np.uint16(1 << t % 16)
+        self.long = [{body[q : q + LONG]: q for q in range(len(body) - LONG + 1)} for body in self.bodies]
+
+    def starts(self, raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
+        """Template and the places of ``raw`` after which enough of its grams follow."""
+        n, bits = len(raw), [owner[grams(raw)] for owner in self.owners]
+        for t, (body, k, needed) in enumerate(zip(self.bodies, self.faults, self.needed, strict=True)):
+            if n < len(body) - k:
+                continue
+            if needed <= 0:
+                yield t, np.arange(n)
+                continue
+            held = np.concatenate(([0], np.cumsum(bits[t // 16] >> np.uint16(t % 16) & np.uint16(1), dtype=np.int32)))
+            if held[-1] < needed:
+                continue
+            width = len(body) + k - GRAM + 1
+            held = np.concatenate((held, np.full(width, held[-1], np.int32)))
+            found = np.flatnonzero(held[width:] - held[:-width] >= needed)
+            pattern = body.decode("latin-1")
+            for run in np.split(found, np.flatnonzero(np.diff(found) > len(body)) + 1) if len(found) else []:
+                if myers_end(pattern, raw[run[0] : run[-1] + len(body) + k].decode("latin-1"))[0] <= k:
+                    yield t, run
+
+    def shared(self, raw: bytes) -> dict[int, set[int]]:
+        """Template -> diagonals along which ``LONG`` bytes agree."""
+        out: dict[int, set[int]] = {}
+        for t, long in enumerate(self.long):
+            # a stretch of LONG bytes holds an aligned piece of half as many
+            for q in range(0, len(self.bodies[t]) - LONG // 2 + 1, LONG // 2):
+                piece = self.bodies[t][q : q + LONG // 2]
+                at = raw.find(piece)
+                while at >= 0:
+                    if any(long.get(raw[a : a + LONG], -1) - a == q - at for a in range(max(0, at - LONG // 2), at + 1)):
+                        out.setdefault(t, set()).add(at - q)
+                    at = raw.find(piece, at + 1)
+        return out
 
     def matches(self, text: str | None, min_coverage: float) -> list[tuple[str, float, int, int]]:
         """``(template, coverage, start, end)`` in code points."""
         raw = fold(text)
         found = []
-        for t, diagonals in self.candidates(raw).items():
-            best: list[tuple[float, int, int]] = []
-            last = None
-            for d in diagonals:
-                if last is not None and d - last <= BAND // 2:
-                    continue  # within the band of the diagonal before
-                last = d
-                same, start, end = align(self.bodies[t], raw, d)
-                cover = same / len(self.bodies[t])
-                if cover < min_coverage:
-                    continue
-                if best and start < best[-1][2]:
-                    best[-1] = max(best[-1], (cover, start, end))
-                else:
+        wanted = {t: [(d, BAND) for d in sorted(diagonals)] for t, diagonals in self.shared(raw).items()}
+        for t, places in self.starts(raw):
+            last, step = None, max(4, self.faults[t])
+            for d in places.tolist():
+                if last is None or d - last >= step:
+                    last = d  # the next ones are within its band
+                    wanted.setdefault(t, []).append((d, self.faults[t] + step))
+        for t, diagonals in wanted.items():
+            body, k, best = self.bodies[t], self.faults[t], []
+            at = raw.find(body)
+            while at >= 0:
+                best.append((1.0, at, at + len(body)))
+                at = raw.find(body, at + len(body))
+            whole = np.array([a for _, a, _ in best])
+            for d, band in diagonals:
+                if len(whole) and (abs(whole - d) < len(body) - k).any():
+                    continue  # nothing that overlaps an equal stretch is better
+                same, start, end = align(body, raw, d, band)
+                if (cover := same / len(body)) >= min_coverage:
                     best.append((cover, start, end))
-            found += [(self.names[t], round(c, 6), a, b) for c, a, b in best]
+            taken: list[tuple[float, int, int]] = []
+            for c, a, b in sorted(best, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+                if all(b <= x or a >= y for _, x, y in taken):
+                    taken.append((c, a, b))
+            found += [(self.names[t], round(c, 6), a, b) for c, a, b in taken]
         if found:
             chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
             found = [(n, c, int(chars[a]), int(chars[b])) for n, c, a, b in found]
@@ -147,7 +166,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     templates = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = TemplateIndex(templates)
+        index = TemplateIndex(templates, min_coverage)
         for pdf in batches:
             hits = [(d, *m) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True) for m in index.matches(t, min_coverage)]
             yield pd.DataFrame(hits, columns=["doc_id", "license", "coverage", "start", "end"]).astype({"doc_id": "Int64"})

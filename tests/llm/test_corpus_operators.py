@@ -304,6 +304,20 @@ def test_licenses(spark):
     assert found["MIT-notice"] == "Released under the MIT License" and found["Apache-2.0"].startswith("Licensed under") and found["Apache-2.0"].endswith("2.0")
 
 
+def test_licenses_short_or_with_faults():
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    named = lambda text: [(n, text[a:b]) for n, _, a, b in index.matches(text, 0.8)]
+    assert named("é ba. All rights reserved. All rights reserved.") == [("all-rights-reserved", "All rights reserved")] * 2
+    assert [n for n, _ in named("ba ke Licensed under CC-BY-NC 4.0. lo")] == ["CC-BY-NC-4.0"]
+    rng = random.Random(4)
+    for name, body in licenses.TEMPLATES.items():
+        for _ in range(8):
+            chars = list(body)
+            for at in rng.sample(range(len(body)), int(len(body) * 0.12)):
+                chars[at] = "~"
+            assert name in [n for n, _ in named("ba ke " + "".join(chars) + " lo mu")], "".join(chars)
+
+
 def test_secrets_in_nested_layers(spark):
     packed = base64.b64encode(gzip.compress(b"password = hunter2hunter2")).decode()
     nested = base64.b64encode(base64.b64encode(b"secret: abcdefgh12345678")).decode()
