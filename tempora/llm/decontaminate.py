@@ -146,6 +146,12 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RA
     each of which makes one pass over the documents, so that what a task holds stays bounded.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return _found(rows, "long", items, error_rate, item_col, item_text_col, block_chars)
+
+
+def _found(rows: DataFrame, id_type: str, items: DataFrame, error_rate: float, item_col: str, item_text_col: str, block_chars: int) -> DataFrame:
+    """``contaminated()`` for ``rows(doc_id, text)`` with ids of ``id_type``, long or string."""
+    kind = "Int64" if id_type == "long" else "object"
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
@@ -157,15 +163,21 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RA
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             index = ItemIndex(held, error_rate)
             for pdf in batches:
-                hits = [(d, *m) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True) for m in index.matches(t)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "edits", "start", "end"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                hits = [(d, *m) for d, t in zip(pdf["doc_id"].astype(kind), pdf["text"], strict=True) for m in index.matches(t)]
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "edits", "start", "end"]).astype({"doc_id": kind, "item_id": "Int64"})
 
-        part = rows.mapInPandas(run, "doc_id long, item_id long, edits int, start long, end long")
+        part = rows.mapInPandas(run, f"doc_id {id_type}, item_id long, edits int, start long, end long")
         out = part if out is None else out.union(part)
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` in which no item occurs, all columns kept."""
-    hit = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ``docs`` in which no item occurs, all columns kept.
+
+    Whether an item occurs depends on the text alone, so rows are told apart by the text's digest;
+    ids may be null or repeated.
+    """
+    digest = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    rows = docs.select(digest.alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    hit = _found(rows, "string", items, error_rate, item_col, item_text_col, block_chars).select(F.col("doc_id").alias("__digest")).distinct()
+    return docs.withColumn("__digest", digest).join(hit, "__digest", "left_anti").select(*docs.columns)

@@ -150,15 +150,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are not read.  An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    reps = materialize(prints.where("doc_id is not null").groupBy("fp", "pop").agg(F.min("doc_id").alias("rep")), "representatives")
     # rows that share a doc_id but not a fingerprint are one node: the id links them
-    groups = connected_components(link_edges(reps, radius, tile_rows))
-    labelled = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    labelled = _components(prints, radius, tile_rows)
     return prints.join(labelled, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its near-duplicate group, all columns kept."""
-    groups = simhash_components(docs, id_col, **options)
-    least = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(least, id_col, "left_semi")
+def _components(prints: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """``(fp, component_id)`` of the fingerprints in ``prints(doc_id, fp, pop)``."""
+    reps = materialize(prints.where("doc_id is not null").groupBy("fp", "pop").agg(F.min("doc_id").alias("rep")), "representatives")
+    groups = connected_components(link_edges(reps, radius, tile_rows))
+    return reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row of each near-duplicate group, all columns kept: one with the least id.
+
+    Rows are told apart by a key of their own, so of repeated rows one stays, and rows with a
+    null id are grouped like others; one of them stays if its group has no id.
+    """
+
+    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.fromiter((fingerprint(t, shingle_words) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    # written once, as the key of a row must be the same in every pass
+    made = F.pandas_udf(prints_of, "long")(F.col(text_col).cast("string"))
+    held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", made), "rows")
+    prints = held.select(F.col("__row").alias("doc_id"), F.col("__fp").alias("fp"), F.bit_count("__fp").cast("int").alias("pop"), F.col(id_col).cast("long").alias("id"))
+    grouped = prints.join(_components(prints, radius, tile_rows), "fp")
+    least = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id")).alias("least"))
+    return held.join(least.select(F.col("least.doc_id").alias("__row")), "__row", "left_semi").select(*[held[c] for c in docs.columns])

@@ -129,7 +129,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     return scored.select("doc_id", (id_remainder("doc_id", modulus) == held_out).alias("held_out"), "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` whose text is not predicted toxic, all columns kept."""
-    bad = toxicity(docs, labels, id_col=id_col, **options).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text is not predicted toxic, all columns kept.
+
+    Every row is judged by its own text; its id may be null or repeated.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, "toxic", sample_rows, modulus, held_out, id_col, text_col))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.value.score([buckets(t) for t in texts]) < threshold)
+
+    return docs.where(F.pandas_udf(run, "boolean")(F.col(text_col).cast("string")))

@@ -341,6 +341,23 @@ def test_a_repeated_encoding_is_found_at_every_place(spark):
     assert secrets.mask(text).count("[SECRET]") == 4 and blob[12:] not in secrets.mask(text)
 
 
+def test_stages_judge_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(WORDS, k=60)) for _ in range(5)]
+    docs = frame(spark, [texts[0], texts[0], texts[1], texts[2], texts[2], texts[3]], [5, 5, None, None, 7, 5])
+    kept = simhash.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(5, texts[0]), (None, texts[1]), (7, texts[2]), (5, texts[3])} and kept.count() == 4
+    item = spark.createDataFrame([(1, texts[4])], "item_id long, text string")
+    docs = frame(spark, [texts[0], texts[1] + " " + texts[4], texts[2], texts[4], None], [None, None, 5, 5, None])
+    assert {r["text"] for r in decontaminate.decontaminate(docs, item).collect()} == {texts[0], texts[2], None}
+    marked = [" ".join(rng.choices(WORDS, k=30)) + " vile" * (k % 2) for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, [*marked, "ba vile", "ke lo", "vile mu", "ra se"], [*range(200), None, None, 500, 500])
+    left = {r["text"] for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert left == {*marked[::2], "ke lo", "ra se"}
+
+
 def test_pipeline_keeps_columns_and_drops_what_it_should(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)
