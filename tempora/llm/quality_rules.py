@@ -22,7 +22,8 @@ CLASSES = {"lower": r"\p{Ll}+", "space": f"[{SPACE}]+", "upper": r"\p{Lu}+", "di
 COMMON_WORDS, COMMON_LENGTH = 16, 4
 CLASS_LIMIT, WORD_LIMIT = 0.25, 0.45
 MIN_CHARS, MIN_WORDS = 200, 50
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 64  # of the SQL only
+BROADCAST_LANGUAGES = 10_000
 
 
 def repeated_words(words: Column, n: int = 5) -> Column:
@@ -64,18 +65,22 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     )
 
 
-def language_references(rows: DataFrame, common_words: int = COMMON_WORDS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """``(lang, ref_words, ref_shares, ref_classes)`` from all of ``measured()``'s rows of each of
-    the ``max_languages`` most frequent languages: a table of bounded size."""
-    rows = rows.where("lang is not null and n_words > 0")
+def language_references(rows: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
+    """``(lang, ref_words, ref_shares, ref_classes)`` from all of ``measured()``'s rows of each
+    language; the row of the null language is taken from the rows of all languages together."""
+    rows = rows.where("n_words > 0")
     sums = [F.sum(F.col("classes")[k].cast("double")).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
-    whole = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_words").alias("total"), *sums)
-    whole = whole.orderBy(F.desc("n"), "lang").limit(max_languages)
+    known, none = rows.where("lang is not null"), F.lit(None).cast("string").alias("lang")
+    whole = known.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums).unionByName(rows.groupBy().agg(F.sum("n_words").alias("total"), *sums).where("total > 0").select(none, "*"))
     counted = rows.select("lang", F.explode("common").alias("word")).groupBy("lang", "word").count()
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= common_words)
+    ranked = counted.where("lang is not null").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= common_words)
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
+    overall = counted.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(common_words)
+    placed = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("low"), "word", "count")))
+    placed = F.transform(placed, lambda t, i: F.struct((i + 1).alias("rank"), t["word"].alias("word"), t["count"].alias("count")))
+    top = top.unionByName(overall.groupBy().agg(placed.alias("top")).where(F.size("top") > 0).select(none, "top"))
     shares = F.array(*[f"c{k}" for k in range(len(sums))])
-    return whole.join(top, "lang", "left").select(
+    return whole.alias("w").join(top.withColumnRenamed("lang", "of"), F.col("w.lang").eqNullSafe(F.col("of")), "left").select(
         "lang",
         F.col("top.word").alias("ref_words"),
         F.transform("top", lambda t: t["count"] / F.col("total")).alias("ref_shares"),
@@ -94,14 +99,16 @@ def divergence(p: Column, q: Column) -> Column:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """Counts, divergences and verdict of every row.
 
-    Null and empty texts have no word and fail the base rules.  A document of a language without
-    reference (null, or beyond the most frequent ones) and one with fewer than ``min_chars``
+    Null and empty texts have no word and fail the base rules.  A null language is
+    judged against the reference of all documents.  A document with fewer than ``min_chars``
     characters, or ``min_words`` words, is not judged by the class, or word, histogram: its
     divergence is null and it passes.  Repeated rows are judged each; a null id is kept.
     """
     rows = materialize(measured(docs, id_col, text_col, lang_col), "measured")
-    references = F.broadcast(language_references(rows))  # at most MAX_LANGUAGES short rows
-    rows = rows.join(references, "lang", "left")
+    references = materialize(language_references(rows), "references").withColumnRenamed("lang", "of")
+    if references.count() <= BROADCAST_LANGUAGES:
+        references = F.broadcast(references)
+    rows = rows.join(references, F.col("lang").eqNullSafe(F.col("of")), "left")
     chars = reduce(add, [F.col("classes")[k] for k in range(len(CLASSES) + 1)])
     own_classes = F.transform("classes", lambda c: c / chars)
     counts = F.transform("ref_words", lambda r: F.size(F.filter("common", lambda w: w == r)) / F.col("n_words"))

@@ -166,6 +166,19 @@ def test_divergent_text_is_rejected_and_short_text_is_not(spark):
     assert all(rows[k] for k in range(30)) and not rows[30] and rows[31]
 
 
+def test_every_language_is_judged(spark):
+    rng = random.Random(13)
+    texts, langs = [], []
+    for k in range(70):
+        texts += [" ".join(rng.choices(WORDS, k=120))] * 2
+        langs += [f"l{k}"] * 2
+    odd = " ".join(f"{rng.randrange(10**9)}{rng.choice('#%&')}" for _ in range(120))
+    texts, langs = [*texts, texts[0], odd, odd[:400]], [*langs, None, None, "l69"]
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, texts, langs=langs)).collect()}
+    assert len(rows) == len(texts) and all(r["class_distance"] is not None for r in rows.values())
+    assert rows[140]["kept"] and not rows[141]["kept"]
+
+
 PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
