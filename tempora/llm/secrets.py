@@ -1,37 +1,73 @@
 """Secret scanning with a recursive decoding worklist.
 
-A text is scanned as it stands; every URL-escaped, Unicode-escaped, base64 or compressed
-stretch is unwrapped into a further layer, which is scanned and unwrapped in turn until no
-layer gives a new one.  Each layer maps its characters to the stretch of the text they come from.
-A layer is entered once per place: the same text at the same places is not entered again, so
-encodings that unwrap to themselves end, while a repeated encoding is scanned wherever it stands.
+A text is scanned as it stands.  Its URL and Unicode escapes are then decoded in place, and its
+base64 stretches, in each of the four alignments, and compressed streams are unwrapped; every
+layer so gained is scanned and unwrapped in turn until none gives a new one.  A layer that equals
+one of its own ancestors ends its chain, so encodings that unwrap to themselves end, while an
+encoding that is repeated is followed wherever it stands.  A layer knows its parent and how its
+characters lie in it, by arithmetic or by a list of its escapes, so no map is held per character.
+
+Decoded bytes are read one character a byte: all that is searched for is ASCII, which other bytes
+only separate, so a byte that is no text spoils nothing around it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-from urllib.parse import unquote_to_bytes
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
+MAX_INFLATED = 16 << 20  # bytes unpacked from one text's compressed streams, all together
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORD_KEYS = ("passw", "secret", "token", "api_key", "apikey")
-_URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-_ESCAPED = re.compile(r"(?:[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
-_ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-Span = tuple[int, int]
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})|\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U(0010[0-9A-Fa-f]{4}|000[0-9A-Fa-f]{5})|u\{(10[0-9A-Fa-f]{4}|0{0,3}[0-9A-Fa-f]{1,5})\})")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]")
+_NOT_BASE64 = str.maketrans("", "", "\r\n \t")
+
+
+@dataclass
+class Layer:
+    """``locate(a, b)`` gives the stretch of the parent's text from which ``text[a:b]`` comes."""
+
+    text: str
+    parent: Layer | None = None
+    locate: Callable[[int, int], tuple[int, int]] | None = None
+    packed: bool = False  # of bytes, which may themselves be a compressed stream
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        layer = self
+        while layer.parent is not None:
+            a, b = layer.locate(a, b)
+            layer = layer.parent
+        return a, b
+
+    def repeats(self) -> bool:
+        above = self.parent
+        while above is not None:
+            if len(above.text) == len(self.text) and above.text == self.text:
+                return True
+            above = above.parent
+        return False
+
+
+class Allowance:
+    """What may still be unpacked for one text, and how many streams went beyond it."""
+
+    def __init__(self, size: int):
+        self.left, self.cut = size, 0
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -46,125 +82,142 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+def unescaped(layer: Layer) -> Layer | None:
+    """The layer with its URL and Unicode escapes decoded in place."""
+    text = layer.text
+    if "%" not in text and "\\" not in text:
         return None
-    odd = sum(1 for c in text if not c.isprintable() and c not in "\n\r\t")
-    return text if text and not odd else None
-
-
-def _inflate(raw: bytes) -> bytes | None:
-    """Content of a gzip, zlib or bzip2 stream."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 6 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            return zlib.decompress(raw, 47)
-        if raw[:3] == b"BZh":
-            return bz2.decompress(raw)
-    except (zlib.error, OSError, ValueError, EOFError):
+    out, new, end, at, size = [], [], [], 0, 0  # per escape: place in the new text, end in the old
+    for m in _ESCAPE.finditer(text):
+        out += (text[at : m.start()], chr(int(m[m.lastindex], 16)))
+        size += m.start() - at
+        new.append(size)
+        end.append(m.end())
+        size, at = size + 1, m.end()
+    if not new:
         return None
-    return None
+    out.append(text[at:])
 
+    def first(k: int) -> int:
+        e = bisect_right(new, k) - 1
+        # behind escape e; on it, its beginning is where the text before it ends
+        return (end[e - 1] + k - new[e - 1] - 1 if e > 0 else k) if e >= 0 and new[e] == k else (end[e] + k - new[e] - 1 if e >= 0 else k)
 
-def _from_bytes(raw: bytes, span_of_byte) -> tuple[str, list[Span]] | None:
-    """Text of decoded bytes with the span that each of its characters comes from."""
-    text = _readable(raw)
-    if text is None:
-        return None
-    spans, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        spans.append((span_of_byte(at)[0], span_of_byte(at + n - 1)[1]))
-        at += n
-    return text, spans
-
-
-def unwrap(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """Layers directly under ``text``: decoded text and, per character, a span of ``text``."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            raw, where, k = unquote_to_bytes(m[0]), [], m.start()
-            while k < m.end():
-                n = 3 if text[k] == "%" else 1
-                where += [(k, k + n)] * (1 if n == 3 else len(text[k].encode()))
-                k += n
-            if layer := _from_bytes(raw, where.__getitem__):
-                yield layer
-    if "\\u" in text or "\\x" in text:
-        for m in _ESCAPED.finditer(text):
-            out, where, at = [], [], m.start()
-            for e in _ONE_ESCAPE.finditer(text, m.start(), m.end()):
-                out += text[at : e.start()]
-                where += [(k, k + 1) for k in range(at, e.start())]
-                code = int(e[1] or e[2], 16)
-                if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1]) < 0xDC00:
-                    out[-1] = chr(0x10000 + ((ord(out[-1]) - 0xD800) << 10) + code - 0xDC00)
-                    where[-1] = (where[-1][0], e.end())
-                else:
-                    out.append(chr(code))
-                    where.append(e.span())
-                at = e.end()
-            out += text[at : m.end()]
-            where += [(k, k + 1) for k in range(at, m.end())]
-            yield "".join(c if not 0xD800 <= ord(c) < 0xE000 else "�" for c in out), where
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
+    def locate(a: int, b: int) -> tuple[int, int]:
+        e = bisect_right(new, b - 1) - 1
+        return first(a), end[e] + b - 1 - new[e] if e >= 0 else b
+
+    return Layer("".join(out), layer, locate)
+
+
+def inflate(raw: bytes, allowed: Allowance) -> tuple[bytes, int]:
+    """Content of the gzip, zlib or bzip2 stream at the start of ``raw``, and of those that follow
+    it directly, with the number of bytes read; what a broken stream gives before its fault counts."""
+    out, at = [], 0
+    while m := _STREAM.match(raw, at):
+        unpack = bz2.BZ2Decompressor() if m[0][:1] == b"B" else zlib.decompressobj(47)
         try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
+            for k in range(at, len(raw), 4096):
+                held = raw[k : k + 4096]
+                while held and allowed.left and not unpack.eof:
+                    part = unpack.decompress(held, allowed.left)
+                    held = b"" if m[0][:1] == b"B" else unpack.unconsumed_tail
+                    out.append(part)
+                    allowed.left -= len(part)
+                if unpack.eof or not allowed.left:
+                    break
+        except (zlib.error, OSError, ValueError, EOFError):
+            break
+        if not unpack.eof:
+            allowed.cut += not allowed.left
+            break
+        at = min(len(raw), k + 4096) - len(unpack.unused_data)
+    plain = b"".join(out)
+    return plain, (at or len(raw)) if plain else 0
+
+
+def _streams(raw: bytes, layer: Layer, place: Callable[[int, int], tuple[int, int]], allowed: Allowance) -> Iterator[Layer]:
+    """Layers of the streams that begin anywhere in ``raw``; each comes from its whole stream."""
+    done = 0
+    for m in _STREAM.finditer(raw):
+        if m.start() < done:
             continue
-        start, end = m.span()
-        plain = _inflate(raw)
-        if plain is not None:
-            layer = _from_bytes(plain, lambda b, s=(start, end): s)
-        else:
-            layer = _from_bytes(raw, lambda b, s=start, e=end: (s + b // 3 * 4, min(e, s + b // 3 * 4 + 4)))
-        if layer:
-            yield layer
+        plain, size = inflate(raw[m.start() :] if m.start() else raw, allowed)
+        if plain:
+            done = m.start() + size
+            whole = place(m.start(), done)
+            yield Layer(plain.decode("latin-1"), layer, lambda a, b, whole=whole: whole, True)
+
+
+def unwrap(layer: Layer, allowed: Allowance) -> Iterator[Layer]:
+    """Layers directly under ``layer``."""
+    if plain := unescaped(layer):
+        yield plain
+    if layer.packed:
+        yield from _streams(layer.text.encode("latin-1"), layer, lambda a, b: (a, b), allowed)
+    for m in _BASE64.finditer(layer.text):
+        lines = m[0].translate(_NOT_BASE64)
+        start, one = m.start(), len(lines) == m.end() - m.start()
+        held = None if one else [k for k in range(*m.span()) if layer.text[k] not in "\r\n \t"]
+        body = lines.replace("-", "+").replace("_", "/")
+        for phase in range(4):
+            size = len(body) - phase
+            size -= size % 4 == 1
+            raw = base64.b64decode(body[phase : phase + size] + "=" * (-size % 4))
+            last = len(body) - 1
+
+            def place(a: int, b: int, phase=phase, start=start, held=held, last=last) -> tuple[int, int]:
+                p, q = phase + a // 3 * 4, min(last, phase + (b - 1) // 3 * 4 + 3)
+                return (start + p, start + q + 1) if held is None else (held[p], held[q] + 1)
+
+            yield Layer(raw.decode("latin-1"), layer, place)
+            yield from _streams(raw, layer, place, allowed)
+
+
+def all_spans(text: str | None, max_inflated: int = MAX_INFLATED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """``(base, all, cut)``: spans ``(kind, start, end)`` in code points, by start, then kind, and
+    the number of compressed streams of which a rest beyond ``max_inflated`` bytes was not read."""
+    text = text or ""
+    order = lambda s: (s[1], KINDS.index(s[0]), s[2])
+    base = sorted(base_spans(text), key=order)
+    spans, work, allowed = set(base), [Layer(text)], Allowance(max_inflated)
+    while work:
+        for inner in unwrap(work.pop(), allowed):
+            if not inner.repeats():
+                spans.update((kind, *inner.source(a, b)) for kind, a, b in base_spans(inner.text))
+                work.append(inner)
+    return base, sorted(spans, key=order), allowed.cut
 
 
 def secret_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """``(base, all)`` spans ``(kind, start, end)`` in code points, by start, then kind."""
-    text = text or ""
-    rank = KINDS.index
-    base = sorted(base_spans(text), key=lambda s: (s[1], rank(s[0]), s[2]))
-    spans, work, seen = set(base), [(text, None)], set()
-    while work:
-        layer, where = work.pop()
-        for inner, local in unwrap(layer):
-            placed = local if where is None else [(where[a][0], where[b - 1][1]) for a, b in local]
-            # all characters of a decompressed layer have one place, so a cycle meets its own key
-            if (key := (inner, tuple(placed))) in seen:
-                continue
-            seen.add(key)
-            spans.update((kind, placed[a][0], placed[b - 1][1]) for kind, a, b in base_spans(inner))
-            work.append((inner, placed))
-    return base, sorted(spans, key=lambda s: (s[1], rank(s[0]), s[2]))
+    """``(base, all)`` of ``all_spans()``."""
+    return all_spans(text)[:2]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` for every row.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_inflated: int = MAX_INFLATED) -> DataFrame:
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_cut)`` for every row.
 
     The counts and the digest cover the spans that stand in the text as it is; ``spans`` adds
-    those found in unwrapped layers.  Null and empty texts have none.  Repeated rows and rows
-    with a null id are scanned like others; other columns are not read.
+    those found in unwrapped layers, a span of a compressed layer being its whole stream.  Null
+    and empty texts have none; texts are read whole, however long.  Of compressed streams
+    ``max_inflated`` bytes a text are read; ``n_cut`` counts the streams that hold more, so that
+    they can be looked at otherwise.  Repeated rows and rows with a null id are scanned like
+    others; other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [secret_spans(t) for t in pdf["text"]]
-            counts = {f"n_{k}": [sum(s[0] == k for s in base) for base, _ in found] for k in KINDS}
-            digest = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **counts, "base_sha256": digest, "spans": [_joined(s) for _, s in found]})
+            found = [all_spans(t, max_inflated) for t in pdf["text"]]
+            counts = {f"n_{k}": [sum(s[0] == k for s in f[0]) for f in found] for k in KINDS}
+            digest = [hashlib.sha256(_joined(f[0]).encode()).hexdigest() for f in found]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **counts, "base_sha256": digest, "spans": [_joined(f[1]) for f in found], "n_cut": [f[2] for f in found]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_cut long")
 
 
 def mask(text: str | None, replacement: str = "[SECRET]") -> str | None:
