@@ -1,7 +1,8 @@
 """SimHash near-duplicate groups: tiled exact comparison of 64-bit fingerprints.
 
-Fingerprints are distinct values with the least document id that has them.  They are dealt
-into tiles of one population count and at most ``tile_rows`` values.  Two fingerprints that
+Distinct fingerprints are the nodes.  They are dealt into tiles of one population count and
+about ``tile_rows`` values; the more there are, the larger the tiles, as every tile travels to
+each partner it has to meet.  Two fingerprints that
 differ in at most ``radius`` bits have population counts at most ``radius`` apart, so tile
 pairs further apart are never formed; the others are compared in full with numpy exclusive-or
 and bit counts.  A tile pair reports a spanning forest of its links, never all pairs.
@@ -22,7 +23,7 @@ from .components import connected_components
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-TILE_ROWS = 16384
+LEAST_TILE, MOST_TILE = 4096, 1 << 20  # rows of a tile; the most are 8 MB
 _BLOCK = 128
 
 
@@ -114,55 +115,66 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> lis
     return out
 
 
-def link_edges(reps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``reps(fp, pop, rep)`` with distinct ``fp`` to linking edges ``(a, b)`` of ``rep`` ids."""
-    spark = reps.sparkSession
-    count = dict(reps.groupBy("pop").count().collect())  # at most 65 rows
+def tile_size(fingerprints: int, slots: int) -> int:
+    """Rows of a tile that leave each of ``slots`` tasks a few tile pairs to compare."""
+    return min(MOST_TILE, max(LEAST_TILE, int(fingerprints / (2 * slots) ** 0.5 / 2)))
+
+
+def link_edges(nodes: DataFrame, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
+    """``nodes(fp, pop)`` with distinct ``fp`` to linking edges ``(a, b)`` of fingerprints."""
+    spark = nodes.sparkSession
+    count = dict(nodes.groupBy("pop").count().collect())  # at most 65 rows
+    tile_rows = tile_rows or tile_size(sum(count.values()), partitions(spark))
     chunks = F.create_map(*[F.lit(x) for p in range(65) for x in (p, -(-count.get(p, 0) // tile_rows))])
     tiled = (
-        reps.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.greatest(chunks[F.col("pop")], F.lit(1))).cast("int"))
+        nodes.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.greatest(chunks[F.col("pop")], F.lit(1))).cast("int"))
         .groupBy("pop", "chunk")
-        .agg(F.collect_list(F.struct("fp", "rep")).alias("tile"))
+        .agg(F.collect_list("fp").alias("tile"))
     )
     other = F.explode(F.sequence(F.greatest(F.col("pop") - radius, F.lit(0)), F.least(F.col("pop") + radius, F.lit(64))))
     near = tiled.withColumn("pop2", other).where(chunks[F.col("pop2")] > 0)
     near = near.withColumn("chunk2", F.explode(F.sequence(F.lit(0), chunks[F.col("pop2")] - 1)))
     mine, theirs = F.struct("pop", "chunk"), F.struct(F.col("pop2").alias("pop"), F.col("chunk2").alias("chunk"))
-    dealt = near.select(F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("top"), (mine <= theirs).alias("is_low"), F.col("tile.fp").alias("fps"), F.col("tile.rep").alias("reps"))
+    dealt = near.select(F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("top"), (mine <= theirs).alias("is_low"), "tile")
     dealt = dealt.repartition(max(partitions(spark), 24), "low", "top")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("is_low", ascending=False)
-        fps = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["fps"]]
-        ids = np.concatenate([np.asarray(x, np.int64) for x in pdf["reps"]])
+        fps = [np.asarray(x, np.int64).view(np.uint64) for x in pdf.sort_values("is_low", ascending=False)["tile"]]
+        whole = np.concatenate(fps).view(np.int64)
         found = np.array(tile_links(fps[0], fps[1] if len(fps) > 1 else None, radius), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+        return pd.DataFrame({"a": whole[found[:, 0]], "b": whole[found[:, 1]]})
 
     return dealt.groupBy("low", "top").applyInPandas(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _components(prints: DataFrame, radius: int, tile_rows: int | None) -> DataFrame:
+    """``(fp, component)`` of the fingerprints in ``prints(fp, pop)``; a component is named by one
+    of its fingerprints."""
+    nodes = materialize(prints.select("fp", "pop").distinct(), "fingerprints")
+    groups = connected_components(link_edges(nodes, radius, tile_rows))
+    return nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
     Null and wordless texts have fingerprint zero and link like any other.  Repeated rows each
-    get a row.  Rows with a null id get a row and take part through their fingerprint, but never
-    name a component; a component of null ids only has a null ``component_id``.  Other columns
-    are not read.  An empty table gives an empty result.
+    get a row, and rows that share an id but not a fingerprint are told apart by the latter.
+    Rows with a null id link, and link others, like any, but never name a component: where all
+    ids are null, so is ``component_id``.  Other columns are not read.  An empty table gives an
+    empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    # rows that share a doc_id but not a fingerprint are one node: the id links them
-    labelled = _components(prints, radius, tile_rows)
-    return prints.join(labelled, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def _components(prints: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """``(fp, component_id)`` of the fingerprints in ``prints(doc_id, fp, pop)``."""
-    reps = materialize(prints.where("doc_id is not null").groupBy("fp", "pop").agg(F.min("doc_id").alias("rep")), "representatives")
-    groups = connected_components(link_edges(reps, radius, tile_rows))
-    return reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "prints")
+    # per fingerprint first, so that a fingerprint of very many rows is one row from here on
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    labelled = materialize(least.join(_components(prints, radius, tile_rows), "fp"), "labelled")
+    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_print = materialize(labelled.join(named, "component").select("fp", "component_id"), "named")
+    discard(labelled)
+    return prints.join(by_print, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
     """One row of each near-duplicate group, all columns kept: one with the least id.
 
     Rows are told apart by a key of their own, so of repeated rows one stays, and rows with a
@@ -176,7 +188,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # written once, as the key of a row must be the same in every pass
     made = F.pandas_udf(prints_of, "long")(F.col(text_col).cast("string"))
     held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", made), "rows")
-    prints = held.select(F.col("__row").alias("doc_id"), F.col("__fp").alias("fp"), F.bit_count("__fp").cast("int").alias("pop"), F.col(id_col).cast("long").alias("id"))
-    grouped = prints.join(_components(prints, radius, tile_rows), "fp")
-    least = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id")).alias("least"))
-    return held.join(least.select(F.col("least.doc_id").alias("__row")), "__row", "left_semi").select(*[held[c] for c in docs.columns])
+    order = F.struct(F.col(id_col).cast("long").isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row"))
+    prints = held.select(F.col("__fp").alias("fp"), F.bit_count("__fp").cast("int").alias("pop"), order.alias("least"))
+    least = prints.groupBy("fp").agg(F.min("least").alias("least"))
+    chosen = least.join(_components(prints, radius, tile_rows), "fp").groupBy("component").agg(F.min("least").alias("least"))
+    return held.join(chosen.select(F.col("least.row").alias("__row")), "__row", "left_semi").select(*[held[c] for c in docs.columns])
