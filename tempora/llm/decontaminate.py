@@ -3,7 +3,8 @@
 An item of m characters may occur with up to k = m * error_rate edits.  It is split into k + 1
 pieces; an occurrence with at most k edits leaves one piece untouched, so every occurrence
 holds an exact piece hit.  An Aho-Corasick automaton finds piece hits in each document, and
-Myers' bit-parallel distance verifies the window that each hit implies.
+Myers' bit-parallel distance verifies the window that each hit implies.  An edit destroys at most
+three of an item's character triples, so a window that lacks more than 3 k of them is passed over.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR_RATE = 0.06
+from .common import materialize
+
+ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
 
 
@@ -83,11 +87,18 @@ def locate(pattern: str, window: str, budget: int) -> tuple[int, int, int] | Non
     return distance, end - length, end
 
 
+def triples(text: str) -> np.ndarray:
+    """A number for the three characters at each place; equal ones have equal numbers."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return (c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) if len(c) > 2 else c[:0]
+
+
 class ItemIndex:
     """Pieces of a bounded block of items in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE):
         self.items: list[tuple[int, str, int]] = []
+        self.triples: list[np.ndarray] = []
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             text = normalise(text)
@@ -95,6 +106,7 @@ class ItemIndex:
                 continue
             k = int(len(text) * error_rate)
             self.items.append((item_id, text, k))
+            self.triples.append(triples(text))
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces[text[a:b]].append((len(self.items) - 1, a))
@@ -113,15 +125,17 @@ class ItemIndex:
         for last, (size, owners) in self.automaton.iter(body):
             for item, offset in owners:
                 diagonals[item].add(last + 1 - size - offset)
-        found = []
+        found, held = [], triples(body) if diagonals else None
         for item, starts in diagonals.items():
             item_id, pattern, k = self.items[item]
+            needed = len(self.triples[item]) - 3 * k
             best, done = None, -1
             for start in sorted(starts):
                 lo, hi = max(0, start - k), min(len(body), start + len(pattern) + k)
                 if hi <= done:
                     continue
-                # windows of neighbouring hits overlap; one that adds little is verified with the next
+                if needed > 0 and np.isin(self.triples[item], held[lo : hi - 2]).sum() < needed:
+                    continue
                 hit = locate(pattern, body[lo:hi], k)
                 if hit and (best is None or hit[0] < best[0]):
                     best = (hit[0], lo + hit[1], lo + hit[2])
@@ -167,6 +181,8 @@ def _found(rows: DataFrame, id_type: str, items: DataFrame, error_rate: float, i
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id", "edits", "start", "end"]).astype({"doc_id": kind, "item_id": "Int64"})
 
         part = rows.mapInPandas(run, f"doc_id {id_type}, item_id long, edits int, start long, end long")
+        if blocks > 1:  # so that the driver holds one block at a time
+            part = materialize(part, "matches")
         out = part if out is None else out.union(part)
     return out
 
