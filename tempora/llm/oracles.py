@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import CLASS_LIMIT, CLASSES, COMMON_LENGTH, COMMON_WORDS, MAX_LANGUAGES, MIN_CHARS, MIN_WORDS, SPACE, WORD_LIMIT
+from .quality_rules import CLASS_LIMIT, CLASSES, COMMON_WORDS, MIN_CHARS, MIN_WORDS, SPACE, WORD_LIMIT
 from .substrings import LENGTH
 from .warc import BASE32
 
@@ -28,18 +28,19 @@ def quality_rules_sql() -> str:
     return f"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '') AS words FROM documents),
 told AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS lines, [{classes}] AS five FROM t),
 base AS (SELECT doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-  list_append(five, length(text) - list_sum(five)::BIGINT) AS classes, list_transform(list_filter(words, lambda w: length(w) <= {COMMON_LENGTH}), lambda w: lower(w)) AS common FROM told),
+  list_append(five, length(text) - list_sum(five)::BIGINT) AS classes, list_transform(words, lambda w: lower(w)) AS common FROM told),
 windows AS (SELECT doc_id, i, words[i : i + 4] AS five FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY 1),
-langs AS (SELECT lang, count(*) AS n, sum(n_words) AS total, [{sums}] AS sums FROM base WHERE lang IS NOT NULL AND n_words > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {MAX_LANGUAGES}),
-counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(common) AS word FROM base WHERE lang IS NOT NULL AND n_words > 0) GROUP BY 1, 2),
+spoken AS (SELECT lang, n_words, classes, common FROM base WHERE lang IS NOT NULL AND n_words > 0 UNION ALL SELECT NULL, n_words, classes, common FROM base WHERE n_words > 0),
+langs AS (SELECT lang, sum(n_words) AS total, [{sums}] AS sums FROM spoken GROUP BY 1),
+counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(common) AS word FROM spoken) GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM counted QUALIFY place <= {COMMON_WORDS}),
-refs AS (SELECT l.lang, list_transform(sums, lambda c: c / list_sum(sums)) AS ref_classes, list(word ORDER BY place) FILTER (word IS NOT NULL) AS ref_words, list(r.n / total ORDER BY place) FILTER (word IS NOT NULL) AS ref_shares FROM langs l LEFT JOIN ranked r USING (lang) GROUP BY ALL),
+refs AS (SELECT l.lang, list_transform(sums, lambda c: c / list_sum(sums)) AS ref_classes, list(word ORDER BY place) FILTER (word IS NOT NULL) AS ref_words, list(r.n / total ORDER BY place) FILTER (word IS NOT NULL) AS ref_shares FROM langs l LEFT JOIN ranked r ON r.lang IS NOT DISTINCT FROM l.lang GROUP BY ALL),
 judged AS (SELECT b.*, coalesce(repeats.n, 0) AS n_repeat_words, list_sum(classes) AS chars, ref_classes, ref_shares,
   CASE WHEN list_sum(classes) >= {MIN_CHARS} THEN list_transform(classes, lambda c: c / list_sum(classes)::DOUBLE) END AS own_classes,
   CASE WHEN n_words >= {MIN_WORDS} THEN list_transform(ref_words, lambda r: len(list_filter(common, lambda w: w = r)) / n_words) END AS own_shares
-  FROM base b LEFT JOIN repeats USING (doc_id) LEFT JOIN refs USING (lang)),
+  FROM base b LEFT JOIN repeats USING (doc_id) LEFT JOIN refs ON refs.lang IS NOT DISTINCT FROM b.lang),
 apart AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_distance("own_classes", "ref_classes")} AS class_distance,
   CASE WHEN own_shares IS NOT NULL THEN {_distance(_rest("own_shares"), _rest("ref_shares"))} END AS word_distance FROM judged)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(class_distance > {CLASS_LIMIT}, false) AND NOT coalesce(word_distance > {WORD_LIMIT}, false) AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM apart"""

@@ -19,10 +19,9 @@ from .common import materialize
 SPACE = r"\x20\x09-\x0D"
 # character classes, taken out of the text one after the other; the last one is what is left
 CLASSES = {"lower": r"\p{Ll}+", "space": f"[{SPACE}]+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "point": r"[.,;:!?'\"()-]+"}
-COMMON_WORDS, COMMON_LENGTH = 16, 4
+COMMON_WORDS = 16
 CLASS_LIMIT, WORD_LIMIT = 0.25, 0.45
 MIN_CHARS, MIN_WORDS = 200, 50
-MAX_LANGUAGES = 64  # of the SQL only
 BROADCAST_LANGUAGES = 10_000
 
 
@@ -51,7 +50,6 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         out = out.withColumn(f"rest{k + 1}", F.regexp_replace(f"rest{k}", pattern, ""))
     last = f"rest{len(CLASSES)}"
     counts = [(F.length(f"rest{k}") - F.length(f"rest{k + 1}")).alias(name) for k, name in enumerate(CLASSES)]
-    common = F.transform(F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH), lambda w: F.lower(w))
     return out.select(
         "doc_id",
         "lang",
@@ -61,7 +59,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.array(*counts, F.length(last).alias("other")).alias("classes"),
-        common.alias("common"),
+        F.transform("words", lambda w: F.lower(w)).alias("low"),
     )
 
 
@@ -72,7 +70,7 @@ def language_references(rows: DataFrame, common_words: int = COMMON_WORDS) -> Da
     sums = [F.sum(F.col("classes")[k].cast("double")).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
     known, none = rows.where("lang is not null"), F.lit(None).cast("string").alias("lang")
     whole = known.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums).unionByName(rows.groupBy().agg(F.sum("n_words").alias("total"), *sums).where("total > 0").select(none, "*"))
-    counted = rows.select("lang", F.explode("common").alias("word")).groupBy("lang", "word").count()
+    counted = rows.select("lang", F.explode("low").alias("word")).groupBy("lang", "word").count()
     ranked = counted.where("lang is not null").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= common_words)
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
     overall = counted.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(common_words)
@@ -111,6 +109,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.join(references, F.col("lang").eqNullSafe(F.col("of")), "left")
     chars = reduce(add, [F.col("classes")[k] for k in range(len(CLASSES) + 1)])
     own_classes = F.transform("classes", lambda c: c / chars)
+    rows = rows.withColumn("common", F.filter("low", lambda w: F.array_contains("ref_words", w)))
     counts = F.transform("ref_words", lambda r: F.size(F.filter("common", lambda w: w == r)) / F.col("n_words"))
     rows = rows.withColumn("shares", F.when(F.col("n_words") >= min_words, counts))
     rest = lambda a: F.concat(a, F.array(F.lit(1.0) - F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)))
