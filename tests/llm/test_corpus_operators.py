@@ -354,6 +354,87 @@ def test_a_repeated_encoding_is_found_at_every_place(spark):
     assert secrets.mask(text).count("[SECRET]") == 4 and blob[12:] not in secrets.mask(text)
 
 
+SECRET = b"password = hunter2hunter2"
+
+
+def b64(raw):
+    return base64.b64encode(raw).decode()
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("caf%E9&password%3Dhunter2secret x", "password%3Dhunter2secret"),
+        ("a%00b&password%3Dhunter2secret", "password%3Dhunter2secret"),
+        (b64(b"\xffpassword=hunter2secret"), b64(b"\xffpassword=hunter2secret").rstrip("=")),
+        ("password = %68unter2secret and", "password = %68unter2secret"),
+        ("é password = \\u0068unter2secret and", "password = \\u0068unter2secret"),
+        ("x %5Cu0070assword = \\u{68}unter2secret", "%5Cu0070assword = \\u{68}unter2secret"),
+        ("/v1/" + b64(SECRET), b64(SECRET)[:34]),
+        ("seg/ab/" + b64(gzip.compress(SECRET, mtime=0)), b64(gzip.compress(SECRET, mtime=0)).rstrip("=")),
+        (b64(gzip.compress(b"one", mtime=0) + gzip.compress(SECRET, mtime=0)), b64(gzip.compress(b"one", mtime=0) + gzip.compress(SECRET, mtime=0)).rstrip("=")),
+        (b64(gzip.compress(zlib.compress(SECRET), mtime=0)) + " end", b64(gzip.compress(zlib.compress(SECRET), mtime=0)).rstrip("=")),
+        (b64("a\u00a0b token=abcdefghij".encode()), None),
+        (base64.encodebytes(gzip.compress(random.Random(1).randbytes(300) + SECRET, mtime=0)).decode(), None),
+    ],
+)
+def test_secrets_behind_faults_borders_and_layers(text, found):
+    base, spans = secrets.secret_spans(text)
+    assert not base and spans
+    if found:
+        assert text[spans[0][1] : spans[0][2]] == found
+    assert "unter2" not in secrets.mask(text) and secrets.secret_spans(secrets.mask(text))[1] == []
+
+
+def test_a_bomb_is_bounded_and_told_of():
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = b64(b"".join(packer.compress(b"\0" * (1 << 20)) for _ in range(200)) + packer.flush())
+    assert secrets.all_spans(f"token=abcdefghij {bomb}")[1:] == ([("assign", 0, 16)], 1)
+    many = b64(gzip.compress(SECRET, mtime=0) * 4000)
+    assert len(secrets.secret_spans(many)[1]) == 1
+    assert secrets.secret_spans("%25" * 50 + "41")[1] == []
+
+
+def test_base_secrets_equal_sql(spark):
+    import duckdb
+
+    rng = random.Random(21)
+    parts = ["password", "Token", "API_key", "apiKEY", "secret", "'", '"', " ", "  ", ":", "=", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef" * 2, "abcdefgh1", "short", "é", "\n", "a.b-c/d+e=f_g"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(300)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?) AS i, unnest(?) AS text", [list(range(len(texts))), texts])
+    told = con.execute(
+        """SELECT len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)),
+        len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)), len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)) FROM t ORDER BY i"""
+    ).fetchall()
+    made = secrets.scan_secrets(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["n_assign"], r["n_access"], r["n_hex"]) for r in made] == told and all(map(sum, zip(*told, strict=True)))
+
+
+def test_null_and_shared_ids_link_by_fingerprint(spark):
+    rng = random.Random(31)
+    words = rng.choices(WORDS, k=400)
+    chain = [" ".join(words)]
+    for k in range(60):
+        words = [*words]
+        words[k * 6] = "changed"
+        chain.append(" ".join(words))
+    ids = [k if k in (7, 0) else None for k in range(len(chain))]
+    rows = simhash.simhash_components(frame(spark, [*chain, "a b c", "x"], [*ids, 3, 3]), tile_rows=8).collect()
+    prints = [brute_fingerprint(t) for t in chain]
+    group = list(range(len(chain)))
+    for _ in chain:
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if bin(a ^ b).count("1") <= 4:
+                    group[i] = group[j] = min(group[i], group[j])
+    name = {g: min((i for i in (0, 7) if group[i] == g), default=None) for g in set(group)}
+    want = [(f"{p:016x}", ids[k], name[group[k]]) for k, p in enumerate(prints)]
+    got = [(r["fingerprint"], r["doc_id"], r["component_id"]) for r in rows if r["doc_id"] != 3]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({n for n in name.values() if n is not None}) and len(set(group)) < len(chain)
+    assert sorted(r["component_id"] for r in rows if r["doc_id"] == 3) == [3, 3]
+
+
 def test_stages_judge_rows_with_null_and_repeated_ids(spark):
     rng = random.Random(12)
     texts = [" ".join(rng.choices(WORDS, k=60)) for _ in range(5)]
