@@ -44,6 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``materialize()`` in buckets of ``key``: joins on it need not shuffle the table again."""
+    spark = df.sparkSession
+    path, called = scratch_path(spark, name), f"scratch_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(partitions(spark), key).sortBy(key).option("path", path).saveAsTable(called)
+    out = spark.table(called)
+    spark.sql(f"DROP TABLE {called}")  # the files stay, and what has been read from the catalogue
+    out._scratch_path = path
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a scratch table that no later plan reads."""
     path = getattr(df, "_scratch_path", None)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import CLASS_LIMIT, CLASSES, COMMON_WORDS, MIN_CHARS, MIN_WORDS, SPACE, WORD_LIMIT
-from .substrings import LENGTH
+from .substrings import LENGTH, REPORT
 from .warc import BASE32
 
 
@@ -54,18 +54,25 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, array_to_string(list_transform(range(8), lambda k: {letters}), '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS payload_ok FROM f"""
 
 
+def _runs(name: str, size: int) -> str:
+    """Common table expressions up to ``name(doc_id, s, e)``: runs covered by repeats of ``size`` bytes."""
+    return f"""w_{name} AS (SELECT doc_id, i, md5(array_slice(b, i, i + {size - 1})) AS h FROM (SELECT doc_id, b, unnest(range(1, n - {size - 2})) AS i FROM d)),
+rep_{name} AS (SELECT doc_id, i FROM w_{name} WHERE h IN (SELECT h FROM w_{name} GROUP BY h HAVING count(*) > 1)),
+opened_{name} AS (SELECT *, coalesce(i > lag(i) OVER o + {size}, true) AS opens FROM rep_{name} WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+numbered_{name} AS (SELECT doc_id, i, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened_{name}),
+{name} AS (SELECT doc_id, min(i) AS s, max(i) + {size - 1} AS e FROM numbered_{name} GROUP BY doc_id, run)"""
+
+
 def repeats_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, i, md5(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT doc_id, b, unnest(range(1, n - {LENGTH - 2})) AS i FROM d)),
-rep AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
-opened AS (SELECT *, coalesce(i > lag(i) OVER o + {LENGTH}, true) AS opens FROM rep WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (SELECT doc_id, i, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened),
-runs AS (SELECT doc_id, min(i) AS s, max(i) + {LENGTH - 1} AS e FROM numbered GROUP BY doc_id, run),
+{_runs("runs", LENGTH)},
+{_runs("near", REPORT)},
 ends AS (SELECT doc_id, s, e FROM runs UNION ALL SELECT doc_id, n + 1, n FROM d),
 gaps AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM ends),
 kept AS (SELECT doc_id, string_agg(CASE WHEN z >= a THEN hex(array_slice(b, a, z)) ELSE '' END, '' ORDER BY s) AS hexes FROM gaps JOIN d USING (doc_id) GROUP BY 1),
-sums AS (SELECT doc_id, sum(e - s + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
-SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(hexes)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)"""
+sums AS (SELECT doc_id, sum(e - s + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1),
+reported AS (SELECT doc_id, sum(e - s + 1)::BIGINT AS n_repeated FROM near GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(hexes)) AS kept_sha256, coalesce(n_repeated, 0) AS n_repeated FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN reported USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
