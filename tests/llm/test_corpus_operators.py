@@ -278,35 +278,51 @@ def test_warc_rejects_magic_inside_payloads(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
-def test_repeats_equal_brute_force(spark):
+def check_repeats(spark, texts, length, report, ids=None, **how):
+    raws = [(t or "").encode() for t in texts]
+
+    def covered(size):
+        seen = collections.Counter(r[i : i + size] for r in raws for i in range(len(r) - size + 1))
+        out = []
+        for raw in raws:
+            gone = bytearray(len(raw))
+            for i in range(len(raw) - size + 1):
+                if seen[raw[i : i + size]] > 1:
+                    gone[i : i + size] = b"\1" * size
+            out.append(gone)
+        return out
+
+    want = []
+    for k, (raw, gone, near) in enumerate(zip(raws, covered(length), covered(report), strict=True)):
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        want.append((k if ids is None else ids[k], len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest(), sum(near), kept))
+    made = substrings.remove_repeats(frame(spark, texts, ids), length=length, report=report, **how)
+    got = [(*r[:6], bytes(r["kept"])) for r in made.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    return want
+
+
+@pytest.mark.parametrize(("block_rows", "hot_rows"), [(7, 10_000), (50, 8), (50, 1)])
+def test_repeats_equal_brute_force(spark, block_rows, hot_rows):
     rng = random.Random(9)
     shared = " ".join(rng.choices(WORDS, k=40))
     texts = []
     for k in range(24):
         body = " ".join(rng.choices(WORDS, k=rng.randint(5, 60)))
         texts.append(body + shared[k : 130 + 4 * k] + " é" * (k % 3) + body[: 5 * k])
-    texts += [texts[3], texts[3], "ab" * 200, None, "", "short", shared * 2]
-    length = 100
-    raws = [(t or "").encode() for t in texts]
-    seen = collections.Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
-    got = {r["doc_id"]: r for r in substrings.remove_repeats(frame(spark, texts), length=length, block_rows=7).collect()}
-    for k, raw in enumerate(raws):
-        gone = bytearray(len(raw))
-        for i in range(len(raw) - length + 1):
-            if seen[raw[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
-        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], bytes(got[k]["kept"])) == (len(raw), sum(gone), spans, kept), k
-        assert got[k]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
-    assert any(r["n_removed"] not in (0, r["n_bytes"]) for r in got.values())
-    assert substrings.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
-
-
-def test_repeated_rows_and_null_ids_go(spark):
-    long = " ".join(f"w{k}" for k in range(200))
-    rows = substrings.remove_repeats(frame(spark, [long, long, long + "x"], [1, 1, None])).collect()
-    assert sorted(r["n_bytes"] - r["n_removed"] for r in rows) == [0, 0, 1]
+    texts += [texts[3], texts[3], "ab" * 200, None, "", "short", shared * 2, shared[:90], shared[:90], shared[10:105]]
+    want = check_repeats(spark, texts, 100, 80, block_rows=block_rows, hot_rows=hot_rows)
+    assert any(w[2] not in (0, w[1]) for w in want) and any(w[5] > w[2] > 0 for w in want)
+    if hot_rows > 8:
+        assert substrings.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_repeats_of_texts_that_share_an_id_or_have_none(spark):
+    rng = random.Random(14)
+    junk = [" ".join(rng.choices(WORDS, k=150)) for _ in range(4)]
+    texts = [junk[0][:300] + junk[1], junk[2], "x " + junk[0][:300] + junk[3], junk[0][:300] + junk[0], "w", junk[2] + "x"]
+    check_repeats(spark, texts, 100, 100, ids=[2, 2, 1, None, None, None])
 
 
 def test_licenses(spark):
