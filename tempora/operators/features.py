@@ -53,11 +53,17 @@ def append_value_rows(ev: DataFrame, num_bins: int = 100, prefix_regex: str | No
     return ev.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def attach_birthdate(ev: DataFrame) -> DataFrame:
-    """The last birth row of each subject, by ``row_id``."""
+def attach_birthdate(ev: DataFrame, required: bool = False) -> DataFrame:
+    """The last birth row of each subject, by ``row_id``; where it is required, a subject without
+    one is an error when its rows are read."""
     w = Window.partitionBy(ID)
     birth = F.col("code") == BIRTH
-    return ev.withColumn("birthdate", F.max_by(F.when(birth, F.col("time")), F.when(birth, F.col("row_id"))).over(w))
+    date = F.max_by(F.when(birth, F.col("time")), F.when(birth, F.col("row_id"))).over(w)
+    ev = ev.withColumn("birthdate", date)
+    if not required:
+        return ev
+    missing = F.raise_error(F.concat(F.lit("no birth date: subject "), F.col(ID).cast("string"))).cast(ev.schema["birthdate"].dataType)
+    return ev.withColumn("birthdate", F.when(F.col("birthdate").isNull(), missing).otherwise(F.col("birthdate")))
 
 
 def subjects_without_birth(ev: DataFrame) -> DataFrame:
@@ -125,8 +131,8 @@ def order_features(ev: DataFrame, order: tuple[str, ...] = ("row_id",)) -> DataF
     return ev.withColumn("seq", F.row_number().over(w))
 
 
-def featurise(ev: DataFrame) -> DataFrame:
+def featurise(ev: DataFrame, birth_required: bool = False) -> DataFrame:
     """Events with birthdate, background and admission prefixes, age and position."""
-    ev = prefix_admissions(promote_background(attach_birthdate(ev)))
+    ev = prefix_admissions(promote_background(attach_birthdate(ev, birth_required)))
     ev = ev.withColumn("age", age_years(F.col("time"), F.col("birthdate")))
     return ev.withColumn("abspos", abspos(F.col("time")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import age_fraction, excluded_by_regex
+from .outcomes import first_events
 
 ID = "subject_id"
 
@@ -72,7 +73,7 @@ def filter_by_death(pi: DataFrame) -> DataFrame:
 
 def filter_by_prior_outcomes(pi: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Drop patients whose earliest outcome lies before their index date."""
-    first = outcomes.groupBy(ID).agg(F.min("time").alias("first"))
+    first = first_events(outcomes).withColumnRenamed("time", "first")
     return pi.join(first, ID, "left").where(F.col("first").isNull() | (F.col("first") >= F.col("time"))).drop("first")
 
 

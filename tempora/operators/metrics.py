@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def class_counts(df: DataFrame, label: str = "target") -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("n"))
+    """``(label, n)``; a table of one class only is an error when it is read."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    classes = counts.agg(F.count("*").alias("_classes"))
+    checked = F.when(F.col("_classes") < 2, F.raise_error(F.lit("weights need at least two classes")).cast("bigint")).otherwise(F.col("n"))
+    return counts.crossJoin(F.broadcast(classes)).select(label, checked.alias("n"))  # one row
 
 
 def weights_inverse_sqrt(df: DataFrame, label: str = "target") -> DataFrame:
@@ -29,7 +36,8 @@ def weights_effective_n(df: DataFrame, label: str = "target") -> DataFrame:
 def pos_weights(df: DataFrame, label: str = "target") -> DataFrame:
     """Both weights of the positive class in one row: root of neg/pos, and by effective numbers."""
     n0, n1 = F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)
-    row = df.agg(n0.alias("n0"), n1.alias("n1"))
+    both = lambda n, other: F.when((n == 0) | (other == 0), F.raise_error(F.lit("both classes must occur")).cast("bigint")).otherwise(n)
+    row = df.agg(both(n0, n1).alias("n0"), both(n1, n0).alias("n1"))
     beta = (F.col("n0") + F.col("n1") - 1) / (F.col("n0") + F.col("n1"))
     side = lambda n: (1 - beta) / (1 - F.pow(beta, n))
     return row.select(F.sqrt(F.col("n0") / F.col("n1")).alias("sqrt_weight"), (side(F.col("n1")) / side(F.col("n0"))).alias("effective_weight"))
@@ -146,6 +154,25 @@ def weighted_resample(df: DataFrame, weights: DataFrame, n: int, column: str = "
     return drawn.join(ranked, "rank").select("draw", column, label)
 
 
+SCORES = ("accuracy", "balanced_accuracy", "precision_score", "recall", "f1", "kappa", "mcc", "specificity", "tn", "fp", "fn", "tp", "mean_probability", "pct_positive")
+METRICS: dict[str, Callable[..., DataFrame]] = {name: (lambda df, by, name=name, threshold=0.5: scores(df, by, threshold).select(*by, F.col(name).alias("value"))) for name in SCORES}
+METRICS |= {name: (lambda df, by, name=name: areas(df, by).select(*by, F.col(name).alias("value"))) for name in ("roc_auc", "average_precision")}
+
+
+def metric(name: str, **bound) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """The metric of that name with arguments bound: predictions and columns to ``(*by, value)``."""
+    if name not in METRICS:
+        raise ValueError(f"unknown metric {name!r}, one of {sorted(METRICS)}")
+    return functools.partial(METRICS[name], **bound)
+
+
+def named_metrics(df: DataFrame, chosen: dict[str, dict], by: str = "fold") -> DataFrame:
+    """One column per entry ``{column: {"metric": name, **arguments}}``, a row per fold and one of
+    their means, whose fold is null."""
+    parts = [metric(**{"name" if k == "metric" else k: v for k, v in how.items()})(df, [by]).withColumnRenamed("value", column) for column, how in chosen.items()]
+    return average_row(functools.reduce(lambda a, b: a.join(b, by), parts), by)
+
+
 WEIGHTS = {"inverse_sqrt": weights_inverse_sqrt, "effective_n": weights_effective_n}
 
 

@@ -56,6 +56,11 @@ def closest_secondary(primary: DataFrame, secondary: DataFrame, min_hours: float
     return s.join(p, near).groupBy("_id", "primary_row").agg(pick).select("primary_row", "s.*")
 
 
+def first_events(ev: DataFrame) -> DataFrame:
+    """``(subject_id, time)``: the earliest event of each subject that has one with a time."""
+    return ev.where("time is not null").groupBy(ID).agg(F.min("time").alias("time"))
+
+
 def outcome_table(matched: DataFrame) -> DataFrame:
     return matched.select(ID, "time", hours_truncated(F.col("abspos")).alias("abspos"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,12 +30,34 @@ def explode_sequences(seqs: DataFrame) -> DataFrame:
     return seqs.select(*keep, F.posexplode("events").alias("pos", "e")).select(*keep, "pos", "e.*")
 
 
+def lengths(seqs: DataFrame) -> DataFrame:
+    """``(subject_id, n, max_segment)``."""
+    return seqs.select(ID, F.size("events").cast("bigint").alias("n"), F.array_max(F.transform("events", lambda e: e["segment"])).alias("max_segment"))
+
+
+def totals(seqs: DataFrame) -> DataFrame:
+    """One row: subjects, events and the greatest segment of all."""
+    return lengths(seqs).agg(F.count("*").alias("subjects"), F.sum("n").alias("events"), F.max("max_segment").alias("max_segment"))
+
+
 def check_sorted(tokens: DataFrame) -> DataFrame:
     """Subjects with a position below the one before, and how many such."""
     w = Window.partitionBy(ID).orderBy("seq")
     return tokens.withColumn("_d", F.col("abspos") < F.lag("abspos").over(w)).groupBy(ID).agg(F.count_if("_d").alias("violations")).where("violations > 0")
 
 
+def require_sorted(seqs: DataFrame) -> DataFrame:
+    """``seqs``; a position below the one before is an error when the sequence is read."""
+    steps = F.transform("events", lambda e, i: F.coalesce(e["abspos"] < F.get("events", i - 1)["abspos"], F.lit(False)))
+    wrong = F.raise_error(F.concat(F.lit("positions not in order: subject "), F.col(ID).cast("string"))).cast(seqs.schema["events"].dataType)
+    return seqs.withColumn("events", F.when(F.exists(steps, lambda x: x), wrong).otherwise(F.col("events")))
+
+
+def combine(*sets: DataFrame) -> DataFrame:
+    """The rows of several sequence sets, all kept."""
+    return reduce(DataFrame.unionByName, sets)
+
+
 def strip_last_sep(events: Column, sep: int = SEP) -> Column:
     ends = F.coalesce(F.try_element_at(events, F.lit(-1))["code"] == sep, F.lit(False))
     return F.when(ends, F.slice(events, 1, F.greatest(F.size(events) - 1, F.lit(0)))).otherwise(events)
@@ -72,19 +95,37 @@ def truncate(seqs: DataFrame, max_len: int, background: int, sep: int = SEP) ->
     return seqs.withColumn("events", F.when(size > max_len, short).otherwise(F.col("events")))
 
 
+def is_one_of(code: Column, ids: list[int]) -> Column:
+    """Whether a token id is one of ``ids``, of which there are at most a vocabulary: a look-up in
+    a hash set, so its cost does not grow with their number."""
+    return code.isin(ids) if ids else F.lit(False)
+
+
 def truncate_prioritized(seqs: DataFrame, max_len: int, background: int, non_priority: list[int], sep: int = SEP) -> DataFrame:
     """Where too long, keep the background and the first other tokens of priority, then truncate."""
     rest = F.slice("events", background + 1, F.greatest(F.size("events") - background, F.lit(0)))
-    wanted = F.filter(rest, lambda e: ~e["code"].isin(non_priority))
+    wanted = F.filter(rest, lambda e: ~is_one_of(e["code"], non_priority))
     short = F.concat(F.slice("events", 1, background), F.slice(wanted, 1, max_len - background))
     seqs = seqs.withColumn("events", F.when(F.size("events") > max_len, short).otherwise(F.col("events")))
     return truncate(seqs, max_len, background, sep)
 
 
 def drop_incomplete_units(seqs: DataFrame, non_priority: list[int], parts: int) -> DataFrame:
-    """Drop low-priority tokens at a position that does not hold all ``parts`` of their unit."""
-    low = F.transform(F.filter("events", lambda e: e["code"].isin(non_priority)), lambda e: e["abspos"])
-    return seqs.withColumn("_low", low).withColumn("events", F.filter("events", lambda e: ~e["code"].isin(non_priority) | (F.size(F.filter("_low", lambda p: p == e["abspos"])) == parts))).drop("_low")
+    """Drop low-priority tokens at a position that does not hold all ``parts`` of their unit.
+
+    The positions of low-priority tokens are sorted once; a position of a whole unit has exactly
+    ``parts`` neighbours, so the work grows with the sequence times its logarithm.
+    """
+    low = lambda e: is_one_of(e["code"], non_priority)
+    seqs = seqs.withColumn("_low", F.sort_array(F.transform(F.filter("events", low), lambda e: e["abspos"])))
+    at = lambda i: F.get("_low", i)
+    first = lambda p, i: ~F.coalesce(at(i - 1) == p, F.lit(False))
+    full = lambda p, i: F.coalesce(at(i + parts - 1) == p, F.lit(False)) & ~F.coalesce(at(i + parts) == p, F.lit(False))
+    whole = F.filter("_low", lambda p, i: first(p, i) & full(p, i))
+    known = F.map_from_arrays(F.transform("_whole", lambda p: p.cast("string")), "_whole")
+    seqs = seqs.withColumn("_whole", whole).withColumn("_known", known)
+    kept = F.filter("events", lambda e: ~low(e) | F.map_contains_key("_known", e["abspos"].cast("string")))
+    return seqs.withColumn("events", kept).drop("_low", "_whole", "_known")
 
 
 def normalize_segments(seqs: DataFrame) -> DataFrame:

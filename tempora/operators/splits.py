@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shift_hours
+from .outcomes import first_events
 
 ID = "subject_id"
 
@@ -66,6 +67,21 @@ def split_train_val(ids: DataFrame, val: float, seed: int = 42) -> DataFrame:
     return split_share(ids, 1 - val, seed, ("train", "val"))
 
 
+def sample_test(ids: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """A random share of the ids, without replacement, as ``test``; the rest is ``train_val``."""
+    if not 0 < share < 1:
+        raise ValueError("the share must lie between 0 and 1")
+    return split_share(ids, share, seed)
+
+
+def apply_predefined_split(df: DataFrame, folds: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of ``df`` by the first of stored folds."""
+    if folds is None:
+        raise ValueError("a predefined split needs stored folds")
+    part = lambda name: df.join(folds.where((F.col("fold") == 0) & (F.col("part") == name)).select(ID), ID, "left_semi")
+    return part("train"), part("val")
+
+
 def create_folds(ids: DataFrame, k: int, seed: int = 42, val_share: float = 0.1) -> DataFrame:
     """``(fold, part, subject_id)``: one split for k = 1, else every id validates one fold."""
     if k < 1:
@@ -76,6 +92,13 @@ def create_folds(ids: DataFrame, k: int, seed: int = 42, val_share: float = 0.1)
     return ranked.select("fold", F.when(F.col("rank") % k == F.col("fold"), "val").otherwise("train").alias("part"), ID)
 
 
+def require_disjoint(folds: DataFrame, test: DataFrame) -> None:
+    """An error if a test subject is in a fold."""
+    shared = overlap(folds, test)
+    if not shared.isEmpty():
+        raise ValueError(f"{shared.count()} test subjects are in the folds")
+
+
 def overlap(folds: DataFrame, test: DataFrame) -> DataFrame:
     return folds.select(ID).distinct().join(test.select(ID), ID, "left_semi")
 
@@ -85,8 +108,7 @@ def index_dates_absolute(pids: DataFrame, time: Column) -> DataFrame:
 
 
 def index_dates_exposed(exposures: DataFrame, hours: float) -> DataFrame:
-    first = exposures.where("time is not null").groupBy(ID).agg(F.min("time").alias("time"))
-    return first.select(ID, shift_hours(F.col("time"), hours).alias("time"))
+    return first_events(exposures).select(ID, shift_hours(F.col("time"), hours).alias("time"))
 
 
 def index_dates_unexposed(pids: DataFrame, exposed: DataFrame, seed: int = 42) -> DataFrame:

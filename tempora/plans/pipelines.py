@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import abspos
+from ..functions.scalars import abspos, shift_hours
 from ..operators import features, filters, metrics, outcomes, sequences, splits, tokens
 from ..schema import BACKGROUND_PREFIX, SPECIAL_TOKENS
+from ..sources.scratch import bucketed, materialize
 
 ID = "subject_id"
+BROADCAST_CODES = 1_000_000
 
 
-def build_features(ev: DataFrame, exclude_regex: str | None = None, aggregate: dict | None = None, values: dict | None = None, stays: bool | None = None, gap_hours: float = features.GAP_HOURS, ages: tuple[float, float] = (-1, 120)) -> DataFrame:
+def build_features(ev: DataFrame, exclude_regex: str | None = None, aggregate: dict | None = None, values: dict | None = None, stays: bool | None = None, gap_hours: float = features.GAP_HOURS, ages: tuple[float, float] = (-1, 120), birth_required: bool = True) -> DataFrame:
     """Clean events to ``(subject_id, age, abspos, segment, code, seq)``.
 
     ``stays`` is found in the data unless given.  All windows share one partitioning by subject.
+    A subject without a birth is an error unless that is allowed.
     """
     if aggregate:
         ev = features.aggregate_events(ev, **aggregate)
@@ -28,7 +32,7 @@ def build_features(ev: DataFrame, exclude_regex: str | None = None, aggregate: d
         ev, order = features.append_value_rows(ev, **values), ("row_id", "order")
     else:
         ev = ev.drop("numeric_value")
-    done = filters.drop_null_events(features.featurise(ev))
+    done = filters.drop_null_events(features.featurise(ev, birth_required))
     if stays is None:
         stays = features.has_stays(done)
     done = features.order_features(features.assign_segments(done, stays, gap_hours, order), order)
@@ -41,15 +45,23 @@ def segment_summary(feats: DataFrame) -> DataFrame:
     return part.groupBy(ID).agg(F.count("*").alias("segments"), F.sum("n").alias("events"), F.sum("a").alias("admissions"), F.round(F.max("hours"), 6).alias("longest_hours"), F.max("last")["age"].alias("last_age"))
 
 
+def settled(feats: DataFrame) -> DataFrame:
+    """Features written once in buckets of subjects: the vocabulary and the tokens both read them,
+    and what is done by subject after that needs no shuffle."""
+    return feats if hasattr(feats, "_scratch_path") else bucketed(feats, ID, "features", "seq")
+
+
 def tokenize_features(feats: DataFrame, limits: dict[str, int] | None = None, vocabulary: DataFrame | None = None, mapping: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(tokens, vocabulary)``; a given vocabulary is frozen."""
     if mapping is not None:
         feats = tokens.map_codes(feats, mapping)
     if limits:
         feats = tokens.cut_codes(feats, limits)
+    feats = settled(feats)
     if vocabulary is None:
-        vocabulary = tokens.build_vocabulary(feats)
-    return tokens.tokenize(tokens.add_special_tokens(feats), vocabulary), vocabulary
+        vocabulary = materialize(tokens.build_vocabulary(feats), "vocabulary")
+    codes = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_CODES else vocabulary
+    return tokens.tokenize(tokens.add_special_tokens(feats), codes), vocabulary
 
 
 def select_cohort(pi: DataFrame, index: DataFrame, prior: DataFrame | None = None, rules: dict | None = None, ages: tuple[float | None, float | None] = (None, None)) -> DataFrame:
@@ -59,24 +71,127 @@ def select_cohort(pi: DataFrame, index: DataFrame, prior: DataFrame | None = Non
     return pi if prior is None else filters.filter_by_prior_outcomes(pi, prior)
 
 
-def prepare_pretrain(toks: DataFrame, max_len: int, background: int, cutoff_hours: float | None = None, min_len: int = 0) -> DataFrame:
+def index_dates(pids: DataFrame, mode: str, date: Column | None = None, exposures: DataFrame | None = None, exposure_hours: float = 0, seed: int = 42) -> DataFrame:
+    """``(subject_id, time)``: one date for all, or hours from a subject's first exposure, where
+    the unexposed draw the date of an exposed one."""
+    if mode == "absolute" and date is not None:
+        return splits.index_dates_absolute(pids, date)
+    if mode == "relative" and exposures is not None:
+        exposed = splits.index_dates_exposed(filters.filter_by_pids(exposures, pids), exposure_hours)
+        return exposed.unionByName(splits.index_dates_unexposed(pids, exposed, seed))
+    raise ValueError("index dates are absolute, with a date, or relative, with exposures")
+
+
+def build_cohort(
+    pi: DataFrame,
+    mode: str,
+    date: Column | None = None,
+    exposures: DataFrame | None = None,
+    exposure_hours: float = 0,
+    initial: DataFrame | None = None,
+    exclude: DataFrame | None = None,
+    exposed_only: bool = False,
+    rules: dict | None = None,
+    ages: tuple[float | None, float | None] = (None, None),
+    prior: DataFrame | None = None,
+    test_share: float = 0.0,
+    test_shift_hours: float = 0,
+    folds: int = 1,
+    val_share: float = 0.1,
+    seed: int = 42,
+) -> dict[str, DataFrame]:
+    """``pids``, ``index_dates``, ``test_pids``, ``folds`` and ``attrition`` of a cohort.
+
+    Of repeated patients the first row counts, by ``row_id`` where there is one.  Index dates are
+    given and test subjects drawn after the rules on patients; test subjects' absolute dates may be
+    shifted.  Rules that need the index date come last, so test subjects and folds hold subjects
+    which these rules drop, as index dates do.
+    """
+    order = "row_id" if "row_id" in pi.columns else ID
+    stages = {"patients": filters.dedupe_patients(pi, order)}
+
+    def step(name: str, wanted: bool, made: Callable[[DataFrame], DataFrame]) -> None:
+        if wanted:
+            stages[name] = made(list(stages.values())[-1])
+
+    step("initial", initial is not None, lambda df: filters.filter_by_pids(df, initial))
+    step("excluded", exclude is not None, lambda df: filters.exclude_pids(df, exclude))
+    step("exposed", exposed_only, lambda df: filters.filter_by_pids(df, exposures))
+    step("categories", bool(rules), lambda df: filters.filter_by_categories(df, rules))
+    chosen = materialize(list(stages.values())[-1], "patients")
+    parts = materialize(splits.split_share(chosen, test_share, seed), "parts")
+    test = parts.where("part = 'test'").select(ID)
+    dates = index_dates(chosen.select(ID), mode, date, exposures, exposure_hours, seed)
+    if mode == "absolute" and test_shift_hours:
+        shifted = F.when(F.col("part") == "test", shift_hours(F.col("time"), test_shift_hours)).otherwise(F.col("time"))
+        dates = dates.join(parts, ID).select(ID, shifted.alias("time"))
+    dates = materialize(dates, "index_dates")
+    stages["dated"] = chosen.join(dates, ID)
+    step("age", ages != (None, None), lambda df: filters.filter_by_age(df, *ages))
+    step("living", True, filters.filter_by_death)
+    step("no_prior", prior is not None, lambda df: filters.filter_by_prior_outcomes(df, prior))
+    made = splits.create_folds(parts.where("part = 'train_val'").select(ID), folds, seed, val_share)
+    return {"pids": list(stages.values())[-1].select(ID), "index_dates": dates, "test_pids": test, "folds": made, "attrition": filters.stage_counts(stages)}
+
+
+def prepare_pretrain(toks: DataFrame, max_len: int, background: int, cutoff_hours: float | None = None, min_len: int = 0, cohort: DataFrame | None = None) -> DataFrame:
+    """Truncated sequences of the cohort, or of all; positions out of order are an error."""
+    if cohort is not None:
+        toks = filters.filter_by_pids(toks, cohort)
     if cutoff_hours is not None:
         toks = filters.cutoff(toks, cutoff_hours)
-    seqs = sequences.truncate(sequences.to_sequences(toks), max_len, background)
-    return sequences.normalize_segments(filters.exclude_short_sequences(seqs, min_len + background))
-
+    seqs = filters.exclude_short_sequences(sequences.require_sorted(sequences.to_sequences(toks)), min_len + background)
+    return sequences.normalize_segments(sequences.truncate(seqs, max_len, background))
 
-def prepare_finetune(toks: DataFrame, index: DataFrame, events: DataFrame, max_len: int, background: int, start: float, end: float | None, censor_hours: float = 0, min_len: int = 1) -> DataFrame:
-    """Censored, labelled and truncated sequences of the subjects with an index date.
 
-    After the one shuffle by subject the sequence stage consists of array expressions.
+def pretrain_parts(seqs: DataFrame, val_share: float = 0.2, folds: DataFrame | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and validation sequences: by stored folds, else by a shuffled share."""
+    if folds is None:
+        folds = splits.split_train_val(seqs, val_share, seed).withColumn("fold", F.lit(0))
+    return splits.apply_predefined_split(seqs, folds)
+
+
+def prepare_finetune(
+    toks: DataFrame,
+    index: DataFrame,
+    events: DataFrame,
+    max_len: int,
+    background: int,
+    start: float,
+    end: float | None,
+    censor_hours: float = 0,
+    min_len: int = 1,
+    cohort: DataFrame | None = None,
+    cutoff_hours: float | None = None,
+    delays: dict[int, float] | None = None,
+    non_priority: list[int] | None = None,
+) -> DataFrame:
+    """Censored, labelled and truncated sequences of the cohort, or of the subjects with an index
+    date.
+
+    ``delays`` are hours by token id for which censoring waits; ``non_priority`` are the token ids
+    that go first where a sequence is too long.  A subject of the cohort without an index date and
+    positions out of order are errors.  After the one grouping by subject the sequence stage
+    consists of array expressions.
     """
     dates = index.select(ID, abspos(F.col("time")).alias("abspos"))
     labels = outcomes.label_binary(dates, events, start, end)
     per_subject = dates.select(ID, (F.col("abspos") + censor_hours).alias("censor_date")).join(labels, ID)
-    seqs = sequences.to_sequences(filters.filter_by_pids(toks, index)).join(per_subject, ID)
-    seqs = filters.exclude_short_sequences(sequences.censor(seqs), min_len + background)
-    return sequences.normalize_segments(sequences.truncate(seqs, max_len, background))
+    toks = filters.filter_by_pids(toks, index if cohort is None else cohort)
+    if cutoff_hours is not None:
+        toks = filters.cutoff(toks, cutoff_hours)
+    seqs = sequences.require_sorted(sequences.to_sequences(toks)).join(per_subject, ID, "left")
+    missing = F.raise_error(F.concat(F.lit("no index date: subject "), F.col(ID).cast("string"))).cast("double")
+    seqs = seqs.withColumn("censor_date", F.when(F.col("censor_date").isNull(), missing).otherwise(F.col("censor_date")))
+    seqs = sequences.censor(seqs) if delays is None else sequences.censor_with_delays(seqs, delays)
+    seqs = filters.exclude_short_sequences(seqs, min_len + background)
+    cut = sequences.truncate(seqs, max_len, background) if non_priority is None else sequences.truncate_prioritized(seqs, max_len, background, non_priority)
+    return sequences.normalize_segments(cut)
+
+
+def prepare_test(toks_by_split: dict[str, DataFrame], *args, **options) -> DataFrame:
+    """``prepare_finetune`` of every split's tokens, all in one set."""
+    return sequences.combine(*[prepare_finetune(toks, *args, **options) for toks in toks_by_split.values()])
 
 
 def baseline_features(seqs: DataFrame, vocabulary_size: int) -> DataFrame:
@@ -140,6 +255,26 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return metrics.scores(predictions, ["fold"]).join(metrics.areas(predictions, ["fold"]), "fold")
 
 
+def evaluate_models(predictions: DataFrame, folds: DataFrame, chosen: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+    """``predictions``, ``metrics``, ``summary`` and ``curves`` of test subjects scored by every
+    fold's model.  A test subject in a fold is an error.
+
+    ``predictions`` has a column per fold, ``metrics`` a row per fold and one of their means,
+    ``summary`` mean and deviation of each metric.
+    """
+    chosen = {name: {"metric": name} for name in ("roc_auc", "average_precision", "accuracy")} if chosen is None else chosen
+    splits.require_disjoint(folds, predictions)
+    numbers = sorted(r["fold"] for r in predictions.select("fold").distinct().collect())  # one row per fold
+    target = predictions.groupBy(ID).agg(F.max("target").alias("target"))
+    scored = metrics.named_metrics(predictions, chosen)
+    return {
+        "predictions": target.join(metrics.prediction_table(predictions, numbers), ID),
+        "metrics": scored,
+        "summary": metrics.mean_std(scored.where("fold is not null"), list(chosen)),
+        "curves": metrics.curves(predictions, ["fold"]),
+    }
+
+
 def background_token_ids(vocabulary: DataFrame) -> list[int]:
     return [r["token_id"] for r in tokens_with_prefix(vocabulary, [BACKGROUND_PREFIX]).collect()]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +88,7 @@ def f2_sessionize_admissions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {FEATURES_SQL} SELECT coalesce(bool_or(starts_with(code, 'ADM_ADMISSION')), false) AND coalesce(bool_or(starts_with(code, 'ADM_DISCHARGE')), false) AS stays FROM aged")
 def f3_segment_mode(spark: SparkSession, folder: str) -> DataFrame:
-    start = lambda kind: F.coalesce(F.max(F.col("code").startswith(kind)), F.lit(False))
-    return features.featurise(ev(spark, folder)).agg((start("ADM_ADMISSION") & start("ADM_DISCHARGE")).alias("stays"))
+    return spark.createDataFrame([(features.has_stays(features.featurise(ev(spark, folder))),)], "stays boolean")
 
 
 @query(f"WITH {STAYS_SQL} SELECT subject_id, max(segment) FILTER (code = 'DOD') AS death_segment, max(segment) AS last_segment FROM feats GROUP BY 1")
@@ -164,13 +164,20 @@ def b6_exclude_codes_regex(spark: SparkSession, folder: str) -> DataFrame:
     return filters.exclude_codes_regex(ev(spark, folder), "^(lab|m_)").groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT count(*) FILTER (time IS NOT NULL) AS timed, count(*) FILTER (code = 'DOB' OR code = 'DOD') AS included, count(*) FILTER (code IS NULL OR code NOT IN ('DOB', 'DOD')) AS excluded, count(*) FILTER (starts_with(lower(code), 'd_c') OR starts_with(lower(code), 'lab')) AS starts, count(*) FILTER (regexp_matches(code, 'VI.W|CLICK$')) AS contained FROM ev")
+@query(f"""WITH {EVENTS_SQL}, r AS (SELECT *, 'timed' AS rule FROM ev WHERE time IS NOT NULL UNION ALL SELECT *, 'included' FROM ev WHERE code IN ('DOB', 'DOD') UNION ALL SELECT *, 'excluded' FROM ev WHERE code IS NULL OR code NOT IN ('DOB', 'DOD')
+UNION ALL SELECT *, 'starts' FROM ev WHERE starts_with(lower(code), 'd_c') OR starts_with(lower(code), 'lab') UNION ALL SELECT *, 'contained' FROM ev WHERE regexp_matches(code, 'VI.W|CLICK$') UNION ALL SELECT *, 'early' FROM ev WHERE {HOURS.format('time')} <= 473500)
+SELECT rule, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM r GROUP BY 1""")
 def b3_b7_b12_b13_predicates(spark: SparkSession, folder: str) -> DataFrame:
-    code = F.col("code")
-    flags = ev(spark, folder).select(
-        F.col("time").isNotNull().alias("timed"), code.isin("DOB", "DOD").alias("included"), (code.isNull() | ~code.isin("DOB", "DOD")).alias("excluded"), match_startswith(code, ["d_C", "LAB"], False).alias("starts"), match_contains(code, ["VI.W", "CLICK$"]).alias("contained")
-    )
-    return flags.agg(*[F.count_if(c).alias(c) for c in flags.columns])
+    events, code = ev(spark, folder), F.col("code")
+    kept = {
+        "timed": filters.drop_missing_time(events),
+        "included": filters.filter_by_rule(events, "code", include=["DOB", "DOD"]),
+        "excluded": filters.filter_by_rule(events, "code", exclude=["DOB", "DOD"]),
+        "starts": events.where(match_startswith(code, ["d_C", "LAB"], False)),
+        "contained": events.where(match_contains(code, ["VI.W", "CLICK$"])),
+        "early": filters.cutoff(outcomes.with_position(events), 473500),
+    }
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(rule).alias("rule"), F.count("*").alias("n"), F.sum("row_id").alias("ids")) for rule, df in kept.items()])
 
 
 POSITIONED_SQL = f"{EVENTS_SQL}, pos AS (SELECT *, {HOURS.format('time')} AS abspos FROM ev WHERE time IS NOT NULL)"
@@ -227,6 +234,35 @@ def p4_select_cohort(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.select("subject_id", micros(F.col("time")).alias("time_us"))
 
 
+BUILT_SQL = f"""{INFO_SQL}, {INDEX_SQL}, {BUYS_SQL}, s0 AS (SELECT * FROM info), s1 AS (SELECT * FROM s0 WHERE subject_id IN (SELECT subject_id FROM buys)), s2 AS (SELECT * FROM s1 WHERE subject_id % 5 > 0), s3 AS (SELECT s2.*, time FROM s2 JOIN idx USING (subject_id)), s4 AS (SELECT * FROM s3 WHERE GENDER = 'F'),
+s5 AS (SELECT * FROM s4 WHERE (epoch_us(time) - epoch_us(birthdate)) / 31557600000000.0 BETWEEN 20 AND 70), s6 AS (SELECT * FROM s5 WHERE deathdate IS NULL OR deathdate > time), s7 AS (SELECT s6.* FROM s6 JOIN (SELECT subject_id, min(time) AS first FROM buys GROUP BY 1) USING (subject_id) WHERE first >= time)"""
+
+
+def cohort(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    events = ev(spark, folder)
+    exposures, bought = events.where("code = 'ADMISSION'"), buys(spark, folder)
+    ids = events.select("subject_id").distinct()
+    return pipelines.build_cohort(info(spark, folder), "relative", exposures=exposures, exposure_hours=24, initial=bought, exclude=ids.where("subject_id % 5 = 0"), exposed_only=True, rules={"GENDER": {"include": ["F"]}}, ages=(20, 70), prior=bought, test_share=0.25, folds=4)
+
+
+@query(f"WITH {BUILT_SQL} SELECT 'kept' AS kind, subject_id, epoch_us(time) AS time_us FROM s7 UNION ALL SELECT 'dated', subject_id, epoch_us(time) FROM s4 UNION ALL SELECT 'drawn', NULL, CAST(trunc(count(*) * 0.25) AS BIGINT) FROM s4 UNION ALL SELECT 'folded', subject_id, 4 FROM s4")
+def p4_build_cohort(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects kept, index dates, the number of test subjects, and per subject the folds in which
+    it is, or, of a test subject, would be."""
+    made = cohort(spark, folder)
+    dates = made["index_dates"].select("subject_id", micros(F.col("time")).alias("time_us"))
+    kept = dates.join(made["pids"], "subject_id", "left_semi").select(F.lit("kept").alias("kind"), "subject_id", "time_us")
+    drawn = made["test_pids"].agg(F.lit("drawn").alias("kind"), F.lit(None).cast("bigint").alias("subject_id"), F.count("*").alias("time_us"))
+    folded = made["folds"].groupBy("subject_id").agg(F.countDistinct("fold").alias("n")).unionByName(made["test_pids"].withColumn("n", F.lit(4).cast("bigint")))
+    return kept.unionByName(dates.select(F.lit("dated").alias("kind"), "subject_id", "time_us")).unionByName(drawn).unionByName(folded.select(F.lit("folded").alias("kind"), "subject_id", F.col("n").alias("time_us")))
+
+
+@query(f"""WITH {BUILT_SQL} SELECT 'patients' AS stage, count(*) AS rows, count(DISTINCT subject_id) AS subjects FROM s0 UNION ALL SELECT 'initial', count(*), count(DISTINCT subject_id) FROM s1 UNION ALL SELECT 'excluded', count(*), count(DISTINCT subject_id) FROM s2 UNION ALL SELECT 'exposed', count(*), count(DISTINCT subject_id) FROM s3 UNION ALL SELECT 'categories', count(*), count(DISTINCT subject_id) FROM s4
+UNION ALL SELECT 'dated', count(*), count(DISTINCT subject_id) FROM s4 UNION ALL SELECT 'age', count(*), count(DISTINCT subject_id) FROM s5 UNION ALL SELECT 'living', count(*), count(DISTINCT subject_id) FROM s6 UNION ALL SELECT 'no_prior', count(*), count(DISTINCT subject_id) FROM s7""")
+def p4_cohort_attrition(spark: SparkSession, folder: str) -> DataFrame:
+    return cohort(spark, folder)["attrition"]
+
+
 @query(f"WITH {INFO_SQL}, {INDEX_SQL} SELECT subject_id, round((epoch_us(time) - epoch_us(birthdate)) / 31557600000000.0, 6) AS exact_age, floor(floor((epoch_us(time) - epoch_us(birthdate)) / 86400000000.0) / 365.25) AS whole_age FROM info JOIN idx USING (subject_id)")
 def c2_b9_ages(spark: SparkSession, folder: str) -> DataFrame:
     both = info(spark, folder).join(index_dates(spark, folder), "subject_id")
@@ -235,7 +271,7 @@ def c2_b9_ages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {EVENTS_SQL}, {BUYS_SQL} SELECT b.subject_id, epoch_us(min(time)) AS first_us FROM buys b GROUP BY 1")
 def e4_e5_first_event(spark: SparkSession, folder: str) -> DataFrame:
-    return buys(spark, folder).groupBy("subject_id").agg(micros(F.min("time")).alias("first_us"))
+    return outcomes.first_events(buys(spark, folder)).select("subject_id", micros(F.col("time")).alias("first_us"))
 
 
 VOCABULARY_SQL = f"{FEATS_SQL}, vocab AS (SELECT code, CAST(4 + row_number() OVER (ORDER BY code) AS INTEGER) AS token_id FROM (SELECT DISTINCT code FROM f) UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[CLS]', 1), ('[SEP]', 2), ('[UNK]', 3), ('[MASK]', 4)))"
@@ -262,7 +298,7 @@ def p2_tokenize_features(spark: SparkSession, folder: str) -> DataFrame:
     return toks(spark, folder).select("subject_id", F.col("seq").cast("bigint").alias("seq"), "code", F.round("abspos", 6).alias("abspos"), "segment", "age")
 
 
-@query(f"""WITH {TOKENS_SQL}, {INDEX_SQL}, {BUYS_SQL},
+FINETUNE_SQL = f"""WITH {TOKENS_SQL}, {INDEX_SQL}, {BUYS_SQL},
 dated AS (SELECT subject_id, {HOURS.format('time')} + 6 AS d FROM idx),
 kept AS (SELECT t.*, d, row_number() OVER (PARTITION BY subject_id ORDER BY seq DESC) AS back FROM toks t JOIN dated USING (subject_id) WHERE abspos <= d),
 trimmed AS (SELECT * FROM kept WHERE NOT (back = 1 AND code = 2)),
@@ -271,12 +307,67 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS
 cuts AS (SELECT subject_id, max(CASE WHEN rn = n - 27 + 1 AND code = 2 THEN 1 ELSE 0 END) AS cut FROM placed GROUP BY 1),
 short AS (SELECT p.* FROM placed p JOIN cuts USING (subject_id) WHERE n <= 30 OR rn <= 3 OR rn > n - 27 + cut),
 lab AS (SELECT i.subject_id, max(CASE WHEN b.abspos - {HOURS.format('i.time')} BETWEEN 1 AND 72 THEN 1 ELSE 0 END) AS outcome FROM idx i LEFT JOIN buys b USING (subject_id) GROUP BY 1)
-SELECT subject_id, CAST(coalesce(outcome, 0) AS INTEGER) AS outcome, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY rn) - 1 AS INTEGER) AS pos, code, round(abspos, 6) AS abspos, CAST(dense_rank() OVER (PARTITION BY subject_id ORDER BY segment) - 1 AS INTEGER) AS segment, round(age, 6) AS age FROM short JOIN lab USING (subject_id) WHERE n >= 4""")
-def p6_prepare_finetune(spark: SparkSession, folder: str) -> DataFrame:
-    done = pipelines.prepare_finetune(toks(spark, folder), index_dates(spark, folder), buys(spark, folder), max_len=30, background=3, start=1, end=72, censor_hours=6)
+SELECT subject_id, CAST(coalesce(outcome, 0) AS INTEGER) AS outcome, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY rn) - 1 AS INTEGER) AS pos, code, round(abspos, 6) AS abspos, CAST(dense_rank() OVER (PARTITION BY subject_id ORDER BY segment) - 1 AS INTEGER) AS segment, round(age, 6) AS age FROM short JOIN lab USING (subject_id) WHERE n >= 4"""
+
+
+def finetune_options() -> dict:
+    return {"max_len": 30, "background": 3, "start": 1, "end": 72, "censor_hours": 6}
+
+
+def exploded(done: DataFrame) -> DataFrame:
     return sequences.explode_sequences(done.select("subject_id", "outcome", "events")).select("subject_id", "outcome", "pos", "code", F.round("abspos", 6).alias("abspos"), "segment", F.round("age", 6).alias("age"))
 
 
+@query(FINETUNE_SQL)
+def p6_prepare_finetune(spark: SparkSession, folder: str) -> DataFrame:
+    return exploded(pipelines.prepare_finetune(toks(spark, folder), index_dates(spark, folder), buys(spark, folder), **finetune_options()))
+
+
+@query(FINETUNE_SQL)
+def p7_h5_prepare_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Two splits of subjects, prepared each and appended."""
+    made = toks(spark, folder)
+    parts = {"tuning": made.where("subject_id % 2 = 0"), "held_out": made.where("subject_id % 2 = 1")}
+    return exploded(pipelines.prepare_test(parts, index_dates(spark, folder), buys(spark, folder), **finetune_options()))
+
+
+@query(f"""WITH {TOKENS_SQL}, {INDEX_SQL}, {BUYS_SQL}, low AS (SELECT token_id FROM vocab WHERE starts_with(code, 'M_') OR starts_with(code, 'D_')), delays AS (SELECT token_id, 24.0 AS delay FROM vocab WHERE code = 'LAB/PURCHASE'),
+dated AS (SELECT subject_id, {HOURS.format('time')} + 6 AS d FROM idx WHERE subject_id % 4 > 0),
+early AS (SELECT t.*, d FROM toks t JOIN dated USING (subject_id) WHERE abspos <= 473600),
+kept AS (SELECT e.* FROM early e LEFT JOIN delays ON code = token_id WHERE abspos <= d + coalesce(delay, 0)),
+ended AS (SELECT subject_id, seq, code, abspos, segment, age FROM kept UNION ALL SELECT x.subject_id, 1000000000, 1, x.d, coalesce(m.last_segment + 1, 0), coalesce((x.d - m.first_pos) / (365.25 * 24), 0.0) FROM dated x JOIN (SELECT DISTINCT subject_id FROM early) USING (subject_id) LEFT JOIN (SELECT subject_id, arg_max(segment, seq) AS last_segment, arg_min(abspos, seq) AS first_pos FROM kept GROUP BY 1) m USING (subject_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY subject_id) AS n FROM ended),
+ranked AS (SELECT *, sum(CASE WHEN rn > 3 AND code NOT IN (SELECT token_id FROM low) THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY seq) AS nth FROM placed),
+short AS (SELECT * FROM ranked WHERE n <= 20 OR rn <= 3 OR (code NOT IN (SELECT token_id FROM low) AND nth <= 17)),
+lab AS (SELECT i.subject_id, max(CASE WHEN b.abspos - {HOURS.format('i.time')} BETWEEN 1 AND 72 THEN 1 ELSE 0 END) AS outcome FROM idx i LEFT JOIN buys b USING (subject_id) GROUP BY 1)
+SELECT subject_id, CAST(coalesce(outcome, 0) AS INTEGER) AS outcome, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY rn) - 1 AS INTEGER) AS pos, code, round(abspos, 6) AS abspos, CAST(dense_rank() OVER (PARTITION BY subject_id ORDER BY segment) - 1 AS INTEGER) AS segment, round(age, 6) AS age FROM short JOIN lab USING (subject_id) WHERE n >= 4""")
+def p6_prepare_finetune_options(spark: SparkSession, folder: str) -> DataFrame:
+    """A cohort, a cutoff, delayed censoring and prioritised truncation together."""
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
+    low = [r["token_id"] for r in sequences.token_ids(vocabulary, ["M_", "D_"]).collect()]  # bounded by the vocabulary
+    delays = {r["token_id"]: r["delay"] for r in sequences.concept_delays(vocabulary, {"^LAB/PURCHASE$": 24}).collect()}
+    dates = index_dates(spark, folder)
+    return exploded(pipelines.prepare_finetune(made, dates, buys(spark, folder), 20, 3, 1, 72, censor_hours=6, cohort=dates.where("subject_id % 4 > 0"), cutoff_hours=473600, delays=delays, non_priority=low))
+
+
+@query(f"WITH {TOKENS_SQL}, least AS (SELECT min(subject_id) AS subject_id FROM toks) SELECT CAST(count(DISTINCT code) + 2 AS INTEGER) AS n FROM toks JOIN least USING (subject_id) WHERE code IN (SELECT token_id FROM vocab WHERE starts_with(code, 'BG_'))")
+def i9_background_length(spark: SparkSession, folder: str) -> DataFrame:
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
+    n = sequences.background_length(sequences.to_sequences(made), pipelines.background_token_ids(vocabulary))
+    return spark.createDataFrame([(n,)], "n int")
+
+
+@query(f"WITH {TOKENS_SQL} SELECT subject_id, CAST(sum(code) AS BIGINT) AS codes FROM toks GROUP BY 1")
+def i14_l3_map_patients(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's function on batches of subjects."""
+
+    def total(batches):
+        for pdf in batches:
+            yield pdf.assign(codes=[sum(e["code"] for e in events) for events in pdf["events"]])[["subject_id", "codes"]]
+
+    return sequences.map_patients(sequences.to_sequences(toks(spark, folder)), total, "subject_id long, codes long")
+
+
 @query(f"""WITH {TOKENS_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS rn, count(*) OVER (PARTITION BY subject_id) AS n FROM toks),
 cuts AS (SELECT subject_id, max(CASE WHEN rn = n - 37 + 1 AND code = 2 THEN 1 ELSE 0 END) AS cut FROM placed GROUP BY 1),
 short AS (SELECT p.* FROM placed p JOIN cuts USING (subject_id) WHERE n <= 40 OR rn <= 3 OR rn > n - 37 + cut)
@@ -291,25 +382,36 @@ def e13_one_hot(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.one_hot(sequences.to_sequences(toks(spark, folder))).select("subject_id", "token_id", F.round("last_age", 6).alias("last_age"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT subject_id, count(*) AS n, max(segment) AS max_segment FROM toks GROUP BY 1")
+@query(f"WITH {TOKENS_SQL}, s AS (SELECT subject_id, count(*) AS n, max(segment) AS max_segment FROM toks GROUP BY 1) SELECT subject_id, n, max_segment FROM s UNION ALL SELECT NULL, CAST(sum(n) AS BIGINT), max(max_segment) FROM s")
 def e10_e12_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Per subject, and for all, whose id is null."""
     seqs = sequences.to_sequences(toks(spark, folder))
-    return seqs.select("subject_id", F.size("events").cast("bigint").alias("n"), F.array_max(F.transform("events", lambda e: e["segment"])).alias("max_segment"))
+    whole = sequences.totals(seqs).select(F.lit(None).cast("bigint").alias("subject_id"), F.col("events").alias("n"), "max_segment")
+    return sequences.lengths(seqs).unionByName(whole)
 
 
-@query(f"WITH {TOKENS_SQL}, p AS (SELECT subject_id, subject_id % 8 AS grp, count(*) AS n FROM toks GROUP BY 1) SELECT subject_id, max(n) OVER (PARTITION BY grp) AS padded, n AS attended FROM p")
+@query(f"""WITH {TOKENS_SQL}, p AS (SELECT subject_id, subject_id % 8 AS grp, count(*) AS n, CAST(sum(code) AS BIGINT) AS codes, round(sum(abspos), 3) AS positions, CAST(sum(segment) AS BIGINT) AS segments, sum(age) AS ages, arg_max(code, seq) AS last_code FROM toks GROUP BY 1)
+SELECT subject_id, max(n) OVER (PARTITION BY grp) AS padded, n AS attended, codes, positions, segments, ages, CASE WHEN n = max(n) OVER (PARTITION BY grp) THEN last_code ELSE 0 END AS last_code FROM p""")
 def i13_pad(spark: SparkSession, folder: str) -> DataFrame:
     seqs = sequences.to_sequences(toks(spark, folder)).withColumn("grp", F.col("subject_id") % 8)
     done = sequences.pad(seqs, "grp")
-    return done.select("subject_id", F.size("codes").cast("bigint").alias("padded"), F.aggregate("attention", F.lit(0), lambda a, x: a + x).cast("bigint").alias("attended"))
+    total = lambda name, kind: F.aggregate(name, F.lit(0).cast(kind), lambda a, x: a + x)
+    whole = {name: total(name, "bigint") for name in ("codes", "segments")} | {"ages": total("ages", "double"), "positions": F.round(total("positions", "double"), 3), "attended": total("attention", "bigint")}
+    return done.select("subject_id", F.size("codes").cast("bigint").alias("padded"), F.element_at("codes", -1).alias("last_code"), *[c.alias(name) for name, c in whole.items()])
 
 
-@query()
+@query(f"WITH {TOKENS_SQL}, p AS (SELECT subject_id, code, row_number() OVER (PARTITION BY subject_id ORDER BY seq) AS rn FROM toks) SELECT subject_id, count(*) AS n, count(*) AS inputs, CAST(sum(code * rn) AS BIGINT) AS restored, CAST(coalesce(sum(code * rn) FILTER (code < 5), 0) AS BIGINT) AS special FROM p GROUP BY 1")
 def i12_mask_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of kept, masked and replaced tokens per subject."""
-    done = sequences.mask_tokens(sequences.to_sequences(toks(spark, folder)), 20)
-    codes = F.transform("events", lambda e: e["code"])
-    return done.select("subject_id", F.size("target").alias("n"), F.size(F.filter("target", lambda t: t != -100)).alias("selected"), F.size(F.filter("input", lambda t: t == 4)).alias("masked"), (F.size("input") == F.size(codes)).alias("aligned"))
+    """What does not depend on the draws: the targets put back give the tokens, place by place, and
+    special tokens, of which none is a target, stand as they were."""
+    seqs = sequences.to_sequences(toks(spark, folder))
+    done = sequences.mask_tokens(seqs, 20)
+    at = lambda i: (i + 1).cast("bigint")
+    total = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    restored = F.zip_with(F.col("input"), F.col("target"), lambda x, t: F.when(t == -100, x).otherwise(t))
+    kept = F.zip_with(F.col("input"), F.transform("events", lambda e: e["code"]), lambda x, c: F.when(c < 5, x).otherwise(0))
+    placed = lambda values: total(F.transform(values, lambda x, i: x * at(i)))
+    return done.select("subject_id", F.size("target").cast("bigint").alias("n"), F.size("input").cast("bigint").alias("inputs"), placed(restored).alias("restored"), placed(kept).alias("special"))
 
 
 PREDICTIONS_SQL = "pr AS (SELECT o_orderkey AS subject_id, o_custkey % 3 AS fold, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target, floor(o_totalprice / 5000) / 100.0 AS proba FROM orders)"
@@ -346,6 +448,10 @@ def j13_pos_weight(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.pos_weights(predictions(spark, folder)).select(F.round("sqrt_weight", 6).alias("sqrt_weight"))
 
 
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("subject_id"))
+
+
 @query("WITH n AS (SELECT count(DISTINCT c_custkey) AS n FROM customer), r AS (SELECT c_custkey AS subject_id, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer) SELECT subject_id, CASE WHEN k < trunc(n * 0.5) THEN 'pretrain' WHEN k < trunc(n * 0.75) THEN 'finetune' ELSE 'test' END AS part FROM r, n")
 def j1_split_sequential(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_sequential(table(spark, folder, "customer").select(F.col("c_custkey").alias("subject_id")), (0.5, 0.25, 0.25))
@@ -357,10 +463,41 @@ def j4_j5_folds(spark: SparkSession, folder: str) -> DataFrame:
     return folds.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "val").alias("val"))
 
 
-@query("SELECT CAST(trunc(count(*) * 0.2) AS BIGINT) AS test, CAST(count(*) - trunc(count(*) * 0.2) AS BIGINT) AS train_val FROM customer")
+@query("""WITH n AS (SELECT count(*) AS n, CAST(trunc(count(*) * 0.2) AS BIGINT) AS test, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer) SELECT kind, test, n - test AS train_val, n AS subjects, ids FROM n, (VALUES ('split'), ('sample')) k(kind)""")
 def j2_split_test(spark: SparkSession, folder: str) -> DataFrame:
-    parts = splits.split_share(table(spark, folder, "customer").select(F.col("c_custkey").alias("subject_id")), 0.2)
-    return parts.agg(F.count_if(F.col("part") == "test").alias("test"), F.count_if(F.col("part") == "train_val").alias("train_val"))
+    """Sizes of both parts; that all subjects are in one of them is told by their number and sum."""
+    ids = customers(spark, folder)
+    made = {"split": splits.split_share(ids, 0.2), "sample": splits.sample_test(ids, 0.2, 7)}
+    return reduce(DataFrame.unionByName, [parts.agg(F.lit(kind).alias("kind"), F.count_if(F.col("part") == "test").alias("test"), F.count_if(F.col("part") == "train_val").alias("train_val"), F.countDistinct("subject_id").alias("subjects"), F.sum("subject_id").alias("ids")) for kind, parts in made.items()])
+
+
+@query("SELECT c_custkey AS subject_id, 1::BIGINT AS val, 4::BIGINT AS train, 5::BIGINT AS folds FROM customer")
+def j5_fold_membership(spark: SparkSession, folder: str) -> DataFrame:
+    """Every subject validates one fold of five and trains in the others."""
+    folds = splits.create_folds(customers(spark, folder), 5)
+    return folds.groupBy("subject_id").agg(F.count_if(F.col("part") == "val").alias("val"), F.count_if(F.col("part") == "train").alias("train"), F.countDistinct("fold").alias("folds"))
+
+
+@query("WITH n AS (SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer) SELECT CAST(trunc(n * 0.8) AS BIGINT) AS train, CAST(n - trunc(n * 0.8) AS BIGINT) AS val, n AS subjects, ids FROM n")
+def j3_split_train_val(spark: SparkSession, folder: str) -> DataFrame:
+    parts = splits.split_train_val(customers(spark, folder), 0.2)
+    return parts.agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "val").alias("val"), F.countDistinct("subject_id").alias("subjects"), F.sum("subject_id").alias("ids"))
+
+
+@query("SELECT c_custkey AS subject_id, CASE WHEN c_custkey % 4 = 0 THEN 'val' ELSE 'train' END AS part FROM customer WHERE c_custkey % 3 > 0")
+def j7_predefined_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored folds, of which the first counts; subjects that it lacks are in no part."""
+    ids = customers(spark, folder)
+    part = F.when(F.col("subject_id") % 4 == 0, "val").otherwise("train")
+    folds = ids.where("subject_id % 3 > 0").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), part.alias("part"), "subject_id").where("fold = 0 or part = 'val'")
+    train, val = splits.apply_predefined_split(ids, folds)
+    return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
+
+
+@query("SELECT c_custkey AS subject_id FROM customer WHERE c_custkey % 6 = 0")
+def d9_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    ids = customers(spark, folder)
+    return splits.overlap(ids.where("subject_id % 2 = 0"), ids.where("subject_id % 3 = 0"))
 
 
 @query(f"WITH {INFO_SQL}, {INDEX_SQL}, {BUYS_SQL}, pairs AS (SELECT i.subject_id, x.time, deathdate, first FROM info i JOIN idx x USING (subject_id) LEFT JOIN (SELECT subject_id, min(time) AS first FROM buys GROUP BY 1) USING (subject_id)) SELECT subject_id, 'alive' AS rule FROM pairs WHERE deathdate IS NULL OR deathdate > time UNION ALL SELECT subject_id, 'no_prior' FROM pairs WHERE first IS NULL OR first >= time")
@@ -441,14 +578,18 @@ def i8_subset(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("subject_id", F.col("events")[0]["code"].alias("first_code"), F.col("events")[1]["code"].alias("last_code"))
 
 
-@query(f"WITH {EVENTS_SQL}, {INDEX_SQL}, i AS (SELECT DISTINCT subject_id FROM ev) SELECT 'absolute' AS kind, count(*) AS n, count(*) AS known FROM i UNION ALL SELECT 'unexposed', count(*), count(*) FROM i WHERE subject_id NOT IN (SELECT subject_id FROM idx)")
+@query(f"WITH {EVENTS_SQL} SELECT DISTINCT subject_id, epoch_us(TIMESTAMP '2024-01-01') AS time_us FROM ev")
+def j8_index_dates_absolute(spark: SparkSession, folder: str) -> DataFrame:
+    ids = ev(spark, folder).select("subject_id").distinct()
+    return splits.index_dates_absolute(ids, F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).select("subject_id", micros(F.col("time")).alias("time_us"))
+
+
+@query(f"WITH {EVENTS_SQL}, {INDEX_SQL} SELECT subject_id, 1::BIGINT AS dates, 1::BIGINT AS known FROM (SELECT DISTINCT subject_id FROM ev) WHERE subject_id % 3 = 0 OR subject_id NOT IN (SELECT subject_id FROM idx)")
 def j8_j10_index_dates(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers of dates given, and of those that are the fixed date or one of an exposed subject."""
-    ids, exposed = ev(spark, folder).select("subject_id").distinct(), index_dates(spark, folder)
-    fixed = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
-    absolute = splits.index_dates_absolute(ids, fixed).agg(F.lit("absolute").alias("kind"), F.count("*").alias("n"), F.count_if(F.col("time") == fixed).alias("known"))
+    """For every subject that is not exposed its number of dates, and of those that an exposed one has."""
+    ids, exposed = ev(spark, folder).select("subject_id").distinct(), index_dates(spark, folder).where("subject_id % 3 > 0")
     drawn = splits.index_dates_unexposed(ids, exposed).join(exposed.select("time").distinct().withColumn("hit", F.lit(True)), "time", "left")
-    return absolute.unionByName(drawn.agg(F.lit("unexposed").alias("kind"), F.count("*").alias("n"), F.count("hit").alias("known")))
+    return drawn.groupBy("subject_id").agg(F.count("*").alias("dates"), F.count("hit").alias("known"))
 
 
 @query(f"WITH {PREDICTIONS_SQL}, c AS (SELECT count(*) FILTER (target = 0) AS n0, count(*) FILTER (target = 1) AS n1, (count(*) - 1) / count(*)::DOUBLE AS beta FROM pr) SELECT round(((1 - beta) / (1 - pow(beta, n1))) / ((1 - beta) / (1 - pow(beta, n0))), 6) AS effective_weight FROM c")
@@ -456,17 +597,20 @@ def j14_pos_weight_effective(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.pos_weights(predictions(spark, folder)).select(F.round("effective_weight", 6).alias("effective_weight"))
 
 
-@query(f"WITH {PREDICTIONS_SQL} SELECT count(*) AS draws, count(*) AS known, true AS balanced FROM pr")
+@query(f"""WITH {PREDICTIONS_SQL}, c AS (SELECT target, count(*) AS n FROM pr GROUP BY 1), m AS (SELECT target, n, sqrt(n) AS mass FROM c) SELECT target, n, (SELECT count(*) FROM pr) AS draws, round(mass / (SELECT sum(mass) FROM m), 6) AS share, 0::BIGINT AS strangers, true AS near FROM m""")
 def j15_weighted_resample(spark: SparkSession, folder: str) -> DataFrame:
-    """As many draws as rows; whether all are rows, and with shares as the class masses, 0.1 apart at most."""
+    """Per class its rows, its share by weight, draws that are no row of it, and whether the share
+    drawn is within 0.05 of that by weight."""
     p = predictions(spark, folder)
     weights = metrics.class_weights(p, "inverse_sqrt")
     draws = metrics.weighted_resample(p, weights, p.count())
     known = draws.join(p.select("subject_id", F.col("target").alias("own")), "subject_id", "left")
+    told = known.groupBy("target").agg(F.count("*").alias("drawn"), F.count_if(~F.col("own").eqNullSafe(F.col("target"))).alias("strangers"))
+    whole = told.agg(F.sum("drawn").alias("draws"))
     mass = F.col("n") * F.col("weight")
-    share = weights.agg((F.sum(F.when(F.col("target") == 1, mass)) / F.sum(mass)).alias("share"))
-    told = known.agg(F.count("*").alias("draws"), F.count_if(F.col("own") == F.col("target")).alias("known"), F.avg("target").alias("ones"))
-    return told.crossJoin(F.broadcast(share)).select("draws", "known", (F.abs(F.col("ones") - F.col("share")) < 0.1).alias("balanced"))  # one row each
+    share = weights.crossJoin(F.broadcast(weights.agg(F.sum(mass).alias("whole")))).select("target", "n", (mass / F.col("whole")).alias("share"))  # one row
+    out = told.join(share, "target").crossJoin(F.broadcast(whole))  # one row
+    return out.select("target", "n", "draws", F.round("share", 6).alias("share"), "strangers", (F.abs(F.col("drawn") / F.col("draws") - F.col("share")) < 0.05).alias("near"))
 
 
 @query(f"""WITH {PREDICTIONS_SQL}, c AS (SELECT fold, (count(*) FILTER (proba <= 0.5 AND target = 0))::DOUBLE AS tn, (count(*) FILTER (proba > 0.5 AND target = 0))::DOUBLE AS fp, (count(*) FILTER (proba <= 0.5 AND target = 1))::DOUBLE AS fn, (count(*) FILTER (proba > 0.5 AND target = 1))::DOUBLE AS tp, avg(proba) AS mp, avg(target) AS pos FROM pr GROUP BY 1)
@@ -506,19 +650,51 @@ def e16_average_row(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.average_row(fold_scores(spark, folder)).select("fold", F.round("accuracy", 6).alias("accuracy"), F.round("mean_probability", 6).alias("mean_probability"))
 
 
+EVALUATED_SQL = f"""{PREDICTIONS_SQL}, g AS (SELECT fold, proba, count(*) FILTER (target = 1) AS p, count(*) FILTER (target = 0) AS q FROM pr GROUP BY 1, 2),
+r AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY fold) AS pp, sum(q) OVER (PARTITION BY fold) AS nn FROM g WINDOW w AS (PARTITION BY fold ORDER BY proba DESC)),
+a AS (SELECT fold, sum(q * (tp - p / 2.0)) / max(pp * nn) AS auc, sum(p / pp * tp / (tp + fp)) AS ap FROM r GROUP BY 1),
+m AS (SELECT fold::BIGINT AS fold, auc, ap, acc FROM a JOIN (SELECT fold, avg(CASE WHEN (proba > 0.3)::INTEGER = target THEN 1.0 ELSE 0.0 END) AS acc FROM pr GROUP BY 1) USING (fold))"""
+
+
+def evaluated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    p = predictions(spark, folder)
+    folds = table(spark, folder, "orders").select((-1 - F.col("o_orderkey")).alias("subject_id"), F.lit(0).alias("fold"), F.lit("train").alias("part"))
+    return pipelines.evaluate_models(p, folds, {"auc": {"metric": "roc_auc"}, "ap": {"metric": "average_precision"}, "acc": {"metric": "accuracy", "threshold": 0.3}})
+
+
+@query(f"WITH {EVALUATED_SQL} SELECT fold, round(auc, 6) AS auc, round(ap, 6) AS ap, round(acc, 6) AS acc FROM m UNION ALL SELECT NULL, round(avg(auc), 6), round(avg(ap), 6), round(avg(acc), 6) FROM m")
+def p8_l1_evaluate(spark: SparkSession, folder: str) -> DataFrame:
+    """Named metrics, of which one has a threshold of its own, per fold and their means."""
+    return evaluated(spark, folder)["metrics"].select("fold", *[F.round(c, 6).alias(c) for c in ("auc", "ap", "acc")])
+
+
+@query(f"WITH {EVALUATED_SQL}, l AS (UNPIVOT m ON auc, ap, acc INTO NAME metric VALUE value) SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM l GROUP BY 1")
+def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluated(spark, folder)["summary"].select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"WITH {EVALUATED_SQL} SELECT fold, round(auc, 6) AS auc FROM m WHERE NOT auc BETWEEN 0.5 AND 0.505")
+def k11_metric_gate(spark: SparkSession, folder: str) -> DataFrame:
+    told = evaluated(spark, folder)["metrics"].where("fold is not null")
+    return metrics.metric_gate(told, "auc", 0.5, 0.505).select("fold", F.round("auc", 6).alias("auc"))
+
+
 @query(f"WITH {EVENTS_SQL} SELECT round(coalesce(avg(CASE WHEN numeric_value <> 0 AND NOT isnan(numeric_value) THEN numeric_value END), 0), 6) AS mean_nonzero FROM ev")
 def e15_mean_nonzero(spark: SparkSession, folder: str) -> DataFrame:
     return ev(spark, folder).agg(F.round(metrics.mean_nonzero("numeric_value"), 6).alias("mean_nonzero"))
 
 
-@query("""WITH m AS (SELECT 'DOB' AS code, NULL::DOUBLE AS v FROM customer UNION ALL SELECT 'SEGMENT//' || c_mktsegment, NULL FROM customer UNION ALL SELECT 'DOD', NULL FROM customer WHERE c_custkey % 5 = 0
-  UNION ALL SELECT 'D_' || left(o_orderpriority, 1), round(o_totalprice, 2) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
-SELECT code, count(*) AS n, round(sum(v), 2) AS total FROM m GROUP BY 1""")
+@query("""WITH m AS (SELECT c_custkey AS id, 'DOB' AS code, TIMESTAMP '1940-01-01' AS t, NULL::DOUBLE AS v FROM customer UNION ALL SELECT c_custkey, 'SEGMENT//' || c_mktsegment, NULL, NULL FROM customer UNION ALL SELECT c_custkey, 'DOD', TIMESTAMP '2020-01-01', NULL FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT o_custkey, 'D_' || left(o_orderpriority, 1), o_orderdate, round(o_totalprice, 2) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+SELECT code, count(*) AS n, round(sum(v), 2) AS total, count(DISTINCT id) AS subjects, epoch_us(min(t)) AS first_us, epoch_us(max(t)) AS last_us, (SELECT count(*) - 1 FROM customer) AS last_id FROM m GROUP BY 1""")
 def a15_to_meds(spark: SparkSession, folder: str) -> DataFrame:
     born = F.expr("TIMESTAMP_NTZ '1940-01-01 00:00:00'")
     people = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("PID"), born.alias("BIRTHDATE"), F.when(F.col("c_custkey") % 5 == 0, F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00'")).alias("DEATHDATE"), F.col("c_mktsegment").alias("SEGMENT"))
     placed = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("PID"), F.col("o_orderdate").alias("TIMESTAMP"), F.concat(F.lit("D_"), F.substring("o_orderpriority", 1, 1)).alias("CONCEPT"), F.col("o_totalprice").alias("RESULT"))
-    return to_meds(people, placed, ["SEGMENT"]).groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("numeric_value"), 2).alias("total"))
+    made = to_meds(people, placed, ["SEGMENT"])
+    last = made.agg(F.max("subject_id").alias("last_id"))
+    told = made.groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("numeric_value"), 2).alias("total"), F.countDistinct("subject_id").alias("subjects"), micros(F.min("time")).alias("first_us"), micros(F.max("time")).alias("last_us"))
+    return told.crossJoin(F.broadcast(last))  # one row
 
 
 def baseline(spark: SparkSession, folder: str):
@@ -528,7 +704,7 @@ def baseline(spark: SparkSession, folder: str):
     size = (vocabulary.agg(F.max("token_id")).first()[0] or 0) + 1
     data = pipelines.baseline_features(seqs, size).persist()
     folds = splits.create_folds(data.select("subject_id"), 2)
-    return pipelines.baseline_models(data, folds, iterations=3), data, folds, vocabulary, size
+    return pipelines.baseline_models(data, folds, iterations=10), data, folds, vocabulary, size
 
 
 @query()

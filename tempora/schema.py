@@ -19,4 +19,14 @@ EVENTS = T.StructType(
         T.StructField("row_id", T.LongType()),
     ]
 )
+FEATURES = T.StructType(
+    [
+        T.StructField("subject_id", T.LongType()),
+        T.StructField("age", T.DoubleType()),
+        T.StructField("abspos", T.DoubleType()),
+        T.StructField("segment", T.IntegerType()),
+        T.StructField("code", T.StringType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
 SEQUENCE_EVENT = "struct<code:int,abspos:double,segment:int,age:double>"

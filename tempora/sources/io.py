@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EVENTS
+from ..schema import EVENTS, FEATURES
 
 
 def require_columns(df: DataFrame, columns: list[str], name: str = "table") -> DataFrame:
@@ -33,19 +34,40 @@ def read_meds(spark: SparkSession, path: str, kind: str = "parquet") -> DataFram
     raise ValueError(f"unknown format: {kind}")
 
 
-def read_splits(spark: SparkSession, root: str, splits: list[str], optional: tuple[str, ...] = ("held_out",)) -> DataFrame:
-    """All shards of the listed splits with a ``split`` column; an optional split may be absent."""
-    parts = []
-    for split in splits:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{split}")
-        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            if split in optional:
-                continue
-            raise ValueError(f"no split {split!r} under {root}")
-        parts.append(read_meds(spark, f"{root}/{split}").withColumn("split", F.lit(split)))
+def _entries(spark: SparkSession, root: str) -> list[str]:
+    """Names under ``root``, hidden and marker files left out."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(name for name in (f.getPath().getName() for f in found) if name[:1] not in "._")
+
+
+def read_splits(spark: SparkSession, root: str, splits: list[str] | None = None, optional: tuple[str, ...] = ("held_out",)) -> DataFrame:
+    """All shards of the splits with a ``split`` column: of those listed, of which an optional one
+    may be absent, or of every folder under ``root``."""
+    there = _entries(spark, root)
+    missing = [s for s in splits or [] if s not in there and s not in optional]
+    if missing:
+        raise ValueError(f"no split {missing[0]!r} under {root}")
+    parts = [read_meds(spark, f"{root}/{s}").withColumn("split", F.lit(s)) for s in splits or there if s in there]
+    if not parts:
+        raise ValueError(f"no split under {root}")
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_clinical(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``(patients, concepts)`` of a folder with ``patients_info.<format>`` and ``concept.<type>.<format>``,
+    parquet or csv; exact duplicates among the concepts count once."""
+    there = _entries(spark, root)
+
+    def load(name: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/{name}") if name.endswith(".parquet") else spark.read.csv(f"{root}/{name}", header=True, inferSchema=True)
+
+    concepts, patients = [n for n in there if n.startswith("concept.")], [n for n in there if n.startswith("patients_info.")]
+    if not concepts or not patients:
+        raise ValueError(f"{root} lacks patients_info or concept tables")
+    return load(patients[0]), read_concept_files([load(n) for n in concepts])
+
+
 def read_concept_files(tables: list[DataFrame]) -> DataFrame:
     """Concept tables together, exact duplicates once."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).dropDuplicates()
@@ -55,9 +77,53 @@ def write_by_split(df: DataFrame, path: str, order: tuple[str, ...] = ("subject_
     df.repartition("split", "subject_id").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Outcome tables, one folder per outcome."""
+def write_features(feats: DataFrame, path: str) -> None:
+    """Features by split, in the types of ``FEATURES``; a missing column or a value that its type
+    cannot hold is an error."""
+    require_columns(feats, [*(f.name for f in FEATURES), "split"], "features")
+    write_by_split(feats.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FEATURES], "split"), path)
+
+
+def write_patient_info(info: DataFrame, path: str) -> None:
+    """One table of the patients of all splits."""
+    require_columns(info, ["subject_id", "birthdate", "deathdate"], "patient info").write.mode("overwrite").parquet(path)
+
+
+def write_outcomes(outcomes: DataFrame, path: str, names: list[str] | None = None) -> None:
+    """Outcome tables, one folder per outcome; of those named, one without rows gives a warning."""
     outcomes.write.mode("overwrite").partitionBy("outcome").parquet(path)
+    if names:
+        there = _entries(outcomes.sparkSession, path)
+        for name in names:
+            if f"outcome={name}" not in there:
+                warnings.warn(f"outcome {name!r} has no rows", stacklevel=2)
+
+
+def write_cohort(cohort: dict[str, DataFrame], path: str) -> None:
+    """Ids, index dates and, where there are any, test ids and folds."""
+    cohort["pids"].select("subject_id").distinct().write.mode("overwrite").parquet(f"{path}/pids")
+    cohort["index_dates"].select("subject_id", "time").write.mode("overwrite").parquet(f"{path}/index_dates")
+    for name in ("test_pids", "folds"):
+        if not cohort[name].isEmpty():
+            cohort[name].write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_cohort(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in _entries(spark, path)}
+
+
+def write_sequences(seqs: DataFrame, path: str, vocabulary: DataFrame, outcomes: DataFrame | None = None, index: DataFrame | None = None) -> None:
+    """Prepared sequences with what they were made from."""
+    parts = {"sequences": seqs, "vocabulary": vocabulary, "outcomes": outcomes, "index_dates": index}
+    for name, df in parts.items():
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_evaluation(tables: dict[str, DataFrame], path: str) -> None:
+    """Predictions, metrics, curves and importances as csv, a folder each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").csv(f"{path}/{name}", header=True)
 
 
 def write_pids(df: DataFrame, path: str) -> None:
@@ -72,6 +138,15 @@ def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
     vocabulary.select("code", "token_id").coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return require_columns(spark.read.parquet(path), ["code", "token_id"], "vocabulary").select("code", "token_id")
+
+
+def read_code_mapping(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """``(code, new_code)``; without a path there is no mapping."""
+    return None if path is None else require_columns(spark.read.parquet(path), ["code", "new_code"], "code mapping").select("code", "new_code")
+
+
 def to_meds(patients: DataFrame, concepts: DataFrame, background: list[str]) -> DataFrame:
     """Wide clinical tables to events.
 

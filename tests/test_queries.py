@@ -7,6 +7,8 @@ import duckdb
 import pandas as pd
 import pytest
 
+from tempora.operators import sequences
+from tempora.plans import queries
 from tempora.plans.queries import ORACLES, QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -33,9 +35,13 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="needs the given tables")
 def test_mask_rates(spark):
-    rows = QUERIES["i12_mask_tokens"](spark, str(FOLDER)).toPandas()
-    assert rows["aligned"].all() and (rows["masked"] <= rows["selected"]).all()
-    assert math.isclose(rows["selected"].sum() / rows["n"].sum(), 0.2, abs_tol=0.08)
+    seqs = sequences.to_sequences(queries.toks(spark, str(FOLDER)))
+    rows = sequences.mask_tokens(seqs, 20).selectExpr("explode(arrays_zip(input, target, transform(events, e -> e.code))) AS r").select("r.*").toPandas()
+    rows.columns = ["input", "target", "code"]
+    hit, ordinary = rows.target != -100, rows.code >= 5
+    assert (rows.input[~hit] == rows.code[~hit]).all() and (rows.target[hit] == rows.code[hit]).all() and ordinary[hit].all()
+    assert math.isclose(hit.sum() / ordinary.sum(), 0.2, abs_tol=0.05)
+    assert math.isclose((rows.input[hit] == 4).mean(), 0.8, abs_tol=0.1)
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="needs the given tables")
