@@ -1,69 +1,20 @@
-"""Helpers shared by the corpus operators: shared scratch tables, hashing, table access."""
+"""Helpers shared by the corpus operators: scratch tables, hashing, table access."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import bucketed, discard, materialize, scratch, scratch_path
+
+__all__ = ["bucketed", "discard", "id_remainder", "materialize", "partitions", "scratch", "scratch_path", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by a path that only Spark needs to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a single-JVM session may fall back to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at replicated files,
-    so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``materialize()`` in buckets of ``key``: joins on it need not shuffle the table again."""
-    spark = df.sparkSession
-    path, called = scratch_path(spark, name), f"scratch_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(partitions(spark), key).sortBy(key).option("path", path).saveAsTable(called)
-    out = spark.table(called)
-    spark.sql(f"DROP TABLE {called}")  # the files stay, and what has been read from the catalogue
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a scratch table that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
