@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm.common import materialize, table
+from tempora.llm.common import discard, materialize, scratch, table
 from tempora.llm.decontaminate import decontaminate
 from tempora.llm.packing import pack
 from tempora.llm.registry import tokenizer_path
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's output is written; what the stage wrote on its way, and its input, then go."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            done = materialize(stage(spark, docs, sf_dir), name)
+            kept.append(done)
+        discard(docs)
+        docs = done
     return docs
