@@ -17,6 +17,8 @@ from .common import discard, materialize, scratch_path
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "1970-01-01T00:00:00Z"  # the pages do not tell when they were fetched
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 4096
 BROADCAST_ROWS = 200_000
@@ -45,8 +47,9 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first", "sha1")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write ``with_revisits()`` rows as WARC files; a revisit record has no payload."""
+def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, date: str = DATE) -> None:
+    """Write ``with_revisits()`` rows as WARC files; a revisit record has no payload.  ``date`` is
+    that of every record, given so that a task that runs again writes the same bytes."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -55,6 +58,8 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
         F.lit(MAGIC),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", urn(F.col("page_id"))),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("WARC-Payload-Length", F.col("payload_bytes")),
