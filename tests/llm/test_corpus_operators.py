@@ -517,6 +517,70 @@ def test_stages_judge_rows_with_null_and_repeated_ids(spark):
     assert left == {*marked[::2], "ke lo", "ra se"}
 
 
+def test_factorization_machine_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    feature_of = np.full(1 << 8, -1, np.int32)
+    feature_of[rng.permutation(1 << 8)[:40]] = np.arange(40)
+    model = toxicity.FactorizationMachine(feature_of, 0.3, rng.normal(size=40), rng.normal(size=(40, 4)))
+    texts = [np.unique(rng.integers(0, 1 << 8, n)) for n in (0, 1, 5, 60)]
+    for buckets, got in zip(texts, model.margin(texts), strict=True):
+        ids = [f for f in feature_of[buckets] if f >= 0]
+        want = model.bias + sum(model.weights[i] for i in ids) + sum(model.factors[i] @ model.factors[j] for k, i in enumerate(ids) for j in ids[:k])
+        assert np.isclose(got, want)
+    assert np.allclose(model.score(texts), 1 / (1 + np.exp(-np.clip(model.margin(texts), -30, 30))))
+
+
+def test_ftrl_equals_a_scalar_loop():
+    rng = np.random.default_rng(6)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)).astype(np.int32), rng.random(6).astype(np.float32)) for _ in range(60)]
+    label = rng.integers(0, 2, 60)
+    got = qm.fit(rows, label, bits=5, epochs=2, seed=3)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.3, 0.1
+    z, n = [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for k in order.permutation(60):
+            x = {**dict(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True)), 32: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label[k]) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(got, [weight(i) for i in range(33)], atol=1e-5)
+
+
+def test_null_ids_empty_and_very_long_texts(spark):
+    rng = random.Random(41)
+    long = " ".join(rng.choices(WORDS, k=120_000))
+    texts, ids = [long, long, None, "", "ba ke lo", long + " x"], [1, 1, None, None, 2, None]
+    docs = frame(spark, texts, ids)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    item = spark.createDataFrame([(1, long[5000:5200]), (None, None)], "item_id long, text string")
+    made = {
+        "prints": simhash.simhash_components(docs),
+        "rules": quality_rules.quality_rules(docs),
+        "toxic": toxicity.toxicity(docs, labels),
+        "quality": qm.quality(docs, labels),
+        "secrets": secrets.scan_secrets(docs),
+        "repeats": substrings.remove_repeats(docs),
+    }
+    for name, df in made.items():
+        rows = df.collect()
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(map(str, ids)), name
+    assert all(r["held_out"] is None for r in made["toxic"].where("doc_id is null").collect())
+    assert decontaminate.contaminated(docs, item).count() == 3
+    packed = packing.pack(docs, str(PATH)).toPandas()
+    assert (packed.piece == 0).sum() == 6 and packed.groupby("sequence_id").length.sum().max() <= 2048
+    assert {len(r["text"] or "") for r in secrets.mask_secrets(docs).collect()} == {len(t or "") for t in texts}
+    for stage in (simhash.keep_one_per_group(docs), decontaminate.decontaminate(docs, item), toxicity.drop_toxic(docs, labels)):
+        assert stage.columns == docs.columns
+
+
 def test_pipeline_keeps_columns_and_drops_what_it_should(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)
