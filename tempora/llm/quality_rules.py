@@ -70,7 +70,7 @@ def language_references(rows: DataFrame, common_words: int = COMMON_WORDS) -> Da
     sums = [F.sum(F.col("classes")[k].cast("double")).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
     known, none = rows.where("lang is not null"), F.lit(None).cast("string").alias("lang")
     whole = known.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums).unionByName(rows.groupBy().agg(F.sum("n_words").alias("total"), *sums).where("total > 0").select(none, "*"))
-    counted = rows.select("lang", F.explode("low").alias("word")).groupBy("lang", "word").count()
+    counted = materialize(rows.select("lang", F.explode("low").alias("word")).groupBy("lang", "word").count(), "counted")
     ranked = counted.where("lang is not null").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= common_words)
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
     overall = counted.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(common_words)
@@ -102,7 +102,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     characters, or ``min_words`` words, is not judged by the class, or word, histogram: its
     divergence is null and it passes.  Repeated rows are judged each; a null id is kept.
     """
-    rows = materialize(measured(docs, id_col, text_col, lang_col), "measured")
+    # the words are not written: what the references need of them is read again with the texts
+    rows = measured(docs, id_col, text_col, lang_col)
     references = materialize(language_references(rows), "references").withColumnRenamed("lang", "of")
     if references.count() <= BROADCAST_LANGUAGES:
         references = F.broadcast(references)
