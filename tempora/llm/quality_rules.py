@@ -68,8 +68,10 @@ def language_references(rows: DataFrame, common_words: int = COMMON_WORDS) -> Da
     language; the row of the null language is taken from the rows of all languages together."""
     rows = rows.where("n_words > 0")
     sums = [F.sum(F.col("classes")[k].cast("double")).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
-    known, none = rows.where("lang is not null"), F.lit(None).cast("string").alias("lang")
-    whole = known.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums).unionByName(rows.groupBy().agg(F.sum("n_words").alias("total"), *sums).where("total > 0").select(none, "*"))
+    none = F.lit(None).cast("string").alias("lang")
+    by_lang = materialize(rows.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums), "languages")
+    again = [F.sum(c).alias(c) for c in by_lang.columns[1:]]
+    whole = by_lang.where("lang is not null").unionByName(by_lang.groupBy().agg(*again).where("total > 0").select(none, "*"))
     counted = materialize(rows.select("lang", F.explode("low").alias("word")).groupBy("lang", "word").count(), "counted")
     ranked = counted.where("lang is not null").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= common_words)
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
@@ -110,8 +112,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.join(references, F.col("lang").eqNullSafe(F.col("of")), "left")
     chars = reduce(add, [F.col("classes")[k] for k in range(len(CLASSES) + 1)])
     own_classes = F.transform("classes", lambda c: c / chars)
-    rows = rows.withColumn("common", F.filter("low", lambda w: F.array_contains("ref_words", w)))
-    counts = F.transform("ref_words", lambda r: F.size(F.filter("common", lambda w: w == r)) / F.col("n_words"))
+    # bound by a lambda, so that the words are gone through once and not for every common word
+    common = F.array(F.filter("low", lambda w: F.array_contains("ref_words", w)))
+    counts = F.transform(common, lambda c: F.transform("ref_words", lambda r: F.size(F.filter(c, lambda w: w == r)) / F.col("n_words")))[0]
     rows = rows.withColumn("shares", F.when(F.col("n_words") >= min_words, counts))
     rest = lambda a: F.concat(a, F.array(F.lit(1.0) - F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)))
     rows = rows.withColumn("class_distance", F.when(chars >= min_chars, divergence(own_classes, F.col("ref_classes"))))
