@@ -8,6 +8,7 @@ documents of a language together; documents too short for a histogram are not ju
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -25,19 +26,22 @@ MIN_CHARS, MIN_WORDS = 200, 50
 BROADCAST_LANGUAGES = 10_000
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once: a lambda's argument is not copied into its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
 def repeated_words(words: Column, n: int = 5) -> Column:
     """Number of words that lie in an ``n``-word window found twice or more in the array."""
     size = F.size(words)
-    slices = [F.slice(words, k + 1, F.greatest(size - n + 1, F.lit(0))) for k in range(n)]
-    hashes = F.transform(F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(slices)]), lambda w: F.xxhash64(w))
+    hashes = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - n + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, n)]))
     placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     # a window counts if a neighbour in hash order has its hash
     twice = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])), lambda x: x["i"]))
     covered = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("sum"), F.lit(-n).alias("last")), lambda acc, x: F.struct((acc["sum"] + F.least(F.lit(n), x - acc["last"])).alias("sum"), x.alias("last")), lambda acc: acc["sum"])
-    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  evaluates `value` once
-    full = lambda h: let(placed(h), lambda s: covered(twice(s)))
-    count = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(full(h)))
-    return F.when(size <= n, F.lit(0)).otherwise(count).cast("long")
+    # most texts repeat no window: only the others are sorted
+    count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_bound(placed(h), lambda s: covered(twice(s))))
+    return F.when(size <= n, F.lit(0)).otherwise(_bound(_bound(words, hashes), count)).cast("long")
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -50,29 +54,32 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         out = out.withColumn(f"rest{k + 1}", F.regexp_replace(f"rest{k}", pattern, ""))
     last = f"rest{len(CLASSES)}"
     counts = [(F.length(f"rest{k}") - F.length(f"rest{k + 1}")).alias(name) for k, name in enumerate(CLASSES)]
+    k = list(CLASSES).index("space")
+    spaces = F.length(f"rest{k}") - F.length(f"rest{k + 1}")
     return out.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("rest0") - spaces).cast("long").alias("word_chars"),
         (F.length(last) - F.length(F.regexp_replace(last, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.array(*counts, F.length(last).alias("other")).alias("classes"),
-        F.transform("words", lambda w: F.lower(w)).alias("low"),
+        "words",
     )
 
 
 def language_references(rows: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
-    """``(lang, ref_words, ref_shares, ref_classes)`` from all of ``measured()``'s rows of each
+    """``(lang, ref_words, longest, ref_shares, ref_classes)`` from all of ``measured()``'s rows of each
     language; the row of the null language is taken from the rows of all languages together."""
-    rows = rows.where("n_words > 0")
     sums = [F.sum(F.col("classes")[k].cast("double")).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
     none = F.lit(None).cast("string").alias("lang")
-    by_lang = materialize(rows.groupBy("lang").agg(F.sum("n_words").alias("total"), *sums), "languages")
+    counted = materialize(rows.select("lang", F.explode("words").alias("word")).groupBy("lang", F.lower("word").alias("word")).count(), "counted")
+    totals = counted.groupBy(F.col("lang").alias("of")).agg(F.sum("count").alias("total"))
+    by_lang = rows.where("word_chars > 0").groupBy("lang").agg(*sums)
+    by_lang = materialize(by_lang.join(totals, F.col("lang").eqNullSafe(F.col("of"))).drop("of"), "languages")
     again = [F.sum(c).alias(c) for c in by_lang.columns[1:]]
     whole = by_lang.where("lang is not null").unionByName(by_lang.groupBy().agg(*again).where("total > 0").select(none, "*"))
-    counted = materialize(rows.select("lang", F.explode("low").alias("word")).groupBy("lang", "word").count(), "counted")
     ranked = counted.where("lang is not null").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= common_words)
     top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
     overall = counted.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(common_words)
@@ -83,6 +90,7 @@ def language_references(rows: DataFrame, common_words: int = COMMON_WORDS) -> Da
     return whole.alias("w").join(top.withColumnRenamed("lang", "of"), F.col("w.lang").eqNullSafe(F.col("of")), "left").select(
         "lang",
         F.col("top.word").alias("ref_words"),
+        F.array_max(F.transform("top", lambda t: F.length(t["word"]))).alias("longest"),
         F.transform("top", lambda t: t["count"] / F.col("total")).alias("ref_shares"),
         F.transform(shares, lambda c: c / F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)).alias("ref_classes"),
     )
@@ -112,9 +120,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.join(references, F.col("lang").eqNullSafe(F.col("of")), "left")
     chars = reduce(add, [F.col("classes")[k] for k in range(len(CLASSES) + 1)])
     own_classes = F.transform("classes", lambda c: c / chars)
-    # bound by a lambda, so that the words are gone through once and not for every common word
-    common = F.array(F.filter("low", lambda w: F.array_contains("ref_words", w)))
-    counts = F.transform(common, lambda c: F.transform("ref_words", lambda r: F.size(F.filter(c, lambda w: w == r)) / F.col("n_words")))[0]
+    # lower case never makes a word shorter, so most words are passed over by their length
+    common = F.transform(F.filter("words", lambda w: (F.length(w) <= F.col("longest")) & F.array_contains("ref_words", F.lower(w))), lambda w: F.lower(w))
+    counts = _bound(common, lambda c: F.transform("ref_words", lambda r: F.size(F.filter(c, lambda w: w == r)) / F.col("n_words")))
     rows = rows.withColumn("shares", F.when(F.col("n_words") >= min_words, counts))
     rest = lambda a: F.concat(a, F.array(F.lit(1.0) - F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)))
     rows = rows.withColumn("class_distance", F.when(chars >= min_chars, divergence(own_classes, F.col("ref_classes"))))
