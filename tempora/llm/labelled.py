@@ -13,7 +13,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, modulus: i
 
     About ``sample_rows`` rows at most, chosen by a hash of the id, so the choice does not
     depend on partitioning.  Rows with a null id, label or text are left out; an id labelled
-    twice takes its larger label; of repeated documents all rows stay.
+    twice takes its larger label, and of the texts of one id the least counts, so an id
+    that very many rows share adds one row.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     marks = marks.where(id_remainder("doc_id", modulus) != held_out)
@@ -21,4 +22,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, modulus: i
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     # the chosen marks are bounded by sample_rows, whatever the corpus holds
-    return rows.join(F.broadcast(marks), "doc_id").select("doc_id", "label", "text")
+    return rows.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -69,26 +69,30 @@ def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATU
     if not n or n1 in (0, n):
         share = (n1 + 0.5) / (n + 1)
         return FactorizationMachine(feature_of, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
-    flat = np.concatenate(bucket_lists)
-    sizes = [len(b) for b in bucket_lists]
-    seen = np.bincount(flat, minlength=size).astype(float)
-    pos = np.bincount(flat[np.repeat(label == 1, sizes)], minlength=size).astype(float)
+    # a text's buckets are distinct; text by text, so that the sample is held once
+    seen, pos = np.zeros(size), np.zeros(size)
+    for b, mark in zip(bucket_lists, label, strict=True):
+        seen[b] += 1
+        if mark == 1:
+            pos[b] += 1
     expected = seen * n1 / n
     chi = (pos - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * (1 - seen / (n + 1)), 1e-9)
     chi[seen < 4] = 0
     chosen = np.sort(np.argsort(-chi, kind="stable")[:features])
     chosen = chosen[chi[chosen] > 10.8]  # the 0.001 level
     feature_of[chosen] = np.arange(len(chosen), dtype=np.int32)
-    f = feature_of[flat]
-    x, kept = np.zeros((n, len(chosen)), np.float32), f >= 0
-    x[np.repeat(np.arange(n, dtype=np.int32), sizes)[kept], f[kept]] = 1
-    del flat, f, kept
+    x = np.zeros((n, len(chosen)), bool)
+    for row, b in enumerate(bucket_lists):
+        f = feature_of[b]
+        x[row, f[f >= 0]] = True
+    del seen, pos, expected, chi
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(n1 / (n - n1))), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), rank))
     g0, gw, gv = 1e-6, np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(n), max(1, n // 256)):
-            xb, xv = x[batch], x[batch] @ v
+            xb = x[batch].astype(np.float32)
+            xv = xb @ v
             margin = w0 + xb @ w + 0.5 * (xv**2 - xb @ v**2).sum(1)
             err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label[batch]) / len(batch)
             d0, dw = err.sum(), xb.T @ err + l2 * w

@@ -596,3 +596,12 @@ def test_pipeline_keeps_columns_and_drops_what_it_should(spark, tmp_path):
         assert out.columns == docs.columns
     ids = {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert 300 not in ids and 301 not in ids and not any(k % 3 == 0 for k in ids) and len(ids) == 200
+
+
+def test_an_id_adds_one_training_row(spark):
+    from tempora.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), *[(2, "c")] * 50, (3, None), (4, "d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", 1, 2, 100).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, "a"), (2, 0, "c")]
