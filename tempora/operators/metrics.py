@@ -74,12 +74,24 @@ def scores(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     return confusion(df, by, threshold).select(*by, "tn", "fp", "fn", "tp", "mean_probability", "pct_positive", *[c.alias(k) for k, c in made.items()])
 
 
-def ranked_scores(df: DataFrame, by: list[str]) -> DataFrame:
-    """Cumulative positives and negatives at every distinct score, descending."""
+def ranked_scores(df: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
+    """Cumulative positives and negatives at every distinct score, descending.
+
+    Scores are cut at approximate quantiles.  Sums run inside a bucket and are shifted by those of
+    the buckets above, at most ``buckets`` a group, so a group's scores do not meet in one task.
+    """
     counts = df.groupBy(*by, "proba").agg(F.count_if(F.col("target") == 1).alias("p"), F.count_if(F.col("target") == 0).alias("q"))
-    w = Window.partitionBy(*by).orderBy(F.desc("proba")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return counts.select(*by, "proba", "p", "q", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(whole).alias("positives"), F.sum("q").over(whole).alias("negatives"))
+    cuts = counts.agg(F.percentile_approx("proba", [k / buckets for k in range(1, buckets)], 10_000).alias("_cuts"))
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("proba")))
+    rows = counts.crossJoin(F.broadcast(cuts)).select(*by, "proba", "p", "q", bucket.alias("_b"))  # one row
+    above, whole = Window.partitionBy(*by).orderBy(F.desc("_b")), Window.partitionBy(*by)
+    shifts = rows.groupBy(*by, "_b").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    ahead = [(F.sum(c).over(above) - F.col(c)).alias(f"_{c}") for c in "pq"]
+    shifts = shifts.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_b"]], *ahead, F.sum("p").over(whole).alias("positives"), F.sum("q").over(whole).alias("negatives"))
+    inside = Window.partitionBy(*by, "_b").orderBy(F.desc("proba")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", F.sum("p").over(inside).alias("_tp"), F.sum("q").over(inside).alias("_fp"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_b"]])
+    return rows.join(shifts, same).select(*by, "proba", "p", "q", (F.col("_tp") + F.col("_p")).alias("tp"), (F.col("_fp") + F.col("_q")).alias("fp"), "positives", "negatives")
 
 
 def curves(df: DataFrame, by: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators on small literal tables."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempora.operators import features, filters, metrics, outcomes, sequences, splits
@@ -132,3 +134,17 @@ def test_pad_fills_every_field(spark):
     row = sequences.pad(df, "grp").where("subject_id = 1").first()
     assert (row["codes"], row["positions"], row["segments"], row["ages"]) == ([5, 0], [1.0, 0.0], [1, 0], [30.0, 0.0])
     assert (row["attention"], row["target"]) == ([1, 0], [5, -100])
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 256])
+def test_ranked_scores_equal_plain_sums(spark, buckets):
+    rng = random.Random(3)
+    data = [(rng.choice([0, 1, None]), rng.randint(0, 1), rng.choice([0.0, 0.5, 1.0, round(rng.random(), 2)])) for _ in range(600)]
+    rows = spark.createDataFrame(data, "fold int, target int, proba double")
+    made = {(r["fold"], r["proba"]): r for r in metrics.ranked_scores(rows, ["fold"], buckets).collect()}
+    assert set(made) == {(f, s) for f, _, s in data}
+    for (fold, score), r in made.items():
+        among = [(t, s) for f, t, s in data if f == fold]
+        assert (r["tp"], r["fp"]) == tuple(sum(t == k and s >= score for t, s in among) for k in (1, 0))
+        assert (r["positives"], r["negatives"]) == tuple(sum(t == k for t, _ in among) for k in (1, 0))
+    assert metrics.ranked_scores(rows.limit(0), ["fold"], buckets).count() == 0
