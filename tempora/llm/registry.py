@@ -77,8 +77,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_rules, op4_packing, op5_toxicity, op6_warc, op7_quality_model, op8_repeats, op9_licenses, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_rules, op4_packing, op5_toxicity, op6_warc, op7_quality_model, op8_repeats, op9_licenses, op10_secrets, op12_mixing, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
