@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, prefix_trie
+from . import collocations, mixing, prefix_trie
 from .quality_rules import CLASS_LIMIT, CLASSES, COMMON_WORDS, MIN_CHARS, MIN_WORDS, SPACE, WORD_LIMIT
 from .substrings import LENGTH, REPORT
 from .warc import BASE32
@@ -77,4 +77,4 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coales
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules_sql(), "op6_warc": warc_sql(), "op8_repeats": repeats_sql(), "op12_mixing": mixing.sql(), "op13_prefix_trie": prefix_trie.sql()}
+    return {"op3_quality_rules": quality_rules_sql(), "op6_warc": warc_sql(), "op8_repeats": repeats_sql(), "op11_collocations": collocations.sql(), "op12_mixing": mixing.sql(), "op13_prefix_trie": prefix_trie.sql()}

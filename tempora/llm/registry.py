@@ -77,6 +77,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -90,7 +96,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_rules, op4_packing, op5_toxicity, op6_warc, op7_quality_model, op8_repeats, op9_licenses, op10_secrets, op12_mixing, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality_rules, op4_packing, op5_toxicity, op6_warc, op7_quality_model, op8_repeats, op9_licenses, op10_secrets, op11_collocations, op12_mixing, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
