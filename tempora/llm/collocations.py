@@ -13,12 +13,12 @@ over if the filter of one cycle before did.  What a filter knows by mistake cost
 changes no count.
 
 A word is known by a hash of 64 bits, seeded by its language; a longer phrase by the hash of all but
-its last word together with the last word's.
+its last word together with the last word's.  Words of a text are found and hashed all at once, as
+differences of running sums over its bytes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +28,20 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete
 from .common import discard, materialize, scratch_path
 
 THRESHOLD, LONGEST, TOP, SCALE, CONTAINED = 100, 5, 2000, 1000, 100
-SHARDS = 4
+SHARDS = 3
 FILTER_BITS = 26  # of the size of a filter: 8 MB
-CHUNK_BYTES = 4 << 20
-CACHE_WORDS = 400_000
+CHUNK_BYTES, HELD_BYTES = 1 << 20, 16 << 20  # hashed, and summed, at once
 NO_LANGUAGE = "und"
-_BREAK = b"\xff"  # in no UTF-8 text
+_BREAK = 0xFF  # a byte of no UTF-8 text
 # A to Z become lower case, what ends a piece becomes a break, a tab a blank
-_FOLD = bytes(255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_FOLD = bytes(_BREAK if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BETWEEN = np.array([b in (32, _BREAK) for b in range(256)])
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-_COUNTS = "lang string, word string, k int, a long, b long, n long"
+_COUNTS = "word string, k int, a long, b long, n long"
 
 
 def _turn(x: np.ndarray, n: int) -> np.ndarray:
@@ -60,30 +61,52 @@ def joined_column(a: Column, b: Column) -> Column:
     return F.xxhash64(a.bitwiseXOR(F.shiftleft(b, 1).bitwiseOR(F.shiftrightunsigned(b, 63))))
 
 
-class Hashes(dict):
-    """Hashes of a language's words, found on demand; so many are kept at most."""
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A value of its own for each of ``x``, all bits depending on all."""
+    x = (x ^ (x >> np.uint64(31))) * _P2
+    x = (x ^ (x >> np.uint64(29))) * _P1
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, lang: str):
-        super().__init__({_BREAK: 0})
-        self.seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed) or 1
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
+_LETTERS = _spread(np.arange(1, 257, dtype=np.uint64) * _P1)
+_POWERS: dict[str, np.ndarray] = {}
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Words of the texts, and a break between pieces, in runs of about ``CHUNK_BYTES``."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse, ``n`` at least."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        for name, base in (("up", int(_P3)), ("down", pow(int(_P3), -1, 1 << 64))):
+            out = np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+            _POWERS[name] = out
+    return _POWERS["up"], _POWERS["down"]
+
+
+def words(text: bytes, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, piece, start, end)`` of the words of a folded text."""
+    raw = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _BETWEEN[raw], [True]))))
+    start, end = edges[::2], edges[1::2]
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTERS[raw] * up[: len(raw)], out=sums[1:])
+    h = _spread(((sums[end] - sums[start]) * down[start]) ^ np.uint64(seed))
+    piece = np.cumsum(raw == _BREAK, dtype=np.int32)
+    return h, piece[start], start, end
+
+
+def chunks(texts: list[str]) -> Iterator[bytes]:
+    """The folded texts, a break between them, in runs of about ``CHUNK_BYTES``."""
     held, size = [], 0
     for text in texts:
-        held.append(text)
-        size += len(text)
+        held.append(text.encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
         if size >= CHUNK_BYTES:
-            yield _BREAK.join(held).translate(_FOLD).replace(_BREAK, b" \xff ").split()
+            yield b"\xff".join(held).translate(_FOLD)
             held, size = [], 0
-    yield _BREAK.join(held).translate(_FOLD).replace(_BREAK, b" \xff ").split()
+    if held:
+        yield b"\xff".join(held).translate(_FOLD)
 
 
 def known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -95,59 +118,78 @@ def known(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def active_grams(h: np.ndarray, now: np.ndarray, before: np.ndarray | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(k, a, b, hash)`` of the phrases to be counted among the words ``h``, 0 being a break."""
-    key, word = h, h != 0
-    ok = word & known(now, h)
-    old = ok & known(before, h) if before is not None else np.zeros(len(h), bool)
+def active_grams(h: np.ndarray, piece: np.ndarray, now: np.ndarray, before: np.ndarray | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(k, a, b, hash)`` of the phrases to be counted among the words ``h`` of pieces."""
+    # places at which a known phrase begins, its hash, and whether it was known a cycle before
+    at = np.flatnonzero(known(now, h))
+    key = h[at]
+    old = known(before, key) if before is not None else np.zeros(len(at), bool)
     for k in range(2, longest + 1):
-        both, both_old = ok[:-1] & ok[1:], old[:-1] & old[1:]
-        at = np.flatnonzero(both)
-        a, b = key[at], h[at + k - 1]
-        new = joined(a, b)
-        take = ~both_old[at]
-        yield k, a[take], b[take], new[take]
-        if k == longest or not len(at):
+        beside = np.flatnonzero(at[1:] == at[:-1] + 1)  # both parts of a phrase of k words are known
+        if k == 2:
+            beside = beside[piece[at[beside]] == piece[at[beside] + 1]]
+        if not len(beside):
             return
-        ok, old, key = np.zeros(len(both), bool), np.zeros(len(both), bool), np.zeros(len(both), np.uint64)
-        ok[at] = known(now, new)
-        if before is not None:
-            old[at] = both_old[at] & ok[at] & known(before, new)
-        key[at] = new
-
-
-def scan(shard: DataFrame, now: Broadcast, before: Broadcast | None, words: bool, longest: int) -> DataFrame:
-    """Counts of one scan, summed batch by batch: phrases by ``(k, a, b)``; where ``words`` are
-    counted, these by ``(lang, word)`` with k = 1 and their hash in a, and all words of a language
-    with k = 0."""
+        both_old = old[beside] & old[beside + 1]
+        at = at[beside]
+        a, b = key[beside], h[at + k - 1]
+        new = joined(a, b)
+        yield k, a[~both_old], b[~both_old], new[~both_old]
+        if k < longest:
+            ok = known(now, new)
+            at, key, old = at[ok], new[ok], both_old[ok]
+            if before is not None:
+                old &= known(before, key)
+
+
+def summed(found: list[tuple[np.ndarray, ...]], k: int) -> pd.DataFrame:
+    a, b, new = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, first, n = np.unique(new, return_index=True, return_counts=True)
+    return pd.DataFrame({"word": None, "k": k, "a": a[first].view(np.int64), "b": b[first].view(np.int64), "n": n})
+
+
+def spelled_words(held: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]], lang: str) -> pd.DataFrame:
+    """Counts of the words of some texts, and in a last row of all."""
+    h = np.concatenate([x[1] for x in held])
+    _, first, n = np.unique(h, return_index=True, return_counts=True)
+    offset = np.cumsum([0] + [len(x[1]) for x in held])
+    of = np.searchsorted(offset, first, "right") - 1
+    names = []
+    for c, i in zip(of.tolist(), (first - offset[of]).tolist(), strict=True):
+        text, _, start, end = held[c]
+        names.append(f"{lang}\t{text[start[i] : end[i]].decode('utf-8', 'surrogatepass')}")
+    told = pd.DataFrame({"word": names, "k": 1, "a": h[first].view(np.int64), "b": 0, "n": n})
+    return pd.concat([told, pd.DataFrame({"word": [f"{lang}\t"], "k": 0, "a": 0, "b": 0, "n": len(h)})])
+
+
+def scan(shard: DataFrame, now: Broadcast, before: Broadcast | None, count_words: bool, longest: int) -> DataFrame:
+    """Counts of one scan, summed ``HELD_BYTES`` at a time: phrases by ``(k, a, b)``; where words are
+    counted, these by language and word, set apart by a tab, with k = 1 and their hash in a, and all
+    words of a language with k = 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes: dict[str, Hashes] = {}
         for pdf in batches:
-            out, grams = [], {k: [] for k in range(2, longest + 1)}
+            grams: dict[int, list] = {}
+            size = 0
             for lang, texts in pdf.groupby("lang", sort=False)["text"]:
-                lookup = hashes.setdefault(lang, Hashes(lang))
-                counts: Counter[bytes] = Counter()
-                for tokens in chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
-                    if words:
-                        counts.update(tokens)
-                    h = np.fromiter(map(lookup.__getitem__, tokens), np.uint64, len(tokens))
-                    for k, *found in active_grams(h, now.value, None if before is None else before.value, longest):
-                        grams[k].append(found)
-                del counts[_BREAK]
-                if counts:
-                    told = pd.DataFrame({"word": list(counts), "n": counts.values()})
-                    told["a"] = np.fromiter(map(lookup.__getitem__, counts), np.uint64, len(counts)).view(np.int64)
-                    told["word"] = told["word"].str.decode("utf-8")
-                    out.append(told.assign(lang=lang, k=1, b=0))
-                    out.append(pd.DataFrame({"lang": [lang], "word": None, "k": 0, "a": 0, "b": 0, "n": told["n"].sum()}))
+                seed, held = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")), []
+                for text in chunks(texts.tolist()):
+                    h, piece, start, end = words(text, seed)
+                    for k, *found in active_grams(h, piece, now.value, None if before is None else before.value, longest):
+                        grams.setdefault(k, []).append(found)
+                    if count_words and len(h):
+                        held.append((text, h, start, end))
+                    size += len(text)
+                    if size >= HELD_BYTES:
+                        if held:
+                            yield spelled_words(held, lang)
+                        for k, found in grams.items():
+                            yield summed(found, k)
+                        grams, held, size = {}, [], 0
+                if held:
+                    yield spelled_words(held, lang)
             for k, found in grams.items():
-                if found:
-                    a, b, new = (np.concatenate(x) for x in zip(*found, strict=True))
-                    _, first, n = np.unique(new, return_index=True, return_counts=True)
-                    out.append(pd.DataFrame({"lang": None, "word": None, "k": k, "a": a[first].view(np.int64), "b": b[first].view(np.int64), "n": n}))
-            for part in out:
-                yield part[["lang", "word", "k", "a", "b", "n"]]
+                yield summed(found, k)
 
     return shard.mapInPandas(run, _COUNTS)
 
@@ -176,21 +218,26 @@ def frequent_counts(docs: DataFrame, threshold: int, longest: int, shards: int,
     while step < shards or not np.array_equal(filters[step], filters[step - shards]):
         sent.append(spark.sparkContext.broadcast(filters[step]))
         before = sent[step - shards] if step >= shards else None
-        made = scan(held.where(F.col("shard") == step % shards).select("lang", "text"), sent[step], before, step < shards, longest).withColumn("since", F.lit(step))
-        made = made if state is None else made.unionByName(state)
-        sums = made.groupBy("lang", "word", "k", "a", "b").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+        made = scan(held.where(F.col("shard") == step % shards).select("lang", "text"), sent[step], before, step < shards, longest)
+        made = made.withColumns({"age": F.lit(1), "last": F.lit(0).cast("long")})
+        if state is not None:
+            made = made.unionByName(state.withColumns({"age": F.col("age") + 1, "last": F.col("n")}))
+        sums = made.groupBy("word", "k", "a", "b").agg(F.sum("n").alias("n"), F.max("age").alias("age"), F.sum("last").alias("last"))
         # a counter whose cycle is over is kept if it has reached the threshold
-        sums = materialize(sums.where((F.col("k") == 0) | (F.col("n") >= threshold) | (F.col("since") > step + 1 - shards)), "counters")
+        sums = materialize(sums.where((F.col("k") == 0) | (F.col("n") >= threshold) | (F.col("age") < shards)), "counters")
         if state is not None:
             discard(state)
         state = sums
-        reached = state.where(F.col("k").between(1, longest - 1) & (F.col("n") >= threshold))
+        reached = sums.where(F.col("k").between(1, longest - 1) & (F.col("n") >= threshold) & (F.col("last") < threshold))
         filters.append(filters[step] | _bits(reached, filter_bits))
         if step >= shards:
             sent[step - shards].destroy()
             filters[step - shards] = None
         step += 1
-    return state.drop("since").where((F.col("k") == 0) | (F.col("n") >= threshold))
+    delete(spark, path)
+    lang = F.regexp_extract("word", r"(?s)^(.*)\t[^\t]*$", 1)
+    counts = state.where((F.col("k") == 0) | (F.col("n") >= threshold))
+    return counts.select(lang.alias("lang"), F.substring_index("word", "\t", -1).alias("word"), "k", "a", "b", "n")
 
 
 def spelled(counts: DataFrame, longest: int) -> DataFrame:
