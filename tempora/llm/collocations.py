@@ -34,7 +34,7 @@ from .common import discard, materialize, scratch_path
 THRESHOLD, LONGEST, TOP, SCALE, CONTAINED = 100, 5, 2000, 1000, 100
 SHARDS = 3
 FILTER_BITS = 26  # of the size of a filter: 8 MB
-CHUNK_BYTES, HELD_BYTES = 1 << 20, 16 << 20  # hashed, and summed, at once
+CHUNK_BYTES, HELD_BYTES, HELD_GRAMS = 1 << 20, 8 << 20, 1 << 20  # hashed at once; words and phrases summed at once
 NO_LANGUAGE = "und"
 _BREAK = 0xFF  # a byte of no UTF-8 text
 # A to Z become lower case, what ends a piece becomes a break, a tab a blank
@@ -93,7 +93,7 @@ def words(text: bytes, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     np.cumsum(_LETTERS[raw] * up[: len(raw)], out=sums[1:])
     h = _spread(((sums[end] - sums[start]) * down[start]) ^ np.uint64(seed))
     piece = np.cumsum(raw == _BREAK, dtype=np.int32)
-    return h, piece[start], start, end
+    return h, piece[start], start.astype(np.int32), end.astype(np.int32)
 
 
 def chunks(texts: list[str]) -> Iterator[bytes]:
@@ -163,33 +163,35 @@ def spelled_words(held: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]],
 
 
 def scan(shard: DataFrame, now: Broadcast, before: Broadcast | None, count_words: bool, longest: int) -> DataFrame:
-    """Counts of one scan, summed ``HELD_BYTES`` at a time: phrases by ``(k, a, b)``; where words are
+    """Counts of one scan, summed a bounded part at a time: phrases by ``(k, a, b)``; where words are
     counted, these by language and word, set apart by a tab, with k = 1 and their hash in a, and all
     words of a language with k = 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams: dict[int, list] = {}
+        many = 0
         for pdf in batches:
-            grams: dict[int, list] = {}
-            size = 0
             for lang, texts in pdf.groupby("lang", sort=False)["text"]:
-                seed, held = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")), []
+                seed, held, size = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")), [], 0
                 for text in chunks(texts.tolist()):
                     h, piece, start, end = words(text, seed)
                     for k, *found in active_grams(h, piece, now.value, None if before is None else before.value, longest):
                         grams.setdefault(k, []).append(found)
+                        many += len(found[0])
+                    if many >= HELD_GRAMS:
+                        for k in list(grams):
+                            yield summed(grams.pop(k), k)
+                        many = 0
                     if count_words and len(h):
                         held.append((text, h, start, end))
-                    size += len(text)
-                    if size >= HELD_BYTES:
-                        if held:
+                        size += len(text)
+                        if size >= HELD_BYTES:
                             yield spelled_words(held, lang)
-                        for k, found in grams.items():
-                            yield summed(found, k)
-                        grams, held, size = {}, [], 0
+                            held, size = [], 0
                 if held:
                     yield spelled_words(held, lang)
-            for k, found in grams.items():
-                yield summed(found, k)
+        for k in list(grams):
+            yield summed(grams.pop(k), k)
 
     return shard.mapInPandas(run, _COUNTS)
 
@@ -273,7 +275,7 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LON
     cuts = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
     cuts = cuts.join(counts.where("k = 0").select("lang", "n"), "lang")
     exact = lambda c: F.col(c).cast("decimal(19,0)")
-    cuts = cuts.withColumn("over", F.lit(scale).cast("decimal(10,0)") * exact("a") * exact("n")).withColumn("under", exact("l") * exact("r"))
+    cuts = cuts.withColumn("over", F.lit(scale).cast("decimal(19,0)") * exact("a") * exact("n")).withColumn("under", exact("l") * exact("r"))
     cuts = cuts.withColumn("score", F.expr("over div under").cast("long"))
     best = cuts.groupBy("lang", "phrase", "size", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.size("words") - m + 1), lambda i: F.array_join(F.slice("words", i, m), " "))))
