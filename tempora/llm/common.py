@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import bucketed, discard, materialize, scratch, scratch_path
 
-__all__ = ["bucketed", "discard", "id_remainder", "materialize", "partitions", "scratch", "scratch_path", "table"]
+__all__ = ["bucketed", "discard", "free_name", "id_remainder", "materialize", "partitions", "scratch", "scratch_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -156,7 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RA
     ``start``/``end`` are code points of the text as given, end exclusive.  Null and empty
     texts, of documents or items, match nothing; items shorter than 1/error_rate must occur
     exactly.  Repeated item rows count once, repeated document rows each report.  Other columns
-    are not read.  The items are read in blocks of at most about ``block_chars`` characters,
+    are not read; an empty table gives an empty result.  The items are read in blocks of at most about ``block_chars`` characters,
     each of which makes one pass over the documents, so that what a task holds stays bounded.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -188,12 +188,13 @@ def _found(rows: DataFrame, id_type: str, items: DataFrame, error_rate: float, i
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of ``docs`` in which no item occurs, all columns kept.
+    """Rows of ``docs`` in which no item occurs, all columns kept, whatever their names.
 
     Whether an item occurs depends on the text alone, so rows are told apart by the text's digest;
-    ids may be null or repeated.
+    ids may be null or repeated.  Null and empty texts stay.  Without items all rows stay; an empty
+    table stays empty.
     """
-    digest = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    digest, name = F.sha2(F.col(text_col).cast("string").cast("binary"), 256), free_name(docs, "text_digest")
     rows = docs.select(digest.alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    hit = _found(rows, "string", items, error_rate, item_col, item_text_col, block_chars).select(F.col("doc_id").alias("__digest")).distinct()
-    return docs.withColumn("__digest", digest).join(hit, "__digest", "left_anti").select(*docs.columns)
+    hit = _found(rows, "string", items, error_rate, item_col, item_text_col, block_chars).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, digest).join(hit, name, "left_anti").select(*docs.columns)

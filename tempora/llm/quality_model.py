@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
-from .labelled import training_rows
+from .common import id_remainder, materialize
+from .labelled import training_rows, within_bytes
 
 BITS = 20
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 96 << 20
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 _WORDS = bytes(b if b > 127 else (ord(chr(b).lower()) if chr(b).isalnum() else 32) for b in range(256))
 _SYMBOLS = bytes(32 if b > 127 or chr(b).isalnum() or b < 33 else b for b in range(256))
@@ -73,15 +73,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, bits: int
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Fit on a bounded sample: only the sparse rows of the sample reach the driver."""
+    """Fit on a bounded sample: only the sparse rows of the sample reach the driver, of about
+    ``SAMPLE_BYTES`` together; where texts are so long that they come to more, fewer rows do."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "i": [i.tobytes() for i, _ in rows], "v": [v.astype(np.float16).tobytes() for _, v in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "i": [i.tobytes() for i, _ in rows], "v": [v.astype(np.float16).tobytes() for _, v in rows]})
 
     rows = training_rows(docs, labels, label_col, modulus, held_out, sample_rows, id_col, text_col)
-    got = rows.mapInPandas(run, "doc_id long, label int, i binary, v binary").toPandas().sort_values(["doc_id", "label", "i", "v"])
+    rows = materialize(rows.mapInPandas(run, "doc_id long, label int, h long, i binary, v binary"), "features")
+    rows = within_bytes(rows, F.octet_length("i") + F.octet_length("v"), SAMPLE_BYTES)
+    got = rows.drop("h").toPandas().sort_values(["doc_id", "label", "i", "v"])
     return fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float16).astype(np.float32)) for i, v in zip(got["i"], got["v"], strict=True)], got["label"].to_numpy(np.int64))
 
 
@@ -90,7 +93,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sa
 
     Null and empty texts have no feature and get the bias as their score; without training rows
     every score is 0.5.  Repeated rows are scored each; a null id has a null ``held_out``.
-    Other columns are not read.
+    Other columns are not read.  An empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, "quality", sample_rows, modulus, held_out, id_col, text_col))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, free_name, materialize, partitions
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -178,7 +178,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of each near-duplicate group, all columns kept: one with the least id.
 
     Rows are told apart by a key of their own, so of repeated rows one stays, and rows with a
-    null id are grouped like others; one of them stays if its group has no id.
+    null id are grouped like others; one of them stays if its group has no id.  Columns of any
+    name stay as they are; an empty table stays empty.
     """
 
     def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -186,10 +187,11 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.Series(np.fromiter((fingerprint(t, shingle_words) for t in texts), np.uint64, len(texts)).view(np.int64))
 
     # written once, as the key of a row must be the same in every pass
-    made = F.pandas_udf(prints_of, "long")(F.col(text_col).cast("string"))
-    held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__fp", made), "rows")
-    order = F.struct(F.col(id_col).cast("long").isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row"))
-    prints = held.select(F.col("__fp").alias("fp"), F.bit_count("__fp").cast("int").alias("pop"), order.alias("least"))
+    key, made = free_name(docs, "row_key"), free_name(docs, "row_print")
+    print_of = F.pandas_udf(prints_of, "long")(F.col(text_col).cast("string"))
+    held = materialize(docs.withColumn(key, F.monotonically_increasing_id()).withColumn(made, print_of), "rows")
+    order = F.struct(F.col(id_col).cast("long").isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col(key).alias("row"))
+    prints = held.select(F.col(made).alias("fp"), F.bit_count(made).cast("int").alias("pop"), order.alias("least"))
     least = prints.groupBy("fp").agg(F.min("least").alias("least"))
     chosen = least.join(_components(prints, radius, tile_rows), "fp").groupBy("component").agg(F.min("least").alias("least"))
-    return held.join(chosen.select(F.col("least.row").alias("__row")), "__row", "left_semi").select(*[held[c] for c in docs.columns])
+    return held.join(chosen.select(F.col("least.row").alias(key)), key, "left_semi").select(*[held[c] for c in docs.columns])

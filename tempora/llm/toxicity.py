@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, materialize
 from .labelled import training_rows
 
 BUCKET_BITS = 20
@@ -61,31 +61,31 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(bucket_lists), -30, 30)))
 
 
-def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATURES, rank: int = FACTORS, bits: int = BUCKET_BITS, epochs: int = 30, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Adagrad on logistic loss; deterministic for given rows in a given order."""
-    size, n = 1 << bits, len(label)
-    feature_of = np.full(size, -1, np.int32)
-    n1 = int(label.sum())
-    if not n or n1 in (0, n):
-        share = (n1 + 0.5) / (n + 1)
-        return FactorizationMachine(feature_of, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
-    # a text's buckets are distinct; text by text, so that the sample is held once
-    seen, pos = np.zeros(size), np.zeros(size)
-    for b, mark in zip(bucket_lists, label, strict=True):
-        seen[b] += 1
-        if mark == 1:
-            pos[b] += 1
+def chosen_buckets(seen: np.ndarray, pos: np.ndarray, n: int, n1: int, features: int = FEATURES) -> np.ndarray:
+    """The buckets that tell ``n1`` positive texts from the others best: those found in ``seen`` texts,
+    ``pos`` of them positive, whose chi-square passes the 0.001 level; ascending."""
     expected = seen * n1 / n
     chi = (pos - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * (1 - seen / (n + 1)), 1e-9)
     chi[seen < 4] = 0
     chosen = np.sort(np.argsort(-chi, kind="stable")[:features])
-    chosen = chosen[chi[chosen] > 10.8]  # the 0.001 level
+    return chosen[chi[chosen] > 10.8]
+
+
+def constant(n: int, n1: int, rank: int = FACTORS, bits: int = BUCKET_BITS) -> FactorizationMachine:
+    """The smoothed share of positive texts, for samples without both classes."""
+    share = (n1 + 0.5) / (n + 1)
+    return FactorizationMachine(np.full(1 << bits, -1, np.int32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
+
+
+def descend(feature_lists: list[np.ndarray], label: np.ndarray, chosen: np.ndarray, rank: int = FACTORS, bits: int = BUCKET_BITS, epochs: int = 30, rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    """Adagrad on logistic loss over rows of chosen features; deterministic for given rows in a given
+    order."""
+    n, n1 = len(label), int(label.sum())
+    feature_of = np.full(1 << bits, -1, np.int32)
     feature_of[chosen] = np.arange(len(chosen), dtype=np.int32)
     x = np.zeros((n, len(chosen)), bool)
-    for row, b in enumerate(bucket_lists):
-        f = feature_of[b]
-        x[row, f[f >= 0]] = True
-    del seen, pos, expected, chi
+    for row, f in enumerate(feature_lists):
+        x[row, f] = True
     rng = np.random.default_rng(seed)
     w0, w, v = float(np.log(n1 / (n - n1))), np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), rank))
     g0, gw, gv = 1e-6, np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6)
@@ -102,16 +102,60 @@ def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATU
     return FactorizationMachine(feature_of, float(w0), w, v)
 
 
+def fit(bucket_lists: list[np.ndarray], label: np.ndarray, features: int = FEATURES, rank: int = FACTORS, bits: int = BUCKET_BITS, **options) -> FactorizationMachine:
+    """Choose features and descend, for rows of buckets that are at hand; ``train()`` does the same
+    on stored rows."""
+    n, n1 = len(label), int(label.sum())
+    if not n or n1 in (0, n):
+        return constant(n, n1, rank, bits)
+    seen, pos = np.zeros(1 << bits), np.zeros(1 << bits)
+    for b, mark in zip(bucket_lists, label, strict=True):
+        seen[b] += 1
+        if mark == 1:
+            pos[b] += 1
+    chosen = chosen_buckets(seen, pos, n, n1, features)
+    return descend([features_of(b, chosen) for b in bucket_lists], label, chosen, rank, bits, **options)
+
+
+def features_of(found: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places in ``chosen`` of the buckets found; both ascending."""
+    return np.flatnonzero(np.isin(chosen, found, assume_unique=True))
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
-    """Fit on a bounded sample: only the distinct buckets of its rows reach the driver."""
+    """Fit on a bounded sample.  Counts of its buckets are summed in Spark; of a text, however long,
+    only the chosen features reach the driver: at most ``FEATURES`` of 2 bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "terms": [buckets(t).tobytes() for t in pdf["text"]]})
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, pos = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
+        for pdf in batches:
+            for t, mark in zip(pdf["terms"], pdf["label"], strict=True):
+                b = np.frombuffer(t, np.int32)
+                seen[b] += 1
+                pos[b] += int(mark == 1)
+        found = np.flatnonzero(seen)
+        yield pd.DataFrame({"bucket": found, "seen": seen[found], "pos": pos[found]})
+
     rows = training_rows(docs, labels, label_col, modulus, held_out, sample_rows, id_col, text_col)
-    got = rows.mapInPandas(run, "doc_id long, label int, terms binary").toPandas().sort_values(["doc_id", "label", "terms"])
-    return fit([np.frombuffer(t, np.int32) for t in got["terms"]], got["label"].to_numpy(np.int64))
+    rows = materialize(rows.mapInPandas(terms, "doc_id long, label int, terms binary"), "terms")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if n1 in (0, n):
+        return constant(n, n1)
+    sums = rows.mapInPandas(count, "bucket long, seen long, pos long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("pos").alias("pos")).toPandas()  # a row a bucket
+    seen, pos = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    seen[sums["bucket"]], pos[sums["bucket"]] = sums["seen"], sums["pos"]
+    chosen = chosen_buckets(seen, pos, n, n1)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "f": [features_of(np.frombuffer(t, np.int32), chosen).astype(np.int16).tobytes() for t in pdf["terms"]]})
+
+    got = rows.mapInPandas(pick, "doc_id long, label int, f binary").toPandas().sort_values(["doc_id", "label", "f"])
+    return descend([np.frombuffer(f, np.int16) for f in got["f"]], got["label"].to_numpy(np.int64), chosen)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +163,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
     Null and empty texts have no term and get the bias as their score.  Repeated rows are scored
     each; a null id has a null ``held_out``.  Without labels of both classes the score is the
-    smoothed share of toxic ones.  Other columns are not read.
+    smoothed share of toxic ones.  Other columns are not read.  An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, "toxic", sample_rows, modulus, held_out, id_col, text_col))
 
@@ -134,11 +178,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text is not predicted toxic, all columns kept.
+    """Rows of ``docs`` whose text is not predicted toxic, all columns kept, whatever their names.
 
-    Every row is judged by its own text; its id may be null or repeated.
+    Every row is judged by its own text; its id may be null or repeated.  Without labels of both
+    classes there is nothing to judge by, and all rows stay.  An empty table stays empty.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, "toxic", sample_rows, modulus, held_out, id_col, text_col))
+    fitted = train(docs, labels, "toxic", sample_rows, modulus, held_out, id_col, text_col)
+    if not fitted.weights.size:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
