@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -80,16 +81,31 @@ def background_value(code: Column) -> Column:
 
 
 def match_startswith(column: Column, patterns: list[str], case_sensitive: bool = True) -> Column:
+    """The text begins with one of the patterns: a look-up of its beginning for each length that
+    the patterns have, so the work does not grow with their number."""
     text = column.cast("string")
     if not case_sensitive:
         text, patterns = F.lower(text), [p.lower() for p in patterns]
-    return F.coalesce(reduce(or_, [text.startswith(p) for p in patterns]), F.lit(False))
+    by_length: dict[int, list[str]] = {}
+    for pattern in sorted(set(patterns)):
+        by_length.setdefault(len(pattern), []).append(pattern)
+    return F.coalesce(reduce(or_, [F.substring(text, 1, n).isin(same) for n, same in by_length.items()]), F.lit(False))
+
+
+def alternation(patterns: list[str]) -> str | None:
+    """One regular expression for all of them; none where one counts its groups or sets flags for
+    what follows."""
+    if any(re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]|\(\?[a-z-]+\)", p) for p in patterns):
+        return None
+    return "|".join(f"(?:{p})" for p in dict.fromkeys(patterns))
 
 
 def match_contains(column: Column, patterns: list[str], case_sensitive: bool = True) -> Column:
     """Any of the regular expressions is found."""
     flag = "" if case_sensitive else "(?i)"
-    return F.coalesce(reduce(or_, [column.cast("string").rlike(flag + p) for p in patterns]), F.lit(False))
+    whole = alternation(patterns)
+    chosen = patterns if whole is None else [whole]
+    return F.coalesce(reduce(or_, [column.cast("string").rlike(flag + p) for p in chosen]), F.lit(False))
 
 
 def match_columns(types: list[str], patterns: list[list[str]], how: str = "startswith", case_sensitive: bool = True) -> Column:

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 
 def class_counts(df: DataFrame, label: str = "target") -> DataFrame:
     """``(label, n)``; a table of one class only is an error when it is read."""
@@ -54,24 +56,41 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
-def scores(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
-    """Closed forms on the confusion counts; zero where a denominator is zero."""
-    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
+def closed_forms(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str, Column]:
+    """Scores of confusion counts by name; zero where a denominator is zero."""
+    tn, fp, fn, tp = (c.cast("double") for c in (tn, fp, fn, tp))
     n = tn + fp + fn + tp
     precision, recall, specificity = _ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(tn, tn + fp)
     chance = ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (n * n)
-    mcc = _ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
-    made = {
+    f1 = _ratio(2 * tp, 2 * tp + fp + fn)
+    return {
         "accuracy": (tp + tn) / n,
         "balanced_accuracy": (recall + specificity) / 2,
         "precision_score": precision,
         "recall": recall,
-        "f1": _ratio(2 * tp, 2 * tp + fp + fn),
+        "f1": f1,
+        "dice": f1,  # the same form over two sets
+        "hit": (tp + tn) / n,  # the share of rows whose class is named
         "kappa": _ratio((tp + tn) / n - chance, 1 - chance),
-        "mcc": mcc,
+        "mcc": _ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
         "specificity": specificity,
+        "tn": tn,
+        "fp": fp,
+        "fn": fn,
+        "tp": tp,
     }
-    return confusion(df, by, threshold).select(*by, "tn", "fp", "fn", "tp", "mean_probability", "pct_positive", *[c.alias(k) for k, c in made.items()])
+
+
+def scores(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Closed forms on the confusion counts; zero where a denominator is zero."""
+    made = closed_forms(*map(F.col, ("tn", "fp", "fn", "tp")))
+    counts = [made.pop(c).alias(c) for c in ("tn", "fp", "fn", "tp")]
+    return confusion(df, by, threshold).select(*by, *counts, "mean_probability", "pct_positive", *[c.alias(k) for k, c in made.items()])
+
+
+def score_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Positives ``p``, negatives ``q`` and rows ``n`` at every distinct score: all that metrics need."""
+    return df.groupBy(*by, "proba").agg(F.count_if(F.col("target") == 1).alias("p"), F.count_if(F.col("target") == 0).alias("q"), F.count("*").alias("n"))
 
 
 def ranked_scores(df: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
@@ -80,10 +99,10 @@ def ranked_scores(df: DataFrame, by: list[str], buckets: int = 256) -> DataFrame
     Scores are cut at approximate quantiles.  Sums run inside a bucket and are shifted by those of
     the buckets above, at most ``buckets`` a group, so a group's scores do not meet in one task.
     """
-    counts = df.groupBy(*by, "proba").agg(F.count_if(F.col("target") == 1).alias("p"), F.count_if(F.col("target") == 0).alias("q"))
+    counts = materialize(score_counts(df, by), "scores")  # read for the cuts, the shifts and the sums
     cuts = counts.agg(F.percentile_approx("proba", [k / buckets for k in range(1, buckets)], 10_000).alias("_cuts"))
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col("proba")))
-    rows = counts.crossJoin(F.broadcast(cuts)).select(*by, "proba", "p", "q", bucket.alias("_b"))  # one row
+    rows = counts.crossJoin(F.broadcast(cuts)).select(*by, "proba", "p", "q", "n", bucket.alias("_b"))  # one row
     above, whole = Window.partitionBy(*by).orderBy(F.desc("_b")), Window.partitionBy(*by)
     shifts = rows.groupBy(*by, "_b").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     ahead = [(F.sum(c).over(above) - F.col(c)).alias(f"_{c}") for c in "pq"]
@@ -91,7 +110,7 @@ def ranked_scores(df: DataFrame, by: list[str], buckets: int = 256) -> DataFrame
     inside = Window.partitionBy(*by, "_b").orderBy(F.desc("proba")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", F.sum("p").over(inside).alias("_tp"), F.sum("q").over(inside).alias("_fp"))
     same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_b"]])
-    return rows.join(shifts, same).select(*by, "proba", "p", "q", (F.col("_tp") + F.col("_p")).alias("tp"), (F.col("_fp") + F.col("_q")).alias("fp"), "positives", "negatives")
+    return rows.join(shifts, same).select(*by, "proba", "p", "q", "n", (F.col("_tp") + F.col("_p")).alias("tp"), (F.col("_fp") + F.col("_q")).alias("fp"), "positives", "negatives")
 
 
 def curves(df: DataFrame, by: list[str]) -> DataFrame:
@@ -100,11 +119,16 @@ def curves(df: DataFrame, by: list[str]) -> DataFrame:
     return ranked_scores(df, by).select(*by, F.col("proba").alias("threshold"), (tp / F.col("positives")).alias("tpr"), (fp / F.col("negatives")).alias("fpr"), (tp / (tp + fp)).alias("precision_score"))
 
 
+def _areas() -> dict[str, Column]:
+    return {
+        "roc_auc": F.coalesce(F.try_divide(F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)), F.nullif(F.max("positives") * F.max("negatives"), F.lit(0))), F.lit(0.0)),
+        "average_precision": F.coalesce(F.sum(F.col("p") / F.nullif(F.col("positives"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp"))), F.lit(0.0)),
+    }
+
+
 def areas(df: DataFrame, by: list[str]) -> DataFrame:
     """Exact area under the ROC curve, ties half, and average precision; 0 for a single class."""
-    auc = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / F.nullif(F.max("positives") * F.max("negatives"), F.lit(0))
-    ap = F.sum(F.col("p") / F.nullif(F.col("positives"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return ranked_scores(df, by).groupBy(*by).agg(F.coalesce(auc, F.lit(0.0)).alias("roc_auc"), F.coalesce(ap, F.lit(0.0)).alias("average_precision"))
+    return ranked_scores(df, by).groupBy(*by).agg(*[c.alias(name) for name, c in _areas().items()])
 
 
 def mean_std(df: DataFrame, metrics: list[str]) -> DataFrame:
@@ -133,8 +157,11 @@ def metric_gate(metrics: DataFrame, column: str, low: float, high: float) -> Dat
 def average_row(scored: DataFrame, fold: str = "fold") -> DataFrame:
     """One row per fold and one more, ``fold`` null, with the mean of every metric."""
     names = [c for c in scored.columns if c != fold]
-    rows = scored.select(F.col(fold).cast("long").alias(fold), *[F.col(c).cast("double").alias(c) for c in names])
-    return rows.unionByName(rows.agg(*[F.avg(c).alias(c) for c in names]).withColumn(fold, F.lit(None).cast("long")))
+    both = F.explode(F.array(F.lit(False), F.lit(True))).alias("_all")  # each row for itself, and for all
+    of = lambda c: F.col(f"`{c}`")  # noqa: E731  a column may be named after a threshold
+    rows = scored.select(of(fold).cast("long").alias(fold), *[of(c).cast("double").alias(c) for c in names]).select("*", both)
+    rows = rows.withColumn(fold, F.when(~F.col("_all"), of(fold)))
+    return rows.groupBy("_all", fold).agg(*[F.avg(of(c)).alias(c) for c in names]).select(fold, *map(of, names))
 
 
 def prediction_table(predictions: DataFrame, folds: list[int]) -> DataFrame:
@@ -166,23 +193,50 @@ def weighted_resample(df: DataFrame, weights: DataFrame, n: int, column: str = "
     return drawn.join(ranked, "rank").select("draw", column, label)
 
 
-SCORES = ("accuracy", "balanced_accuracy", "precision_score", "recall", "f1", "kappa", "mcc", "specificity", "tn", "fp", "fn", "tp", "mean_probability", "pct_positive")
-METRICS: dict[str, Callable[..., DataFrame]] = {name: (lambda df, by, name=name, threshold=0.5: scores(df, by, threshold).select(*by, F.col(name).alias("value"))) for name in SCORES}
-METRICS |= {name: (lambda df, by, name=name: areas(df, by).select(*by, F.col(name).alias("value"))) for name in ("roc_auc", "average_precision")}
+SCORES = ("accuracy", "balanced_accuracy", "precision_score", "recall", "f1", "dice", "hit", "kappa", "mcc", "specificity", "tn", "fp", "fn", "tp")
+MEANS = ("mean_probability", "pct_positive")
+METRICS = (*SCORES, *MEANS, "roc_auc", "average_precision")
+
+
+def metric_table(df: DataFrame, chosen: dict[str, dict], by: list[str]) -> DataFrame:
+    """``(*by, one column per entry)`` of entries ``{column: {"metric": name, **arguments}}``.
+
+    All are read from the counts at every distinct score, so any number of metrics and thresholds
+    costs one pass over the predictions; cumulative counts are made if an area is among them.
+    """
+    for how in chosen.values():
+        if how["metric"] not in METRICS:
+            raise ValueError(f"unknown metric {how['metric']!r}, one of {sorted(METRICS)}")
+    asked = {how["metric"] for how in chosen.values()}
+    rows = ranked_scores(df, by) if asked & set(_areas()) else score_counts(df, by)
+    limits = sorted({how.get("threshold", 0.5) for how in chosen.values() if how["metric"] in SCORES})
+    above = lambda c, t: F.sum(F.when(F.col("proba") > t, F.col(c)).otherwise(0))
+    sums = {f"{c}{k}": above(c, t) for k, t in enumerate(limits) for c in "pq"} | {"p": F.sum("p"), "q": F.sum("q"), "n": F.sum(F.when(F.col("proba").isNotNull(), F.col("n"))), "s": F.sum(F.col("proba") * F.col("n"))}
+    sums |= {name: c for name, c in _areas().items() if name in asked}
+    told = rows.groupBy(*by).agg(*[c.alias(f"_{name}") for name, c in sums.items()])
+    p, q = F.col("_p"), F.col("_q")
+    means = {"mean_probability": F.col("_s") / F.col("_n"), "pct_positive": p / F.nullif(p + q, F.lit(0))}
+
+    def value(name: str, threshold: float = 0.5) -> Column:
+        if name not in SCORES:
+            return means[name] if name in means else F.col(f"_{name}")
+        k = limits.index(threshold)
+        tp, fp = F.col(f"_p{k}"), F.col(f"_q{k}")
+        return closed_forms(q - fp, fp, p - tp, tp)[name]
+
+    return told.select(*by, *[value(**{"name" if k == "metric" else k: v for k, v in how.items()}).alias(column) for column, how in chosen.items()])
 
 
 def metric(name: str, **bound) -> Callable[[DataFrame, list[str]], DataFrame]:
     """The metric of that name with arguments bound: predictions and columns to ``(*by, value)``."""
     if name not in METRICS:
         raise ValueError(f"unknown metric {name!r}, one of {sorted(METRICS)}")
-    return functools.partial(METRICS[name], **bound)
+    return lambda df, by: metric_table(df, {"value": {"metric": name, **bound}}, by)
 
 
 def named_metrics(df: DataFrame, chosen: dict[str, dict], by: str = "fold") -> DataFrame:
-    """One column per entry ``{column: {"metric": name, **arguments}}``, a row per fold and one of
-    their means, whose fold is null."""
-    parts = [metric(**{"name" if k == "metric" else k: v for k, v in how.items()})(df, [by]).withColumnRenamed("value", column) for column, how in chosen.items()]
-    return average_row(functools.reduce(lambda a, b: a.join(b, by), parts), by)
+    """``metric_table()`` with a row per fold and one of their means, whose fold is null."""
+    return average_row(metric_table(df, chosen, [by]), by)
 
 
 WEIGHTS = {"inverse_sqrt": weights_inverse_sqrt, "effective_n": weights_effective_n}

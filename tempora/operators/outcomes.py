@@ -13,10 +13,25 @@ from ..functions.scalars import abspos, hours_truncated, match_columns
 ID = "subject_id"
 
 
+MANY_PATTERNS = 64
+
+
+def match_codes(ev: DataFrame, column: str, patterns: list[str], how: str = "startswith", case_sensitive: bool = True) -> DataFrame:
+    """Rows whose text matches one of very many patterns: the distinct texts are matched once, and
+    the rows joined to those that do."""
+    known = ev.select(F.col(column).alias("_known")).where("_known is not null").distinct()
+    hit = known.where(match_columns(["_known"], [patterns], how, case_sensitive))
+    return ev.join(hit, F.col(column) == F.col("_known"), "left_semi")
+
+
 def match_events(ev: DataFrame, types: list[str], patterns: list[list[str]], how: str = "startswith", case_sensitive: bool = True, exclude: list[str] | None = None, negation: bool | None = None) -> DataFrame:
     """Rows that match; ``exclude`` drops exact codes first, a given ``negation`` inverts."""
     if exclude:
         ev = ev.where(F.col("code").isNull() | ~F.col("code").isin(exclude))
+    if negation is None and how == "contains" and any(len(p) > MANY_PATTERNS for p in patterns):
+        for column, some in zip(types, patterns, strict=True):
+            ev = match_codes(ev, column, some, how, case_sensitive)
+        return ev
     mask = match_columns(types, patterns, how, case_sensitive)
     return ev.where(~mask if negation is not None else mask)
 

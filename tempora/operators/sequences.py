@@ -25,6 +25,32 @@ def to_sequences(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(ID).agg(F.transform(rows, lambda r: r["e"]).alias("events"))
 
 
+def to_truncated_sequences(tokens: DataFrame, max_len: int, background: int, sep: int = SEP) -> DataFrame:
+    """``truncate()`` of ``to_sequences()`` that gathers of a subject only the rows which may stay:
+    the first ``background`` and, counted from its end, ``max_len`` and one more, which tells that
+    there are more."""
+    front, back = (F.row_number().over(Window.partitionBy(ID).orderBy(o)) for o in (F.asc("seq"), F.desc("seq")))
+    rows = tokens.select(ID, "seq", "code", "abspos", "segment", "age")
+    rows = rows.withColumn("_front", front).withColumn("_back", back).where((F.col("_front") <= background) | (F.col("_back") <= max_len + 1))
+    item = F.struct("seq", event(F.col("code"), F.col("abspos"), F.col("segment"), F.col("age")).alias("e"), (F.col("_front") <= background).alias("head"), F.col("_back").alias("back"))
+    held = rows.groupBy(ID).agg(F.sort_array(F.collect_list(item)).alias("r"))
+    tail = max_len - background
+    cut = F.exists("r", lambda r: (r["back"] == tail) & (r["e"]["code"] == sep)) if tail else F.lit(False)
+    n = F.lit(tail) - cut.cast("int")
+    long = F.size(F.filter("r", lambda r: r["back"] <= max_len + 1)) > max_len
+    kept = F.filter("r", lambda r: r["head"] | (r["back"] <= F.col("_n")) | ~F.col("_long"))
+    return held.withColumn("_n", n).withColumn("_long", long).select(ID, F.transform(kept, lambda r: r["e"]).alias("events"))
+
+
+def background_rows(tokens: DataFrame, background_ids: list[int]) -> int:
+    """``background_length()`` of rows: only those of one subject are looked at."""
+    least = tokens.agg(F.min(ID)).first()[0]
+    if least is None:
+        return 2
+    mine = tokens.where((F.col(ID) == least) & is_one_of(F.col("code"), background_ids))
+    return mine.select("code").distinct().count() + 2
+
+
 def explode_sequences(seqs: DataFrame) -> DataFrame:
     keep = [c for c in seqs.columns if c != "events"]
     return seqs.select(*keep, F.posexplode("events").alias("pos", "e")).select(*keep, "pos", "e.*")

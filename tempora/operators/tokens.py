@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import limit_code_length
 from ..schema import CLS_SHIFT, SEP_SHIFT, SPECIAL_TOKENS
+from .features import PER_SUBJECT
 
 ID = "subject_id"
 
@@ -37,11 +38,11 @@ def add_special_tokens(df: DataFrame) -> DataFrame:
     segment; ``seq`` orders the result.
 
     The leading row takes the first value that is not null of every column, at a position a
-    little before it, in segment 0.  On equal positions rows come before leading rows, and these
+    little before it, in segment 0; a subject's split, where the table has it, stays.  On equal positions rows come before leading rows, and these
     before separators.
     """
     w = Window.partitionBy(ID).orderBy("abspos", "segment", "seq")
-    columns = ["age", "abspos", "segment", "code"]
+    columns, same = ["age", "abspos", "segment", "code"], [c for c in PER_SUBJECT if c in df.columns]
     nth = F.row_number().over(Window.partitionBy(ID).orderBy("seq"))
     whole = Window.partitionBy(ID)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).over(whole)
@@ -50,7 +51,7 @@ def add_special_tokens(df: DataFrame) -> DataFrame:
     plain = row(*map(F.col, columns), 0)
     cls = F.when(F.col("_nth") == 1, row(F.col("_age"), F.col("_pos") + CLS_SHIFT, F.lit(0), F.lit("[CLS]"), 1))
     sep = F.when(F.col("_next") != F.col("segment"), row(F.col("age"), F.col("abspos") + SEP_SHIFT, F.col("segment"), F.lit("[SEP]"), 2))
-    out = df.select(ID, F.col("seq").alias("_seq"), F.explode(F.array_compact(F.array(plain, cls, sep))).alias("r")).select(ID, "_seq", "r.*")
+    out = df.select(ID, *same, F.col("seq").alias("_seq"), F.explode(F.array_compact(F.array(plain, cls, sep))).alias("r")).select(ID, *same, "_seq", "r.*")
     order = Window.partitionBy(ID).orderBy("abspos", "rank", "segment", "_seq")
     return out.withColumn("seq", F.row_number().over(order)).drop("_seq", "rank")
 

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import abspos, age_fraction, age_years, background_name, background_value, hours_truncated, limit_code_length, match_contains, match_startswith, micros, shift_hours, value_bin, value_prefix
+from ..functions.scalars import abspos, age_fraction, age_years, background_name, background_value, hours_truncated, limit_code_length, match_contains, match_startswith, micros, shift_hours, sigmoid, value_bin, value_prefix
 from ..operators import features, filters, metrics, outcomes, sequences, splits, tokens
+from ..schema import SPECIAL_TOKENS
 from ..sources.adapters import EVENTS_SQL, ORDERS_SQL, meds_from_events, meds_from_orders, table
 from ..sources.io import to_meds
+from ..sources.scratch import bucketed, materialize, scratch_path
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +64,13 @@ STAYS_SQL, GAPS_SQL = _segments_sql(True), _segments_sql(False)
 FEATS_SQL = f"{STAYS_SQL}, f AS (SELECT * FROM feats WHERE age BETWEEN -1 AND 120)"
 
 
-def feats(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.build_features(ev(spark, folder), stays=True)
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Adapted events written once, for queries that read them several times."""
+    return bucketed(ev(spark, folder), "subject_id", "events")
+
+
+def feats(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    return pipelines.build_features(ev(spark, folder) if events is None else events, stays=True)
 
 
 @query(f"""WITH {FEATS_SQL}, part AS (SELECT subject_id, segment, count(*) AS n, count(*) FILTER (code = 'ADM_ADMISSION') AS a, max(abspos) - min(abspos) AS hours FROM f GROUP BY 1, 2), lasts AS (SELECT subject_id, arg_max(age, seq) AS last_age FROM f GROUP BY 1)
@@ -134,12 +141,12 @@ INFO_SQL = f"""{FEATURES_SQL}, info AS (SELECT subject_id, arg_max(time, row_id)
 
 
 def info(spark: SparkSession, folder: str) -> DataFrame:
-    return features.patient_info(features.promote_background(features.attach_birthdate(ev(spark, folder))), ["GENDER"])
+    return features.patient_info(features.promote_background(features.attach_birthdate(ev(spark, folder))))
 
 
 @query(f"WITH {INFO_SQL} SELECT subject_id, epoch_us(birthdate) AS birth_us, epoch_us(deathdate) AS death_us, GENDER AS gender FROM info")
 def e3_patient_info(spark: SparkSession, folder: str) -> DataFrame:
-    return info(spark, folder).select("subject_id", micros(F.col("birthdate")).alias("birth_us"), micros(F.col("deathdate")).alias("death_us"), F.col("GENDER").alias("gender"))
+    return info(spark, folder).select("subject_id", micros(F.col("birthdate")).alias("birth_us"), micros(F.col("deathdate")).alias("death_us"), F.try_element_at("background", F.lit("GENDER")).alias("gender"))
 
 
 @query(f"WITH {EVENTS_SQL}, h AS (SELECT * FROM ev WHERE starts_with(code, 'LAB') AND time IS NOT NULL), b AS (SELECT *, CAST(floor((epoch_us(time) - (SELECT min(epoch_us(time)) FROM h)) / 86400000000.0) AS BIGINT) AS bucket FROM h) SELECT subject_id, code, epoch_us(min(time)) AS time_us, round(sum(numeric_value), 6) AS total FROM b GROUP BY subject_id, code, bucket")
@@ -205,12 +212,14 @@ INDEX_SQL = "idx AS (SELECT subject_id, min(time) + INTERVAL 24 HOUR AS time FRO
 BUYS_SQL = f"buys AS (SELECT subject_id, time, trunc({HOURS.format('time')}) AS abspos FROM ev WHERE code = 'LAB/PURCHASE')"
 
 
-def index_dates(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.index_dates_exposed(ev(spark, folder).where("code = 'ADMISSION'"), 24)
+def index_dates(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    events = ev(spark, folder) if events is None else events
+    return splits.index_dates_exposed(events.where("code = 'ADMISSION'"), 24)
 
 
-def buys(spark: SparkSession, folder: str) -> DataFrame:
-    return outcomes.outcome_table(outcomes.with_position(ev(spark, folder).where("code = 'LAB/PURCHASE'")))
+def buys(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    events = ev(spark, folder) if events is None else events
+    return outcomes.outcome_table(outcomes.with_position(events.where("code = 'LAB/PURCHASE'")))
 
 
 @query(f"WITH {EVENTS_SQL}, {INDEX_SQL} SELECT subject_id, epoch_us(time) AS time_us FROM idx")
@@ -289,8 +298,8 @@ parts AS (SELECT subject_id, age, abspos, segment, code, 0 AS rank, seq AS s FRO
 toks AS (SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY abspos, rank, segment, s) AS seq, coalesce(token_id, 3) AS code, abspos, segment, age FROM parts LEFT JOIN vocab USING (code))"""
 
 
-def toks(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.tokenize_features(feats(spark, folder))[0]
+def toks(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    return pipelines.tokenize_features(feats(spark, folder, events))[0]
 
 
 @query(f"WITH {TOKENS_SQL} SELECT subject_id, seq, code, round(abspos, 6) AS abspos, segment, age FROM toks")
@@ -320,15 +329,17 @@ def exploded(done: DataFrame) -> DataFrame:
 
 @query(FINETUNE_SQL)
 def p6_prepare_finetune(spark: SparkSession, folder: str) -> DataFrame:
-    return exploded(pipelines.prepare_finetune(toks(spark, folder), index_dates(spark, folder), buys(spark, folder), **finetune_options()))
+    events = stored(spark, folder)
+    return exploded(pipelines.prepare_finetune(toks(spark, folder, events), index_dates(spark, folder, events), buys(spark, folder, events), **finetune_options()))
 
 
 @query(FINETUNE_SQL)
 def p7_h5_prepare_test(spark: SparkSession, folder: str) -> DataFrame:
     """Two splits of subjects, prepared each and appended."""
-    made = toks(spark, folder)
+    events = stored(spark, folder)
+    made = toks(spark, folder, events)
     parts = {"tuning": made.where("subject_id % 2 = 0"), "held_out": made.where("subject_id % 2 = 1")}
-    return exploded(pipelines.prepare_test(parts, index_dates(spark, folder), buys(spark, folder), **finetune_options()))
+    return exploded(pipelines.prepare_test(parts, index_dates(spark, folder, events), buys(spark, folder, events), **finetune_options()))
 
 
 @query(f"""WITH {TOKENS_SQL}, {INDEX_SQL}, {BUYS_SQL}, low AS (SELECT token_id FROM vocab WHERE starts_with(code, 'M_') OR starts_with(code, 'D_')), delays AS (SELECT token_id, 24.0 AS delay FROM vocab WHERE code = 'LAB/PURCHASE'),
@@ -343,17 +354,19 @@ lab AS (SELECT i.subject_id, max(CASE WHEN b.abspos - {HOURS.format('i.time')} B
 SELECT subject_id, CAST(coalesce(outcome, 0) AS INTEGER) AS outcome, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY rn) - 1 AS INTEGER) AS pos, code, round(abspos, 6) AS abspos, CAST(dense_rank() OVER (PARTITION BY subject_id ORDER BY segment) - 1 AS INTEGER) AS segment, round(age, 6) AS age FROM short JOIN lab USING (subject_id) WHERE n >= 4""")
 def p6_prepare_finetune_options(spark: SparkSession, folder: str) -> DataFrame:
     """A cohort, a cutoff, delayed censoring and prioritised truncation together."""
-    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
-    low = [r["token_id"] for r in sequences.token_ids(vocabulary, ["M_", "D_"]).collect()]  # bounded by the vocabulary
-    delays = {r["token_id"]: r["delay"] for r in sequences.concept_delays(vocabulary, {"^LAB/PURCHASE$": 24}).collect()}
-    dates = index_dates(spark, folder)
-    return exploded(pipelines.prepare_finetune(made, dates, buys(spark, folder), 20, 3, 1, 72, censor_hours=6, cohort=dates.where("subject_id % 4 > 0"), cutoff_hours=473600, delays=delays, non_priority=low))
+    events = stored(spark, folder)
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder, events))
+    low = pipelines.tokens_with_prefix(vocabulary, ["M_", "D_"])
+    delays = {r["token_id"]: r["delay"] for r in sequences.concept_delays(vocabulary, {"^LAB/PURCHASE$": 24}).collect()}  # bounded by the vocabulary
+    dates = index_dates(spark, folder, events)
+    # the background's length is found in the tokens
+    return exploded(pipelines.prepare_finetune(made, dates, buys(spark, folder, events), 20, None, 1, 72, censor_hours=6, cohort=dates.where("subject_id % 4 > 0"), cutoff_hours=473600, delays=delays, non_priority=low, vocabulary=vocabulary))
 
 
 @query(f"WITH {TOKENS_SQL}, least AS (SELECT min(subject_id) AS subject_id FROM toks) SELECT CAST(count(DISTINCT code) + 2 AS INTEGER) AS n FROM toks JOIN least USING (subject_id) WHERE code IN (SELECT token_id FROM vocab WHERE starts_with(code, 'BG_'))")
 def i9_background_length(spark: SparkSession, folder: str) -> DataFrame:
     made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
-    n = sequences.background_length(sequences.to_sequences(made), pipelines.background_token_ids(vocabulary))
+    n = pipelines.find_background(made, vocabulary)
     return spark.createDataFrame([(n,)], "n int")
 
 
@@ -373,7 +386,8 @@ cuts AS (SELECT subject_id, max(CASE WHEN rn = n - 37 + 1 AND code = 2 THEN 1 EL
 short AS (SELECT p.* FROM placed p JOIN cuts USING (subject_id) WHERE n <= 40 OR rn <= 3 OR rn > n - 37 + cut)
 SELECT subject_id, count(*) AS n, CAST(sum(code) AS BIGINT) AS codes, CAST(max(dense) AS INTEGER) AS last_segment FROM (SELECT *, dense_rank() OVER (PARTITION BY subject_id ORDER BY segment) - 1 AS dense FROM short) GROUP BY 1""")
 def p5_prepare_pretrain(spark: SparkSession, folder: str) -> DataFrame:
-    done = pipelines.prepare_pretrain(toks(spark, folder), max_len=40, background=3)
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
+    done = pipelines.prepare_pretrain(made, max_len=40, vocabulary=vocabulary)
     return sequences.explode_sequences(done).groupBy("subject_id").agg(F.count("*").alias("n"), F.sum("code").alias("codes"), F.max("segment").alias("last_segment"))
 
 
@@ -518,8 +532,8 @@ def b1_b2_b19_id_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {INFO_SQL}, s0 AS (SELECT subject_id, GENDER AS g, birthdate, deathdate FROM info), s1 AS (SELECT * FROM s0 WHERE g = 'F'), s2 AS (SELECT * FROM s1 WHERE deathdate IS NULL)
 SELECT 'start' AS stage, count(*) AS rows, count(DISTINCT subject_id) AS subjects FROM s0 UNION ALL SELECT 'women', count(*), count(DISTINCT subject_id) FROM s1 UNION ALL SELECT 'living', count(*), count(DISTINCT subject_id) FROM s2""")
 def e7_e8_attrition(spark: SparkSession, folder: str) -> DataFrame:
-    steps = {"women": lambda df: filters.filter_by_categories(df, {"GENDER": {"include": ["F"]}}), "living": lambda df: df.where("deathdate IS NULL")}
-    return filters.attrition(info(spark, folder), steps)[1]
+    patients = info(spark, folder)
+    return filters.attrition(patients, {"women": filters.categories_hold(patients, {"GENDER": {"include": ["F"]}}), "living": F.col("deathdate").isNull()})[1]
 
 
 @query(f"WITH {EVENTS_SQL}, t AS (SELECT subject_id, {HOURS.format('time')} < lag({HOURS.format('time')}) OVER (PARTITION BY subject_id ORDER BY row_id) AS back FROM ev WHERE time IS NOT NULL) SELECT subject_id, count(*) FILTER (back) AS violations FROM t GROUP BY 1 HAVING count(*) FILTER (back) > 0")
@@ -697,25 +711,144 @@ def a15_to_meds(spark: SparkSession, folder: str) -> DataFrame:
     return told.crossJoin(F.broadcast(last))  # one row
 
 
+PATIENCE = 5  # trees without a gain; a tree costs a few Spark jobs, however small the table
+
+
 def baseline(spark: SparkSession, folder: str):
-    """Models of two folds on the finetuning sequences, with their features, folds and vocabulary."""
-    made, vocabulary = pipelines.tokenize_features(feats(spark, folder))
-    seqs = pipelines.prepare_finetune(made, index_dates(spark, folder), buys(spark, folder), max_len=30, background=3, start=1, end=72, censor_hours=6)
-    size = (vocabulary.agg(F.max("token_id")).first()[0] or 0) + 1
-    data = pipelines.baseline_features(seqs, size).persist()
-    folds = splits.create_folds(data.select("subject_id"), 2)
-    return pipelines.baseline_models(data, folds, iterations=10), data, folds, vocabulary, size
+    """Sequences of the finetuning subjects, their folds and the vocabulary."""
+    events = stored(spark, folder)
+    made, vocabulary = pipelines.tokenize_features(feats(spark, folder, events))
+    seqs = materialize(pipelines.prepare_finetune(made, index_dates(spark, folder, events), buys(spark, folder, events), max_len=30, background=3, start=1, end=72, censor_hours=6), "finetune")
+    return seqs, splits.create_folds(seqs.where("subject_id % 4 > 0").select("subject_id"), 2), vocabulary
 
 
-@query()
+LABELS_SQL = f"""{EVENTS_SQL}, {INDEX_SQL}, {BUYS_SQL}, lab AS (SELECT i.subject_id, CAST(coalesce(max(CASE WHEN b.abspos - {HOURS.format('i.time')} BETWEEN 1 AND 72 THEN 1 ELSE 0 END), 0) AS INTEGER) AS outcome FROM idx i LEFT JOIN buys b USING (subject_id) GROUP BY 1)"""
+
+
+@query(f"WITH {LABELS_SQL} SELECT subject_id, outcome AS target, true AS scored, 1::BIGINT AS models FROM lab WHERE subject_id % 4 > 0")
 def k8_baseline_cv(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of boosted trees on the validation subjects of two folds."""
-    models, data, folds, _, _ = baseline(spark, folder)
-    return pipelines.evaluate(pipelines.baseline_predict(models, data, folds))
+    """Boosted trees that stop by the validation part, positives weighing twice: every subject of the
+    folds is scored once, by the model that it did not train."""
+    seqs, folds, vocabulary = baseline(spark, folder)
+    told = pipelines.baseline_cv(seqs, folds, vocabulary, positive_weight=2.0, patience=PATIENCE)
+    return told.groupBy("subject_id", "target").agg(F.min(F.col("proba").between(0, 1)).alias("scored"), F.count("*").alias("models"))
+
+
+@query(f"WITH {LABELS_SQL} SELECT subject_id, outcome AS target, 2::BIGINT AS models, true AS same FROM lab WHERE subject_id % 4 = 0")
+def k9_p9_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects outside the folds scored by the stored models of both, from sequences whose codes
+    have other ids; the scores are those of the models and ids as they were."""
+    seqs, folds, vocabulary = baseline(spark, folder)
+    path = scratch_path(spark, "baseline")
+    pipelines.baseline_cv(seqs, folds, vocabulary, path, patience=PATIENCE)
+    held_out = seqs.where("subject_id % 4 = 0")
+    plain = pipelines.score_held_out(spark, path, held_out, vocabulary).withColumnRenamed("proba", "expected").drop("target")
+    ordinary = lambda c: F.when(c >= len(SPECIAL_TOKENS), c + 1000).otherwise(c)
+    moved = held_out.withColumn("events", F.transform("events", lambda e: e.withField("code", ordinary(e["code"]))))
+    renamed = vocabulary.withColumn("token_id", ordinary(F.col("token_id"))).unionByName(spark.createDataFrame([("NEW", 9999)], vocabulary.schema))
+    told = pipelines.score_held_out(spark, path, moved, renamed).join(plain, ["subject_id", "fold"])
+    return told.groupBy("subject_id", "target").agg(F.count("*").alias("models"), F.min(F.col("proba") == F.col("expected")).alias("same"))
 
 
 @query()
 def g3_k10_top_features(spark: SparkSession, folder: str) -> DataFrame:
     """The five codes of greatest importance to the baseline."""
-    models, _, _, vocabulary, size = baseline(spark, folder)
-    return pipelines.top_features(pipelines.feature_importance(models, vocabulary, size), 5)
+    seqs, folds, vocabulary = baseline(spark, folder)
+    path = scratch_path(spark, "baseline")
+    pipelines.baseline_cv(seqs, folds, vocabulary, path, patience=PATIENCE)
+    return pipelines.top_features(pipelines.feature_importance(*pipelines.read_baseline(spark, path)), 5)
+
+
+SPLIT = "CASE WHEN subject_id % 10 < 7 THEN 'train' WHEN subject_id % 10 < 9 THEN 'tuning' ELSE 'held_out' END"
+"""The split of a subject."""
+
+
+def split_folder(spark: SparkSession, folder: str) -> str:
+    """Events by split, a folder of parquet each, beside a folder that is none.  One subject in two
+    of the held-out split has a code that no other split has."""
+    root = scratch_path(spark, "meds")
+    held_out_only = F.when((F.col("code") == "M_VIEW") & (F.col("subject_id") % 20 == 9), "M_SEEN").otherwise(F.col("code"))
+    events = ev(spark, folder).withColumn("code", held_out_only).withColumn("split", F.expr(SPLIT))
+    for name in ("train", "tuning", "held_out"):
+        events.where(F.col("split") == name).drop("split").write.parquet(f"{root}/{name}")
+    spark.range(1).write.csv(f"{root}/notes")
+    return root
+
+
+SPLIT_EVENTS_SQL = EVENTS_SQL.replace("ev AS (", "ev0 AS (", 1) + ", ev AS (SELECT row_id, subject_id, time, CASE WHEN code = 'M_VIEW' AND subject_id % 20 = 9 THEN 'M_SEEN' ELSE code END AS code, numeric_value FROM ev0)"
+SPLIT_TOKENS_SQL = TOKENS_SQL.replace(EVENTS_SQL, SPLIT_EVENTS_SQL, 1).replace("(SELECT DISTINCT code FROM f)", f"(SELECT DISTINCT code FROM f WHERE {SPLIT} = 'train')", 1)
+
+
+@query(f"WITH {SPLIT_TOKENS_SQL} SELECT {SPLIT} AS split, subject_id, seq, code, round(abspos, 6) AS abspos, segment, age FROM toks")
+def p1_p2_tokens_of_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """From a folder of splits to their tokens, by the vocabulary of the first alone."""
+    made = pipelines.create_data(spark, split_folder(spark, folder), scratch_path(spark, "run"), stays=True)
+    return made["tokens"].select("split", "subject_id", F.col("seq").cast("bigint").alias("seq"), "code", F.round("abspos", 6).alias("abspos"), "segment", "age")
+
+
+@query(f"""WITH {SPLIT_TOKENS_SQL}, told AS (SELECT {SPLIT} AS split, * FROM ev), aged0 AS (SELECT {SPLIT} AS split, * FROM f)
+SELECT 'ids' AS kind, split, count(DISTINCT subject_id) AS n FROM aged0 GROUP BY 2 UNION ALL SELECT 'loaded', split, count(*) FROM told GROUP BY 2 UNION ALL SELECT 'aggregated', split, count(*) FROM told GROUP BY 2
+UNION ALL SELECT 'kept', split, count(*) FROM told WHERE code <> 'D_CLICK' GROUP BY 2 UNION ALL SELECT 'aged', split, count(*) FROM aged0 WHERE code <> 'D_CLICK' GROUP BY 2 UNION ALL SELECT 'patients', 'all', count(DISTINCT subject_id) FROM told UNION ALL SELECT 'unknown', split, count(*) FROM aged0 WHERE code = 'M_SEEN' GROUP BY 2""")
+def e7_a10_run_of_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every stage, observed in the run that writes the features, and the ids, patients and
+    unknown codes of what is written, by split."""
+    made = pipelines.create_data(spark, split_folder(spark, folder), scratch_path(spark, "run"), exclude_regex="^D_CLICK$")
+    count = lambda df, kind: df.groupBy("split").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "split", "n")
+    unknown = count(made["tokens"].where(F.col("code") == SPECIAL_TOKENS["[UNK]"]), "unknown")
+    patients = made["patient_info"].agg(F.lit("patients").alias("kind"), F.lit("all").alias("split"), F.count("*").alias("n"))
+    stages = made["counts"].select(F.col("stage").alias("kind"), "split", F.col("rows").alias("n"))
+    return count(made["pids"], "ids").unionByName(stages).unionByName(patients).unionByName(unknown)
+
+
+MIXED_SQL = f"""{FEATURES_SQL}, shards AS (SELECT *, CASE WHEN subject_id % 2 = 0 THEN 'a' ELSE 'b' END AS shard FROM aged WHERE NOT (subject_id % 2 = 1 AND starts_with(code, 'ADM_DISCHARGE'))),
+modes AS (SELECT shard, bool_or(starts_with(code, 'ADM_ADMISSION')) AND bool_or(starts_with(code, 'ADM_DISCHARGE')) AS stays FROM shards GROUP BY 1),
+kinds AS (SELECT s.*, stays, {KIND} AS kind FROM shards s JOIN modes USING (shard)),
+opened AS (SELECT *, CASE WHEN NOT stays THEN (lag(1) OVER w IS NULL OR {GAP}) WHEN kind = 'A' THEN true WHEN coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY subject_id ORDER BY time, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'A' THEN false WHEN kind = 'D' THEN true ELSE coalesce(lag(kind) OVER w, '') = 'D' OR (lag(1) OVER w IS NULL OR {GAP}) END AS opens FROM kinds WINDOW w AS (PARTITION BY subject_id ORDER BY time, row_id)),
+numbered AS (SELECT *, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER w - 1 AS INTEGER) AS nth, row_number() OVER w AS seq FROM opened WINDOW w AS (PARTITION BY subject_id ORDER BY time, row_id)),
+feats AS (SELECT shard, subject_id, CASE WHEN code = 'DOD' THEN max(nth) OVER (PARTITION BY subject_id) ELSE nth END AS segment, code, seq, age FROM numbered)"""
+
+
+def mixed_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of two shards, of which one has no discharge."""
+    shard = F.when(F.col("subject_id") % 2 == 0, "a").otherwise("b")
+    return ev(spark, folder).where("NOT (subject_id % 2 = 1 AND code = 'DISCHARGE')").withColumn("shard", shard)
+
+
+@query(f"WITH {MIXED_SQL} SELECT shard, subject_id, seq, segment, code FROM feats WHERE age BETWEEN -1 AND 120")
+def f3_mode_of_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule for segments is found for each shard when the plan runs."""
+    done = pipelines.build_features(mixed_shards(spark, folder), shard="shard")
+    return done.select("shard", "subject_id", F.col("seq").cast("bigint").alias("seq"), "segment", "code")
+
+
+@query(f"WITH {MIXED_SQL} SELECT shard, subject_id, seq, segment, code FROM feats WHERE age BETWEEN -1 AND 120")
+def f1_f2_f5_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows by slices of two days, so that no task holds a whole subject."""
+    done = pipelines.build_features(mixed_shards(spark, folder), shard="shard", slice_hours=48)
+    return done.select("shard", "subject_id", F.col("seq").cast("bigint").alias("seq"), "segment", "code")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT 'starts' AS rule, row_id FROM ev WHERE code IN ('D_CLICK', 'DOB', 'DOD', 'DISCHARGE') OR starts_with(code, 'LAB') UNION ALL SELECT 'contains', row_id FROM ev WHERE regexp_matches(code, 'PURCH|CLICK$') UNION ALL SELECT 'outcome', row_id FROM ev WHERE time IS NOT NULL AND regexp_matches(code, 'PURCH|CLICK$')")
+def b12_b13_many_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Thousands of prefixes and of expressions, of which few match."""
+    prefixes = ["D", "LAB", *[f"LOINC/{k}" for k in range(5000)]]
+    expressions = ["PURCH", "CLICK$", *[f"^ICD{k}\\." for k in range(2000)]]
+    events, code = ev(spark, folder), F.col("code")
+    some = outcomes.match_codes(events, "code", expressions, "contains")
+    outcome = outcomes.match_events(outcomes.with_position(events), ["code"], [expressions], "contains")
+    return reduce(DataFrame.unionByName, [df.select(F.lit(rule).alias("rule"), "row_id") for rule, df in {"starts": events.where(match_startswith(code, prefixes)), "contains": some, "outcome": outcome}.items()])
+
+
+@query(f"WITH {PREDICTIONS_SQL} SELECT subject_id, round(1 / (1 + exp(-(proba * 4 - 2))), 9) AS proba FROM pr")
+def c13_sigmoid(spark: SparkSession, folder: str) -> DataFrame:
+    return predictions(spark, folder).select("subject_id", F.round(sigmoid(F.col("proba") * 4 - 2), 9).alias("proba"))
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, c AS (SELECT fold, (count(*) FILTER (proba <= 0.3 AND target = 0))::DOUBLE AS tn, (count(*) FILTER (proba > 0.3 AND target = 0))::DOUBLE AS fp, (count(*) FILTER (proba <= 0.3 AND target = 1))::DOUBLE AS fn, (count(*) FILTER (proba > 0.3 AND target = 1))::DOUBLE AS tp FROM pr GROUP BY 1)
+SELECT fold, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS dice, round((tp + tn) / (tn + fp + fn + tp), 6) AS hit FROM c""")
+def k2_dice_and_hit(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = {name: {"metric": name, "threshold": 0.3} for name in ("dice", "hit")}
+    return metrics.metric_table(predictions(spark, folder), chosen, ["fold"]).select("fold", F.round("dice", 6).alias("dice"), F.round("hit", 6).alias("hit"))
+
+
+from . import table_queries  # noqa: E402,F401  registers the queries of readers and writers

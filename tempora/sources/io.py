@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import EVENTS, FEATURES
 
@@ -26,38 +27,58 @@ def cast_schema(df: DataFrame) -> DataFrame:
 
 
 def read_meds(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Events from parquet or csv, without time zone."""
-    if kind == "parquet":
-        return cast_schema(spark.read.parquet(path))
-    if kind == "csv":
-        return cast_schema(spark.read.csv(path, header=True))
-    raise ValueError(f"unknown format: {kind}")
+    """Events from parquet or csv, without time zone.  Where the files do not number their rows,
+    ``row_id`` does, in the order in which they are read; so write what is read before it is read
+    again, if ties in time matter."""
+    if kind not in ("parquet", "csv"):
+        raise ValueError(f"unknown format: {kind}")
+    rows = cast_schema(spark.read.parquet(path) if kind == "parquet" else spark.read.csv(path, header=True))
+    return rows if "row_id" in rows.columns else rows.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def _entries(spark: SparkSession, root: str) -> list[str]:
+def entries(spark: SparkSession, root: str) -> list[str]:
     """Names under ``root``, hidden and marker files left out."""
     where = spark._jvm.org.apache.hadoop.fs.Path(root)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
     return sorted(name for name in (f.getPath().getName() for f in found) if name[:1] not in "._")
 
 
-def read_splits(spark: SparkSession, root: str, splits: list[str] | None = None, optional: tuple[str, ...] = ("held_out",)) -> DataFrame:
-    """All shards of the splits with a ``split`` column: of those listed, of which an optional one
-    may be absent, or of every folder under ``root``."""
-    there = _entries(spark, root)
+def split_names(spark: SparkSession, root: str, splits: list[str] | None = None, optional: tuple[str, ...] = ("held_out",)) -> list[str]:
+    """The splits under ``root``: folders that hold parquet files; or those listed, of which an
+    optional one may be absent."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    is_folder = lambda name: files.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(where, name)).isDirectory()
+    there = [name for name in entries(spark, root) if is_folder(name) and any(f.endswith(".parquet") for f in entries(spark, f"{root}/{name}"))]
     missing = [s for s in splits or [] if s not in there and s not in optional]
     if missing:
         raise ValueError(f"no split {missing[0]!r} under {root}")
-    parts = [read_meds(spark, f"{root}/{s}").withColumn("split", F.lit(s)) for s in splits or there if s in there]
-    if not parts:
+    found = [s for s in splits or there if s in there]
+    if not found:
         raise ValueError(f"no split under {root}")
-    return reduce(DataFrame.unionByName, parts)
+    return found
+
+
+def names_of(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of the column by which a table was written into folders."""
+    return [name.removeprefix(f"{column}=") for name in entries(spark, path) if name.startswith(f"{column}=")]
 
 
-def read_clinical(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_splits(spark: SparkSession, root: str, splits: list[str] | None = None, optional: tuple[str, ...] = ("held_out",), pids: DataFrame | None = None, shard: bool = False) -> DataFrame:
+    """All shards of the splits of ``split_names()``, with a ``split`` column; with ``shard`` also the
+    file that a row comes from, with ``pids`` only the rows of these subjects."""
+    parts = [read_meds(spark, f"{root}/{s}").withColumn("split", F.lit(s)) for s in split_names(spark, root, splits, optional)]
+    if shard:
+        parts = [p.withColumn("shard", F.input_file_name()) for p in parts]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows if pids is None else rows.join(pids.select("subject_id").distinct(), "subject_id", "left_semi")
+
+
+def read_clinical(spark: SparkSession, root: str, types: list[str] | None = None, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(patients, concepts)`` of a folder with ``patients_info.<format>`` and ``concept.<type>.<format>``,
-    parquet or csv; exact duplicates among the concepts count once."""
-    there = _entries(spark, root)
+    parquet or csv, of all types or those listed; exact duplicates among the concepts count once.
+    ``ordered`` sorts them by time, which costs a shuffle that nothing here needs."""
+    there = entries(spark, root)
 
     def load(name: str) -> DataFrame:
         return spark.read.parquet(f"{root}/{name}") if name.endswith(".parquet") else spark.read.csv(f"{root}/{name}", header=True, inferSchema=True)
@@ -65,7 +86,13 @@ def read_clinical(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     concepts, patients = [n for n in there if n.startswith("concept.")], [n for n in there if n.startswith("patients_info.")]
     if not concepts or not patients:
         raise ValueError(f"{root} lacks patients_info or concept tables")
-    return load(patients[0]), read_concept_files([load(n) for n in concepts])
+    if types is not None:
+        missing = sorted(set(types) - {n.split(".")[1] for n in concepts})
+        if missing:
+            raise ValueError(f"no concept table of type {missing[0]!r} under {root}")
+        concepts = [n for n in concepts if n.split(".")[1] in types]
+    rows = read_concept_files([load(n) for n in concepts])
+    return load(patients[0]), rows.orderBy("TIMESTAMP") if ordered else rows
 
 
 def read_concept_files(tables: list[DataFrame]) -> DataFrame:
@@ -84,16 +111,35 @@ def write_features(feats: DataFrame, path: str) -> None:
     write_by_split(feats.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FEATURES], "split"), path)
 
 
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """Tokens by split; their codes are numbers."""
+    require_columns(tokens, [*(f.name for f in FEATURES), "split"], "tokens")
+    kinds = {f.name: f.dataType for f in FEATURES} | {"code": T.IntegerType()}
+    write_by_split(tokens.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], "split"), path)
+
+
+def read_split_pids(spark: SparkSession, path: str) -> DataFrame:
+    """``(split, subject_id)`` of a table written by split: of its files only that column is read."""
+    return spark.read.parquet(path).select("split", "subject_id").distinct()
+
+
+def write_split_pids(table: DataFrame, path: str) -> None:
+    """Distinct ids, a folder for each split."""
+    table.select("split", "subject_id").distinct().write.mode("overwrite").partitionBy("split").parquet(path)
+
+
 def write_patient_info(info: DataFrame, path: str) -> None:
     """One table of the patients of all splits."""
     require_columns(info, ["subject_id", "birthdate", "deathdate"], "patient info").write.mode("overwrite").parquet(path)
 
 
-def write_outcomes(outcomes: DataFrame, path: str, names: list[str] | None = None) -> None:
-    """Outcome tables, one folder per outcome; of those named, one without rows gives a warning."""
-    outcomes.write.mode("overwrite").partitionBy("outcome").parquet(path)
+def write_outcomes(outcomes: DataFrame, path: str, names: list[str] | None = None, kind: str = "parquet") -> None:
+    """Outcome tables, one folder per outcome, parquet or csv; of those named, one without rows gives
+    a warning."""
+    options = {"header": True} if kind == "csv" else {}
+    outcomes.write.mode("overwrite").partitionBy("outcome").format(kind).options(**options).save(path)
     if names:
-        there = _entries(outcomes.sparkSession, path)
+        there = entries(outcomes.sparkSession, path)
         for name in names:
             if f"outcome={name}" not in there:
                 warnings.warn(f"outcome {name!r} has no rows", stacklevel=2)
@@ -109,7 +155,7 @@ def write_cohort(cohort: dict[str, DataFrame], path: str) -> None:
 
 
 def read_cohort(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in _entries(spark, path)}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in entries(spark, path)}
 
 
 def write_sequences(seqs: DataFrame, path: str, vocabulary: DataFrame, outcomes: DataFrame | None = None, index: DataFrame | None = None) -> None:

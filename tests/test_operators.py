@@ -123,7 +123,7 @@ def test_resample_follows_the_class_weights(spark):
 
 def test_attrition_counts_every_step(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "subject_id long, code string")
-    kept, counts = filters.attrition(df, {"b": lambda d: d.where("code = 'b'"), "one": lambda d: d.where("subject_id = 1")})
+    kept, counts = filters.attrition(df, {"b": F.col("code") == "b", "one": F.col("subject_id") == 1})
     assert kept.count() == 1
     assert {r["stage"]: (r["rows"], r["subjects"]) for r in counts.collect()} == {"start": (3, 2), "b": (2, 2), "one": (1, 1)}
 

@@ -42,10 +42,3 @@ def test_mask_rates(spark):
     assert (rows.input[~hit] == rows.code[~hit]).all() and (rows.target[hit] == rows.code[hit]).all() and ordinary[hit].all()
     assert math.isclose(hit.sum() / ordinary.sum(), 0.2, abs_tol=0.05)
     assert math.isclose((rows.input[hit] == 4).mean(), 0.8, abs_tol=0.1)
-
-
-@pytest.mark.skipif(not FOLDER.exists(), reason="needs the given tables")
-def test_baseline_importance(spark):
-    rows = QUERIES["g3_k10_top_features"](spark, str(FOLDER)).toPandas()
-    assert 1 <= len(rows) <= 5 and rows["code"].notna().all() and rows["importance"].is_monotonic_decreasing
-    assert 0 < rows["importance"].sum() <= 1 + 1e-9
