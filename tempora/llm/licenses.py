@@ -25,6 +25,7 @@ from .license_texts import TEMPLATES
 SHORT, SHORT_GRAM, SHORT_WINDOW = 100, 4, 2  # templates of fewer bytes than SHORT
 GRAM, WINDOW = 8, 8
 MIN_SHARE, MIN_COVERAGE, MIN_IDENTITY, BAND = 0.2, 0.8, 0.75, 0.2
+NAME_BYTES = 120  # behind a notice that a name follows
 _BITS = 20
 _FOLD = bytes(32 if b in b"\t\n\x0b\x0c\r " else ord(chr(b).lower()) if b < 128 else b for b in range(256))
 Template = tuple[str, str, str]
@@ -118,7 +119,10 @@ class TemplateIndex:
     def matches(self, text: str | None, min_coverage: float = MIN_COVERAGE, min_identity: float = MIN_IDENTITY) -> list[tuple[str, float, float, int, int]]:
         """``(license, coverage, identity, start, end)`` in code points."""
         raw = fold(text)
+        # a template whose pattern stands nowhere needs no alignment
         wanted = [c for index in self.indexes for c in index.candidates(raw)]
+        possible = {t for t in {c[0] for c in wanted} if self.must[t].search(raw)}
+        wanted = [c for c in wanted if c[0] in possible]
         found = [place for c in wanted for place in self.equal(*c, raw)]
         equal = [(a, b) for _, _, a, b, _ in found]
         for t, low, top in wanted:
@@ -133,16 +137,30 @@ class TemplateIndex:
                 taken.append((same, edits, a, b, t))
         if not taken:
             return []
+        whole = (text or "").encode()
+        named = [self.called(t, whole, raw, a, b) for _, _, a, b, t in taken]
         chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
-        out = [(self.names[t], round(s / len(self.bodies[t]), 6), round(s / (s + e), 6), int(chars[a]), int(chars[b])) for s, e, a, b, t in taken]
+        out = [(name, round(s / len(self.bodies[t]), 6), round(s / (s + e), 6), int(chars[a]), int(chars[end])) for (s, e, a, b, t), (name, end) in zip(taken, named, strict=True)]
         return sorted(out, key=lambda m: (m[3], m[0]))
 
+    def holds(self, t: int, raw: bytes, start: int, end: int) -> re.Match[bytes] | None:
+        """What tells the license from its siblings, in the stretch or just behind it."""
+        reach = NAME_BYTES if "id" in self.must[t].groupindex else 4
+        return self.must[t].search(raw, start, min(len(raw), end + reach))
+
+    def called(self, t: int, whole: bytes, raw: bytes, start: int, end: int) -> tuple[str, int]:
+        """The license's name, and where its stretch ends."""
+        if "id" not in self.must[t].groupindex:
+            return self.names[t], end
+        held = self.holds(t, raw, start, end)
+        return whole[slice(*held.span("id"))].decode("utf-8", "replace"), max(end, held.end())
+
     def equal(self, t: int, low: int, top: int, raw: bytes) -> Iterator[tuple[int, int, int, int, int]]:
         """Places that equal the template."""
         body = self.bodies[t]
         at = raw.find(body, max(0, low), max(0, top + len(body)))
         while at >= 0:
-            if self.must[t].search(raw, at, min(len(raw), at + len(body) + 4)):
+            if self.holds(t, raw, at, at + len(body)):
                 yield len(body), 0, at, at + len(body), t
             at = raw.find(body, at + len(body), max(0, top + len(body)))
 
@@ -159,7 +177,7 @@ class TemplateIndex:
             same, edits, start, end = align(body, raw, (low + top) // 2, (top - low + 1) // 2 + band_of(body))
             if same < min_coverage * len(body) or same < min_identity * (same + edits):
                 continue
-            if self.must[t].search(raw, start, min(len(raw), end + 4)):
+            if self.holds(t, raw, start, end):
                 yield same, edits, start, end
             # what lies before and behind may be further places
             if start - len(body) // 2 > low:
@@ -205,7 +223,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, mi
 
     Null, empty and short texts hold nothing.  Repeated rows report each; a null id is kept; of
     overlapping places the best is reported, equal ones by place and order of the templates.
-    Whole texts are read, however long.  Other columns are not read.
+    Whole texts are read, however long.  Other columns are not read.  An empty table gives an empty
+    result.
     """
     templates = list(templates)
 

@@ -350,6 +350,18 @@ LICENSES = licenses.TemplateIndex()
         ("This work is licensed under a Creative Commons Attribution 3.0 International License", []),
         ("Licensed under CC-BY-ND 4.0", ["CC-BY-ND-4.0"]),
         ("Released under the BSD License", []),
+        ("Released under the BSD-3-Clause license", ["BSD-3-Clause"]),
+        ("// SPDX-License-Identifier: MIT\n", ["MIT"]),
+        ("# SPDX-License-Identifier: (none)", []),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT ", ["Apache-2.0 OR MIT"]),
+        ("licensed under the Apache License, Version 2.0 or the MIT license", ["Apache-2.0", "MIT"]),
+        ("it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation, see", []),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0-only"]),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", ["GPL-2.0-or-later"]),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.", ["GPL-3.0"]),
+        ("Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", ["Apache-2.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License", ["CC-BY-SA-3.0"]),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 Someone", ["MIT"]),
         ("All rights reserved. All rights reserved.", ["all-rights-reserved"] * 2),
     ],
 )
@@ -360,6 +372,8 @@ def test_sibling_licenses_are_told_apart(text, named):
 def test_every_template_is_found_whole_and_with_faults():
     rng = random.Random(4)
     for name, must, body in licenses.TEMPLATES:
+        if "(?P<id>" in must:  # the name follows; see the cases above
+            continue
         text = "é ba ke. " + body.replace(", ", ",\n * ") + " Lo mu. "
         (got,) = LICENSES.matches(text)
         assert got[0] == name and text[got[3] : got[4]].startswith(body[:10])
