@@ -243,7 +243,7 @@ WEIGHTS = {"inverse_sqrt": weights_inverse_sqrt, "effective_n": weights_effectiv
 
 
 def class_weights(df: DataFrame, name: str, label: str = "target") -> DataFrame:
-    """Weights chosen by name."""
+    """Weights chosen by name, a row a class, stored: what reads them does not count again."""
     if name not in WEIGHTS:
         raise ValueError(f"unknown weights {name!r}, one of {sorted(WEIGHTS)}")
-    return WEIGHTS[name](df, label)
+    return materialize(WEIGHTS[name](df, label), "weights")
