@@ -23,8 +23,8 @@ from .components import connected_components
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-LEAST_TILE, MOST_TILE = 4096, 1 << 20  # rows of a tile; the most are 8 MB
-_BLOCK = 128
+LEAST_TILE, MOST_TILE = 4096, 1 << 20  # rows of a tile; the most are 8 MB, sorted and compared in about 150 MB
+_BLOCK, _COLUMNS = 128, 1 << 16  # compared at once: 64 MB of differences at most
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -75,6 +75,29 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
+def _link(a: np.ndarray, block: np.ndarray, cols: np.ndarray, cols_at: np.ndarray, radius: int, root: np.ndarray, out: list[tuple[int, int]]) -> None:
+    """Adds to the forest ``root`` and to ``out`` what links rows ``block`` of ``a`` to ``cols``."""
+    hit = np.bitwise_count(a[block][:, None] ^ cols[None, :]) <= radius
+    while True:
+        r, c = np.nonzero(hit)
+        if not len(r):
+            return
+        _flatten(root)
+        apart = root[block[r]] != root[cols_at[c]]
+        if not apart.any():
+            return
+        r, c = r[apart], c[apart]
+        hit = np.zeros_like(hit)
+        hit[r, c] = True
+        first_r, first_c = np.unique(r, return_index=True)[1], np.unique(c, return_index=True)[1]
+        for k in np.union1d(first_r, first_c):
+            i, j = int(block[r[k]]), int(cols_at[c[k]])
+            x, y = _find(root, i), _find(root, j)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((i, j))
+
+
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Spanning forest of the links between values of ``a`` and ``b`` (or within ``a``), as
     positions in ``a`` followed by ``b``."""
@@ -92,26 +115,8 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> lis
             continue
         rows, cols, cols_at = np.flatnonzero(a_high == h), other[lo:hi], order[lo:hi] + off
         for at in range(0, len(rows), _BLOCK):
-            block = rows[at : at + _BLOCK]
-            hit = np.bitwise_count(a[block][:, None] ^ cols[None, :]) <= radius
-            while True:
-                r, c = np.nonzero(hit)
-                if not len(r):
-                    break
-                _flatten(root)
-                apart = root[block[r]] != root[cols_at[c]]
-                if not apart.any():
-                    break
-                r, c = r[apart], c[apart]
-                hit = np.zeros_like(hit)
-                hit[r, c] = True
-                first_r, first_c = np.unique(r, return_index=True)[1], np.unique(c, return_index=True)[1]
-                for k in np.union1d(first_r, first_c):
-                    i, j = int(block[r[k]]), int(cols_at[c[k]])
-                    x, y = _find(root, i), _find(root, j)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        out.append((i, j))
+            for left in range(0, len(cols), _COLUMNS):
+                _link(a, rows[at : at + _BLOCK], cols[left : left + _COLUMNS], cols_at[left : left + _COLUMNS], radius, root, out)
     return out
 
 

@@ -23,7 +23,7 @@ from .labelled import training_rows
 
 BUCKET_BITS = 20
 STEMS = (4, 5, 6, 7)  # bytes
-FEATURES = 1024
+FEATURES, LEAST_SEEN = 1024, 4
 FACTORS = 8
 SAMPLE_ROWS = 16_000
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -66,7 +66,7 @@ def chosen_buckets(seen: np.ndarray, pos: np.ndarray, n: int, n1: int, features:
     ``pos`` of them positive, whose chi-square passes the 0.001 level; ascending."""
     expected = seen * n1 / n
     chi = (pos - expected) ** 2 / np.maximum(expected * (1 - n1 / n) * (1 - seen / (n + 1)), 1e-9)
-    chi[seen < 4] = 0
+    chi[seen < LEAST_SEEN] = 0
     chosen = np.sort(np.argsort(-chi, kind="stable")[:features])
     return chosen[chi[chosen] > 10.8]
 
@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_r
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n1 in (0, n):
         return constant(n, n1)
-    sums = rows.mapInPandas(count, "bucket long, seen long, pos long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("pos").alias("pos")).toPandas()  # a row a bucket
+    sums = rows.mapInPandas(count, "bucket long, seen long, pos long").groupBy("bucket").agg(F.sum("seen").alias("seen"), F.sum("pos").alias("pos"))
+    sums = sums.where(F.col("seen") >= LEAST_SEEN).toPandas()  # a row a bucket at most
     seen, pos = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
     seen[sums["bucket"]], pos[sums["bucket"]] = sums["seen"], sums["pos"]
     chosen = chosen_buckets(seen, pos, n, n1)
