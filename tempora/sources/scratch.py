@@ -4,13 +4,18 @@ so a lost executor costs no recomputation."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: list[list[str]] = []
+_LOCAL = threading.local()  # the blocks that a thread has open
+
+
+def _open() -> list[list[str]]:
+    return _LOCAL.__dict__.setdefault("blocks", [])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _open():
+        _open()[-1].append(path)
     return path
 
 
@@ -74,13 +79,13 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     What is returned lazily from inside reads such tables, so write it before the end.
     """
     kept: list[DataFrame] = []
-    _OPEN.append([])
+    _open().append([])
     try:
         yield kept
     finally:
         stay = {getattr(df, "_scratch_path", None) for df in kept}
-        for path in _OPEN.pop():
+        for path in _open().pop():
             if path not in stay:
                 delete(spark, path)
-            elif _OPEN:
-                _OPEN[-1].append(path)
+            elif _open():
+                _open()[-1].append(path)
