@@ -19,6 +19,16 @@ def event(code: Column, position: Column, segment: Column, age: Column) -> Colum
     return F.struct(code.cast("int").alias("code"), position.cast("double").alias("abspos"), segment.cast("int").alias("segment"), age.cast("double").alias("age"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A column that is computed from others and named in a lambda is put in its place there when Spark
+    merges projections or moves a filter below them, and then computed again for every element;
+    named several times outside, it is multiplied by every filter that passes it.  The operators
+    here name their ``events`` once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_sequences(tokens: DataFrame) -> DataFrame:
     """One row per subject with ``events`` in ``seq`` order: the one shuffle of the stage."""
     rows = F.sort_array(F.collect_list(F.struct("seq", event(F.col("code"), F.col("abspos"), F.col("segment"), F.col("age")).alias("e"))))
@@ -33,13 +43,11 @@ def to_truncated_sequences(tokens: DataFrame, max_len: int, background: int, sep
     rows = tokens.select(ID, "seq", "code", "abspos", "segment", "age")
     rows = rows.withColumn("_front", front).withColumn("_back", back).where((F.col("_front") <= background) | (F.col("_back") <= max_len + 1))
     item = F.struct("seq", event(F.col("code"), F.col("abspos"), F.col("segment"), F.col("age")).alias("e"), (F.col("_front") <= background).alias("head"), F.col("_back").alias("back"))
-    held = rows.groupBy(ID).agg(F.sort_array(F.collect_list(item)).alias("r"))
     tail = max_len - background
-    cut = F.exists("r", lambda r: (r["back"] == tail) & (r["e"]["code"] == sep)) if tail else F.lit(False)
-    n = F.lit(tail) - cut.cast("int")
-    long = F.size(F.filter("r", lambda r: r["back"] <= max_len + 1)) > max_len
-    kept = F.filter("r", lambda r: r["head"] | (r["back"] <= F.col("_n")) | ~F.col("_long"))
-    return held.withColumn("_n", n).withColumn("_long", long).select(ID, F.transform(kept, lambda r: r["e"]).alias("events"))
+    cut = F.coalesce(F.max((F.col("_back") == tail) & (F.col("code") == sep)), F.lit(False)) if tail else F.lit(False)
+    held = rows.groupBy(ID).agg(F.sort_array(F.collect_list(item)).alias("r"), cut.alias("_cut"), (F.max("_back") > max_len).alias("_long"))
+    kept = F.filter("r", lambda r: r["head"] | (r["back"] <= F.lit(tail) - F.col("_cut").cast("int")) | ~F.col("_long"))
+    return held.select(ID, F.transform(kept, lambda r: r["e"]).alias("events"))
 
 
 def background_rows(tokens: DataFrame, background_ids: list[int]) -> int:
@@ -74,9 +82,9 @@ def check_sorted(tokens: DataFrame) -> DataFrame:
 
 def require_sorted(seqs: DataFrame) -> DataFrame:
     """``seqs``; a position below the one before is an error when the sequence is read."""
-    steps = F.transform("events", lambda e, i: F.coalesce(e["abspos"] < F.get("events", i - 1)["abspos"], F.lit(False)))
+    steps = lambda ev: F.transform(ev, lambda e, i: F.coalesce(e["abspos"] < F.get(ev, i - 1)["abspos"], F.lit(False)))
     wrong = F.raise_error(F.concat(F.lit("positions not in order: subject "), F.col(ID).cast("string"))).cast(seqs.schema["events"].dataType)
-    return seqs.withColumn("events", F.when(F.exists(steps, lambda x: x), wrong).otherwise(F.col("events")))
+    return seqs.withColumn("events", bound(F.col("events"), lambda ev: F.when(F.exists(steps(ev), lambda x: x), wrong).otherwise(ev)))
 
 
 def combine(*sets: DataFrame) -> DataFrame:
@@ -85,16 +93,15 @@ def combine(*sets: DataFrame) -> DataFrame:
 
 
 def strip_last_sep(events: Column, sep: int = SEP) -> Column:
-    ends = F.coalesce(F.try_element_at(events, F.lit(-1))["code"] == sep, F.lit(False))
-    return F.when(ends, F.slice(events, 1, F.greatest(F.size(events) - 1, F.lit(0)))).otherwise(events)
+    ends = lambda ev: F.coalesce(F.try_element_at(ev, F.lit(-1))["code"] == sep, F.lit(False))
+    return bound(events, lambda ev: F.when(ends(ev), F.slice(ev, 1, F.greatest(F.size(ev) - 1, F.lit(0)))).otherwise(ev))
 
 
 def append_predict(events: Column, date: Column, token: int = CLS) -> Column:
     """The prediction token: segment after the last, age since the first position in years."""
-    last, first = F.try_element_at(events, F.lit(-1)), F.try_element_at(events, F.lit(1))
-    segment = F.coalesce(last["segment"] + 1, F.lit(0))
-    age = F.coalesce((date - first["abspos"]) / F.lit(DAYS_PER_YEAR * 24), F.lit(0.0))
-    return F.concat(events, F.array(event(F.lit(token), date, segment, age)))
+    segment = lambda ev: F.coalesce(F.try_element_at(ev, F.lit(-1))["segment"] + 1, F.lit(0))
+    age = lambda ev: F.coalesce((date - F.try_element_at(ev, F.lit(1))["abspos"]) / F.lit(DAYS_PER_YEAR * 24), F.lit(0.0))
+    return bound(events, lambda ev: F.concat(ev, F.array(event(F.lit(token), date, segment(ev), age(ev)))))
 
 
 def censor(seqs: DataFrame, date: str = "censor_date", token: int = CLS) -> DataFrame:
@@ -114,11 +121,14 @@ def censor_with_delays(seqs: DataFrame, delays: dict[int, float], date: str = "c
 
 def truncate(seqs: DataFrame, max_len: int, background: int, sep: int = SEP) -> DataFrame:
     """Keep the first ``background`` and the last events; a separator at the cut goes."""
-    tail, size = max_len - background, F.size("events")
-    cut = F.try_element_at("events", F.greatest(size - tail + 1, F.lit(1)))["code"] == sep if tail else F.lit(False)
-    n = F.lit(tail) - F.coalesce(cut, F.lit(False)).cast("int")
-    short = F.concat(F.slice("events", 1, background), F.slice("events", size - n + 1, n))
-    return seqs.withColumn("events", F.when(size > max_len, short).otherwise(F.col("events")))
+    tail = max_len - background
+
+    def short(ev: Column) -> Column:
+        cut = F.try_element_at(ev, F.greatest(F.size(ev) - tail + 1, F.lit(1)))["code"] == sep if tail else F.lit(False)
+        n = F.lit(tail) - F.coalesce(cut, F.lit(False)).cast("int")
+        return F.concat(F.slice(ev, 1, background), F.slice(ev, F.size(ev) - n + 1, n))
+
+    return seqs.withColumn("events", bound(F.col("events"), lambda ev: F.when(F.size(ev) > max_len, short(ev)).otherwise(ev)))
 
 
 def is_one_of(code: Column, ids: list[int]) -> Column:
@@ -129,10 +139,13 @@ def is_one_of(code: Column, ids: list[int]) -> Column:
 
 def truncate_prioritized(seqs: DataFrame, max_len: int, background: int, non_priority: list[int], sep: int = SEP) -> DataFrame:
     """Where too long, keep the background and the first other tokens of priority, then truncate."""
-    rest = F.slice("events", background + 1, F.greatest(F.size("events") - background, F.lit(0)))
-    wanted = F.filter(rest, lambda e: ~is_one_of(e["code"], non_priority))
-    short = F.concat(F.slice("events", 1, background), F.slice(wanted, 1, max_len - background))
-    seqs = seqs.withColumn("events", F.when(F.size("events") > max_len, short).otherwise(F.col("events")))
+
+    def short(ev: Column) -> Column:
+        rest = F.slice(ev, background + 1, F.greatest(F.size(ev) - background, F.lit(0)))
+        wanted = F.filter(rest, lambda e: ~is_one_of(e["code"], non_priority))
+        return F.concat(F.slice(ev, 1, background), F.slice(wanted, 1, max_len - background))
+
+    seqs = seqs.withColumn("events", bound(F.col("events"), lambda ev: F.when(F.size(ev) > max_len, short(ev)).otherwise(ev)))
     return truncate(seqs, max_len, background, sep)
 
 
@@ -143,23 +156,20 @@ def drop_incomplete_units(seqs: DataFrame, non_priority: list[int], parts: int)
     ``parts`` neighbours, so the work grows with the sequence times its logarithm.
     """
     low = lambda e: is_one_of(e["code"], non_priority)
-    seqs = seqs.withColumn("_low", F.sort_array(F.transform(F.filter("events", low), lambda e: e["abspos"])))
-    at = lambda i: F.get("_low", i)
-    first = lambda p, i: ~F.coalesce(at(i - 1) == p, F.lit(False))
-    full = lambda p, i: F.coalesce(at(i + parts - 1) == p, F.lit(False)) & ~F.coalesce(at(i + parts) == p, F.lit(False))
-    whole = F.filter("_low", lambda p, i: first(p, i) & full(p, i))
-    known = F.map_from_arrays(F.transform("_whole", lambda p: p.cast("string")), "_whole")
-    seqs = seqs.withColumn("_whole", whole).withColumn("_known", known)
-    kept = F.filter("events", lambda e: ~low(e) | F.map_contains_key("_known", e["abspos"].cast("string")))
-    return seqs.withColumn("events", kept).drop("_low", "_whole", "_known")
+    places = lambda ev: F.sort_array(F.transform(F.filter(ev, low), lambda e: e["abspos"]))
+    is_at = lambda at, i, p: F.coalesce(F.get(at, i) == p, F.lit(False))
+    whole = lambda at: F.filter(at, lambda p, i: ~is_at(at, i - 1, p) & is_at(at, i + parts - 1, p) & ~is_at(at, i + parts, p))
+    by_name = lambda at: F.map_from_arrays(F.transform(at, lambda p: p.cast("string")), at)
+    known = lambda ev: bound(bound(places(ev), whole), by_name)
+    kept = lambda ev, known: F.filter(ev, lambda e: ~low(e) | F.map_contains_key(known, e["abspos"].cast("string")))
+    return seqs.withColumn("events", bound(F.col("events"), lambda ev: bound(known(ev), lambda k: kept(ev, k))))
 
 
 def normalize_segments(seqs: DataFrame) -> DataFrame:
     """Segments renumbered densely from 0 in their own order."""
-    known = F.array_sort(F.array_distinct(F.transform("events", lambda e: e["segment"])))
-    seqs = seqs.withColumn("_known", known)
-    dense = F.transform("events", lambda e: event(e["code"], e["abspos"], F.array_position("_known", e["segment"]) - 1, e["age"]))
-    return seqs.withColumn("events", dense).drop("_known")
+    known = lambda ev: F.array_sort(F.array_distinct(F.transform(ev, lambda e: e["segment"])))
+    dense = lambda ev, known: F.transform(ev, lambda e: event(e["code"], e["abspos"], F.array_position(known, e["segment"]) - 1, e["age"]))
+    return seqs.withColumn("events", bound(F.col("events"), lambda ev: bound(known(ev), lambda k: dense(ev, k))))
 
 
 def background_length(seqs: DataFrame, background_ids: list[int]) -> int:
@@ -184,7 +194,7 @@ def concept_delays(vocabulary: DataFrame, delays: dict[str, float]) -> DataFrame
 
 
 def subset(seqs: DataFrame, positions: Column) -> DataFrame:
-    return seqs.withColumn("events", F.transform(positions, lambda i: F.get("events", i)))
+    return seqs.withColumn("events", bound(F.col("events"), lambda ev: F.transform(positions, lambda i: F.get(ev, i))))
 
 
 def mask_tokens(seqs: DataFrame, vocabulary_size: int, select: float = 0.2, mask: float = 0.8, replace: float = 0.1, seed: int = 0) -> DataFrame:
