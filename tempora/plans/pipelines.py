@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -344,23 +345,29 @@ def _fit_watched(booster, train: DataFrame, watched: DataFrame, iterations: int,
         rounds = min(2 * rounds, iterations)
 
 
-def baseline_models(features: DataFrame, folds: DataFrame, iterations: int = 1000, patience: int = 50, positive_weight: float = 1.0, depth: int = 4, rate: float = 0.1, rows_share: float = 0.8, columns_share: float = 0.8, least_rows: int = 3, bins: int = 256, seed: int = 42) -> dict[int, object]:
+def baseline_models(features: DataFrame, folds: DataFrame, iterations: int = 1000, patience: int = 50, positive_weight: float = 1.0, depth: int = 4, rate: float = 0.1, rows_share: float = 0.8, columns_share: float = 0.8, least_rows: int = 3, bins: int = 256, seed: int = 42, parallelism: int = 4) -> dict[int, object]:
     """Boosted trees of every fold, fitted on its training part: as many, of ``iterations`` at most,
     as lower the loss of its validation part, up to ``patience`` trees without a gain.
 
     Positive subjects weigh ``positive_weight``.  A fold without a validation part is fitted for all
-    iterations.
+    iterations.  Up to ``parallelism`` folds are fitted at a time, as a tree is a row of small jobs.
     """
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import GBTClassifier
 
     data = features.withColumn("weight", F.when(F.col("target") == 1, float(positive_weight)).otherwise(1.0))
-    models = {}
-    for fold in fold_numbers(folds):
-        part = lambda name, fold=fold: materialize(data.join(folds.where((F.col("fold") == fold) & (F.col("part") == name)).select(ID), ID, "left_semi"), name)
-        train, watched = part("train"), part("val")
+    part = lambda fold, name: materialize(data.join(folds.where((F.col("fold") == fold) & (F.col("part") == name)).select(ID), ID, "left_semi"), name)
+    parts = {fold: (part(fold, "train"), part(fold, "val")) for fold in fold_numbers(folds)}
+
+    def fit(fold: int):
+        train, watched = parts[fold]
         booster = GBTClassifier(labelCol="target", weightCol="weight", maxIter=iterations, stepSize=rate, maxDepth=depth, subsamplingRate=rows_share, featureSubsetStrategy=str(columns_share), minInstancesPerNode=least_rows, maxBins=bins, seed=seed)
-        models[fold] = booster.fit(train) if watched.isEmpty() else _fit_watched(booster, train, watched, iterations, patience)
-    return models
+        return booster.fit(train) if watched.isEmpty() else _fit_watched(booster, train, watched, iterations, patience)
+
+    if not parts:
+        return {}
+    with ThreadPool(min(parallelism, len(parts))) as pool:
+        return dict(zip(parts, pool.map(inheritable_thread_target(data.sparkSession)(fit), parts), strict=True))
 
 
 def write_baseline(models: dict[int, object], index: DataFrame, path: str) -> None:
